@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerframe.llm.bpe import bpe_decode, bpe_encode, token_digests
 from ledgerframe.llm.exact_dedup import exact_dedup
+from ledgerframe.llm.packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,8 +20,27 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def _vocabulary() -> str:
+    """The path of the byte-level vocabulary; the file comes with a package that every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_digests(bpe_decode(bpe_encode(docs, _vocabulary()).drop("text"), _vocabulary()))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"), _vocabulary())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_bpe": op2_bpe,
+    "op3_packing": op3_packing,
 }
 
 ORACLES: dict[str, str] = {

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ledgerframe.llm.bpe import bpe_decode, bpe_encode, token_digests
 from ledgerframe.llm.exact_dedup import exact_dedup
 from ledgerframe.llm.packing import pack
+from ledgerframe.llm.quality import judge
+from ledgerframe.llm.simhash import simhash_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,10 +39,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents")).drop("n_lines", "n_stop_words", "n_plain_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
 }
 
 ORACLES: dict[str, str] = {

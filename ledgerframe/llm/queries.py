@@ -11,6 +11,7 @@ from ledgerframe.llm.bpe import bpe_decode, bpe_encode, token_digests
 from ledgerframe.llm.exact_dedup import exact_dedup
 from ledgerframe.llm.packing import pack
 from ledgerframe.llm.quality import judge
+from ledgerframe.llm.secrets import find_secrets
 from ledgerframe.llm.simhash import simhash_groups
 
 
@@ -47,12 +48,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents")).drop("n_lines", "n_stop_words", "n_plain_words")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
+    "op8_secrets": op8_secrets,
 }
 
 ORACLES: dict[str, str] = {

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerframe.llm.bpe import bpe_decode, bpe_encode, token_digests
 from ledgerframe.llm.exact_dedup import exact_dedup
+from ledgerframe.llm.licenses import scan_licenses
 from ledgerframe.llm.packing import pack
 from ledgerframe.llm.quality import judge
 from ledgerframe.llm.secrets import find_secrets
 from ledgerframe.llm.simhash import simhash_groups
+from ledgerframe.llm.toxicity import learn, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,13 +54,24 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, learn(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {

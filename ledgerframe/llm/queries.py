@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.bpe import bpe_decode, bpe_encode, token_digests
+from ledgerframe.llm.chat import ordered_conversations
 from ledgerframe.llm.exact_dedup import exact_dedup
 from ledgerframe.llm.licenses import scan_licenses
 from ledgerframe.llm.packing import pack
 from ledgerframe.llm.quality import judge
 from ledgerframe.llm.secrets import find_secrets
+from ledgerframe.llm.shared import shared_path
 from ledgerframe.llm.simhash import simhash_groups
 from ledgerframe.llm.toxicity import learn, score_toxicity
+from ledgerframe.llm.warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,7 +28,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-def _vocabulary() -> str:
+def vocabulary_path() -> str:
     """The path of the byte-level vocabulary; the file comes with a package that every machine has."""
     import public_tokenizers
 
@@ -34,11 +37,11 @@ def _vocabulary() -> str:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_digests(bpe_decode(bpe_encode(docs, _vocabulary()).drop("text"), _vocabulary()))
+    return token_digests(bpe_decode(bpe_encode(docs, vocabulary_path()).drop("text"), vocabulary_path()))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(_table(spark, sf_dir, "documents"), _vocabulary())
+    pieces = pack(_table(spark, sf_dir, "documents"), vocabulary_path())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
@@ -63,14 +66,28 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    records = read_archives(spark, path)
+    page = lambda c: F.col(c).cast("long")
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
+    "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
+    "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
 }
 

@@ -29,14 +29,16 @@ from ledgerframe.llm.shared import name
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries of each cache of a worker; a full cache is emptied. The bound is on memory only, results don't depend on it.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 #: Characters of text that are encoded together.
 CHUNK_CHARS = 1 << 20
+#: Rows that are decoded together.
+DECODED_ROWS = 256
 #: Longer words are not cached.
 CACHED_CHARS = 200
 
 #: Latin, general punctuation and unified Han: their classes are the same in all Unicode versions.
-_STEADY = regex.compile(r"[\x00-\u024F\u2000-\u206F\u4E00-\u9FA5]*+")
+STEADY = regex.compile(r"[\x00-\u024F\u2000-\u206F\u4E00-\u9FA5]*+")
 
 _NEVER = np.int64(1) << 40
 
@@ -236,8 +238,9 @@ class SpeculativeBpe:
                 out[k] = exact[a:b]
         return out
 
-    def decoded(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decoded(self, ids: bytes) -> str:
+        """The text of little-endian unsigned 32-bit ids."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 class UnitEncoder:
@@ -261,7 +264,7 @@ class UnitEncoder:
 
     def split(self, text: str) -> list[str]:
         """The words of a text. Outside the scripts whose classes no Unicode version changes, the library's splitter decides."""
-        if text.isascii() or _STEADY.fullmatch(text):
+        if text.isascii() or STEADY.fullmatch(text):
             return self._pattern.findall(text)
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
@@ -343,49 +346,52 @@ def speculative_encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path, lambda new: bpe.words([w.encode() for w in new]), bpe.special)
 
 
-def with_ids(docs: DataFrame, encoder: Callable[[], UnitEncoder], text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """docs with a binary column of ids; a column of that name is replaced."""
-    kept = docs.drop(ids_column) if ids_column in docs.columns else docs
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids_column, T.BinaryType(), False)])
-    at = kept.columns.index(text_column)
+def _appended(rows: DataFrame, column: str, fresh: list[T.StructField], work: Callable[[list], Iterator[tuple[list, ...]]]) -> DataFrame:
+    """rows with fresh columns, which replace those of the same names: work takes a batch's values of `column` and yields the
+    fresh columns' values for one part of the batch after another."""
+    kept = rows.drop(*[f.name for f in fresh])
+    fields, at = [*kept.schema.fields, *fresh], kept.columns.index(column)
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder()
+        kinds = [pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string() for f in fresh]
         for batch in batches:
-            texts, done = [t or "" for t in batch.column(at).to_pylist()], 0
-            for ids in own.encode(texts):
-                part = batch.slice(done, len(ids))
-                done += len(ids)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[f"c{i}" for i in range(len(schema.fields))])
+            done = 0
+            for parts in work(batch.column(at).to_pylist()):
+                old = batch.slice(done, len(parts[0]))
+                done += len(parts[0])
+                yield pa.RecordBatch.from_arrays([*old.columns, *map(pa.array, parts, kinds)], names=plain.names)
 
-    return kept.mapInArrow(run, T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])).toDF(*schema.names)
+    return kept.mapInArrow(run, plain).toDF(*[f.name for f in fields])
 
 
-def bpe_encode(docs: DataFrame, vocabulary_path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary_path: str, text_column: str = "text", ids_column: str = "ids", decoded_column: str | None = None) -> DataFrame:
     """docs with `ids_column`: the text's token ids as little-endian unsigned 32-bit integers, without added special tokens.
 
     A null or empty text has no ids. Special tokens written out in a text become their ids. Rows keep all other columns,
-    repeated rows are encoded alike, an empty table stays empty; texts of any length are encoded whole.
+    repeated rows are encoded alike, an empty table stays empty; texts of any length are encoded whole. With
+    `decoded_column`, the ids are decoded again on the spot, as `bpe_decode` does, for a round trip in one pass.
     The file at vocabulary_path must be on every machine.
     """
-    return with_ids(docs, lambda: speculative_encoder(vocabulary_path), text_column, ids_column)
+    fresh = [T.StructField(ids_column, T.BinaryType(), False)] + [T.StructField(c, T.StringType(), False) for c in [decoded_column] if c]
+
+    def work(texts: list[str | None]) -> Iterator[tuple[list, ...]]:
+        bpe = vocabulary(vocabulary_path)
+        for ids in speculative_encoder(vocabulary_path).encode([t or "" for t in texts]):
+            yield (ids, [bpe.decoded(i) for i in ids]) if decoded_column else (ids,)
+
+    return _appended(docs, text_column, fresh, work)
 
 
 def bpe_decode(rows: DataFrame, vocabulary_path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
     """rows with `text_column`: the text of the ids, special tokens included; invalid UTF-8 becomes U+FFFD. Null ids: empty."""
-    kept = rows.drop(text_column) if text_column in rows.columns else rows
-    fields = [*kept.schema.fields, T.StructField(text_column, T.StringType(), False)]
-    at = kept.columns.index(ids_column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(ids: list[bytes | None]) -> Iterator[tuple[list, ...]]:
         bpe = vocabulary(vocabulary_path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = [bpe.decoded(np.frombuffer(b or b"", "<u4").tolist()) for b in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[f"c{k}" for k in range(len(fields))])
+        for i in range(0, len(ids), DECODED_ROWS):
+            yield ([bpe.decoded(b or b"") for b in ids[i : i + DECODED_ROWS]],)
 
-    return kept.mapInArrow(run, T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(fields)])).toDF(*[f.name for f in fields])
+    return _appended(rows, ids_column, [T.StructField(text_column, T.StringType(), False)], work)
 
 
 def token_digests(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.bpe import bpe_decode, bpe_encode, token_digests
+from ledgerframe.llm.bpe import bpe_encode, token_digests
 from ledgerframe.llm.chat import ordered_conversations
 from ledgerframe.llm.exact_dedup import exact_dedup
 from ledgerframe.llm.licenses import scan_licenses
@@ -37,7 +37,7 @@ def vocabulary_path() -> str:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_digests(bpe_decode(bpe_encode(docs, vocabulary_path()).drop("text"), vocabulary_path()))
+    return token_digests(bpe_encode(docs, vocabulary_path(), decoded_column="decoded"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

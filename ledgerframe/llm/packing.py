@@ -14,36 +14,69 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from ledgerframe.llm.bpe import UnitEncoder
+from ledgerframe.llm.bpe import PATTERN, STEADY, vocabulary
 from ledgerframe.llm.shared import checkpointed, name, written
 
 SEQUENCE = 2048
 END_ID = 1
+#: Characters between blanks that merging by ranks gets at most; it is slow on longer words.
+LONG_WORD = 2000
+#: Bytes of ids that are handed on together.
+CHUNK_BYTES = 1 << 22
 #: Partitions whose totals one task adds up on the first level of the prefix sum.
 FAN = 4096
 
 _LAID = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
+class LibraryEncoder:
+    """Texts to the ids of the tokenizers library, by the quickest way that is sure to give them.
+
+    Merging by ranks gives the library's ids if each token of the vocabulary is what its own bytes merge to, which is verified
+    when the vocabulary is read, and if both split words alike: in scripts whose classes all Unicode versions share. Other texts,
+    special tokens and overlong words go through the library itself.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self._library = Tokenizer.from_file(path)
+        self._library.no_truncation()
+        self._library.no_padding()
+        bpe = vocabulary(path)
+        self._special = tuple(bpe.special)
+        ranks = {token: i for i, token in enumerate(bpe.bytes_of) if i not in bpe.special.values()}
+        ordered = all(bpe.id_of.get(token) == i for token, i in ranks.items()) and bool((np.diff(bpe.rank[bpe.rank >= 0]) > 0).all())
+        self._ranked = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ordered else None
+
+    def ids(self, text: str) -> bytes:
+        plain = self._ranked is not None and (text.isascii() or STEADY.fullmatch(text) is not None)
+        if plain and not any(s in text for s in self._special) and max(map(len, text.split(" "))) <= LONG_WORD:
+            return self._ranked.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[list[bytes]]:
+        """The ids of texts, in chunks of bounded size and in order."""
+        chunk, size = [], 0
+        for text in texts:
+            chunk.append(self.ids(text))
+            size += len(chunk[-1]) + 1
+            if size > CHUNK_BYTES:
+                yield chunk
+                chunk, size = [], 0
+        if chunk:
+            yield chunk
+
+
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> UnitEncoder:
-    """The encoder of a worker process: distinct words go through the tokenizers library, with its own splitting kept."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-    special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-
-    def words(new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(new, add_special_tokens=False)]
-
-    return UnitEncoder(path, words, special)
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def laid_out(docs: DataFrame, vocabulary_path: str, id_column: str, text_column: str, end_id: int) -> DataFrame:

@@ -101,7 +101,7 @@ def top_entropy(value: Column, window: int = WINDOW) -> Column:
         first = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("least"))
         return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), first, step, lambda done: F.log2(F.lit(float(window))) - done["least"] / window)
 
-    return _let(F.split(value, "(?!^)"), slid)
+    return _let(F.split(value, ""), slid)
 
 
 def looks_random(value: Column) -> Column:

@@ -1,0 +1,211 @@
+import datetime
+import math
+
+import pandas as pd
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import ledgerframe as lf
+
+
+def one(spark, values, kind):
+    return spark.createDataFrame([(v,) for v in values], f"v {kind}")
+
+
+CYL = [4] * 11 + [6] * 7 + [8] * 14
+
+
+@pytest.fixture
+def cars(spark):
+    return spark.createDataFrame([(c, 3 + i % 3, float(i)) for i, c in enumerate(CYL)], "cyl int, gear int, mpg double")
+
+
+def freq(t):
+    return [(r["value"], r["freq"]) for r in t.rows]
+
+
+def test_one_way(cars):
+    t = lf.tab(cars, "cyl")
+    assert freq(t) == [("4", 11), ("6", 7), ("8", 14)] and t.total == 32
+    assert [r["percent"] for r in t.rows] == [34.4, 21.9, 43.8]
+    assert t.rows[-1]["cum_percent"] == 100.0
+    assert "Total" in str(t)
+
+
+@pytest.mark.parametrize(("sort", "order"), [("freq_desc", "846"), ("freq_asc", "648"), ("value_desc", "864")])
+def test_sorts(cars, sort, order):
+    assert "".join(v for v, _ in freq(lf.tab(cars, "cyl", sort=sort))) == order
+
+
+def test_cutoffs(cars):
+    t = lf.tab(cars, "cyl", cutoff=2)
+    assert freq(t) == [("4", 11), ("8", 14), ("(Other)", 7)] and t.n_other == 1
+    assert freq(lf.tab(cars, "cyl", cutoff=0.5))[-1] == ("(Other)", 7)
+    assert lf.tab(cars, "cyl", cutoff=9).n_other == 0
+    for bad in (0, -1, math.inf, "x"):
+        with pytest.raises(ValueError):
+            lf.tab(cars, "cyl", cutoff=bad)
+
+
+def test_weights(cars):
+    t = lf.tab(cars, "cyl", wt="mpg")
+    assert t.total == pytest.approx(sum(range(32)))
+    with pytest.raises(TypeError):
+        lf.tab(cars.withColumn("s", F.lit("x")), "cyl", wt="s")
+
+
+def test_missing_modes(spark):
+    df = one(spark, ["a", "b", None, "a"], "string")
+    assert freq(lf.tab(df, "v")) == [("a", 2), ("b", 1), ("<NA>", 1)]
+    assert lf.tab(df, "v", na="exclude").total == 3
+    assert freq(lf.tab(df, "v", na="only")) == [("<NA>", 1)]
+    assert lf.tab(df, "v").n_missing == 1
+    swallowed = lf.tab(one(spark, ["a"] * 3 + ["b"] * 2 + ["c", "d", None], "string"), "v", cutoff=2)
+    assert [(r["value"], r["freq"], r["percent"], r["cum_percent"]) for r in swallowed.rows] == [("a", 3, 37.5, 37.5), ("b", 2, 25.0, 62.5), ("(Other)", 3, 37.5, 100.0)]
+    kept = lf.tab(one(spark, ["a"] * 3 + [None] * 2 + ["b", "c"], "string"), "v", cutoff=2)
+    assert [(r["value"], r["cum_percent"]) for r in kept.rows] == [("a", 42.9), ("<NA>", 71.5), ("(Other)", 100.0)]
+
+
+def test_real_categories_that_look_special(spark):
+    t = lf.tab(one(spark, ["Total", "(Other)", "<NA>", None], "string"), "v")
+    assert t.total == 4 and t.to_df().count() == 4
+
+
+def test_numbers_sort_as_numbers_and_factors_by_level(spark):
+    assert [v for v, _ in freq(lf.tab(one(spark, [2.0, 10.0, 100.0, 2.0, None, 10.0], "double"), "v"))] == ["2.0", "10.0", "100.0", "<NA>"]
+    f = lf.as_factor(one(spark, ["b", "a", "c", "a", "b"], "string"), "v", ["c", "b", "a", "z"])
+    assert freq(lf.tab(f, "v")) == [("c", 1), ("b", 2), ("a", 2), ("z", 0)]
+
+
+def test_many_values_warn(spark):
+    with pytest.warns(UserWarning, match="cutoff"):
+        lf.tab(one(spark, [f"v{i}" for i in range(60)], "string"), "v")
+
+
+def test_crosstab(cars):
+    t = lf.tab(cars, "cyl", "gear")
+    down, across, cells = t.matrix()
+    assert (down, across, sum(cells.values())) == (["4", "6", "8"], ["3", "4", "5"], 32)
+    for display in ("row_pct", "col_pct", "total_pct"):
+        assert "%" in str(lf.tab(cars, "cyl", "gear", display=display))
+    long = t.to_df().collect()
+    assert sum(r.total_pct for r in long) == pytest.approx(100)
+    assert sum(r.row_pct for r in long if r.row_value == "4") == pytest.approx(100)
+
+
+def test_crosstab_missing_pairs_and_cutoff(spark):
+    df = spark.createDataFrame([("a", None), (None, "p"), ("b", "q"), ("a", "p"), (None, None)], "x string, y string")
+    t = lf.tab(df, "x", "y")
+    assert (t.n_missing, t.total, len(t.rows)) == (3, 5, 5)
+    assert lf.tab(df, "x", "y", na="exclude").total == 2
+    assert lf.tab(df, "x", "y", na="only").total == 3
+    cut = lf.tab(df, "x", "y", cutoff=1)
+    assert cut.total == 5 and {r["row_value"] for r in cut.rows} == {"a", "(Other)", "<NA>"} and cut.n_other == 1
+
+
+def test_tab_errors(cars):
+    for variables in ((), ("cyl", "gear", "mpg"), ("zz",)):
+        with pytest.raises(ValueError):
+            lf.tab(cars, *variables)
+    with pytest.raises(ValueError):
+        lf.tab(cars, "cyl", sort="x")
+
+
+def test_tab_tap(cars):
+    t = lf.audit_trail("t")
+    assert lf.tab_tap(cars, "cyl", "gear", trail=t) is cars
+    assert t.snapshots[0].type == "tap" and t.snapshots[0].custom["tab(cyl, gear)"].total == 32
+
+
+def test_diagnose_nas(spark):
+    df = spark.createDataFrame([(1.0, None, True), (float("nan"), None, False), (3.0, "x", True)], "a double, b string, c boolean")
+    r = lf.diagnose_nas(df)
+    assert [x["variable"] for x in r.table] == ["b", "a", "c"] and (r.n_with_na, r.n_cols) == (2, 3)
+    assert r.table[0]["pct_na"] == 66.7 and "2 of 3" in str(r)
+    assert lf.diagnose_nas(df.limit(0)).table[0]["pct_na"] == 0.0
+    assert [x.variable for x in r.to_df().collect()] == ["b", "a", "c"]
+
+
+def test_summaries(spark):
+    n = lf.summarize_column(one(spark, [1, 2, 3, None, 5], "int"), "v")
+    assert (n["type"], n["n_unique"], n["missing"], n["missing_share"], n["mean"], n["min"], n["max"]) == ("numeric", 4, 1, 0.2, 2.75, "1", "5")
+    s = lf.summarize_column(one(spark, ["b", "a", "a", "b", "c"], "string"), "v")
+    assert (s["type"], s["most_frequent"], s["min"], s["max"], s["mean"], s["example1"]) == ("character", "a", "a", "c", None, "a")
+    b = lf.summarize_column(one(spark, [True, False, True, None], "boolean"), "v")
+    assert b["mean"] == pytest.approx(2 / 3) and b["min"] is None
+    d = lf.summarize_column(one(spark, [datetime.date(2023, 1, 1), datetime.date(2023, 6, 15), None], "date"), "v")
+    assert (d["min"], d["max"]) == ("2023-01-01", "2023-06-15")
+    none = lf.summarize_column(one(spark, [None, None], "double"), "v")
+    assert (none["n_unique"], none["mean"], none["sd"]) == (0, None, None)
+    assert lf.summarize_column(one(spark, [], "double"), "v")["missing_share"] is None
+    other = lf.summarize_column(one(spark, [[1, 2], None, [1, 2]], "array<int>"), "v")
+    assert (other["type"], other["missing"]) == ("list", 1)
+
+
+def test_summary_table(spark):
+    df = spark.range(4).select(*[(F.col("id") + k).alias(f"c{k}") for k in range(11)])
+    rows = lf.get_summary_table(df).collect()
+    assert [r.variable for r in rows] == [f"c{k}" for k in range(11)]
+    assert lf.get_summary_table(df, ["c3"]).first().q50 == 4.5
+    with pytest.raises(ValueError):
+        lf.get_summary_table(df, ["zz"])
+
+
+def test_strings(spark):
+    r = lf.diagnose_strings(one(spark, ["Apple", "APPLE", "apple", "  Microsoft ", "Google", None, ""], "string"), "v")
+    assert (r.n_total, r.n_na, r.n_empty, r.n_leading_ws, r.n_trailing_ws, r.n_case_variant_groups, r.n_case_variants) == (7, 1, 1, 1, 1, 1, 3)
+    assert r.to_df().first().examples == "APPLE, Apple, apple"
+    w = lf.diagnose_strings(one(spark, ["  leading", "trailing  ", "  both  ", "normal", "   ", " x"], "string"), "v")
+    assert (w.n_leading_ws, w.n_trailing_ws, w.n_whitespace_only) == (3, 2, 1)
+    assert lf.diagnose_strings(one(spark, ["hello", "café", "naïve"], "string"), "v").n_non_ascii == 2
+    assert "Case variants" in str(r)
+    with pytest.raises(TypeError):
+        lf.diagnose_strings(one(spark, [1], "int"), "v")
+
+
+def test_transform_text_and_examples(spark):
+    a = lf.audit_transform(one(spark, ["  hello ", "world", "  foo  ", None], "string"), "v", F.trim)
+    assert (a.n_changed, a.n_na_before, a.n_na_after, a.pct_changed) == (2, 1, 1, 50.0)
+    assert {(e["before"], e["after"]) for e in a.examples} == {("  hello ", "hello"), ("  foo  ", "foo")}
+    assert sorted(r.v for r in a.cleaned.collect() if r.v) == ["foo", "hello", "world"]
+    assert "Transformation of v" in str(a)
+
+
+def test_transform_numbers(spark):
+    a = lf.audit_transform(one(spark, [1.0, 2.0, 3.0, 4.0], "double"), "v", lambda c: c * 2)
+    assert (a.mean_before, a.mean_after, a.mean_abs_delta, a.n_beyond_tol) == (2.5, 5.0, 2.5, 4)
+    b = lf.audit_transform(one(spark, [1.0, float("nan"), math.inf, -math.inf, None], "double"), "v", lambda c: c * 2)
+    assert (b.n_nan_before, b.n_nan_after, b.n_inf_before, b.n_inf_after, b.n_changed) == (1, 1, 2, 2, 1)
+    for tol, n in ((0.1, 3), (1.0, 0)):
+        assert lf.audit_transform(one(spark, [1.0, 2.0, 3.0], "double"), "v", lambda c: c + 0.5, tolerance=tol).n_beyond_tol == n
+    gone = lf.audit_transform(one(spark, [1.0, None], "double"), "v", lambda c: F.when(c.isNull(), 99.0))
+    assert gone.n_changed == 2
+    with pytest.raises(ValueError):
+        lf.audit_transform(one(spark, [1.0], "double"), "v", lambda c: c, tolerance=-1)
+    with pytest.raises(TypeError):
+        lf.audit_transform(one(spark, [1.0], "double"), "v", lambda c: 3)
+
+
+def test_transform_other_classes(spark):
+    d = lf.audit_transform(one(spark, [datetime.date(2020, 1, 1), datetime.date(2020, 6, 15), datetime.date(2020, 12, 31), None], "date"), "v", lambda c: F.date_add(c, 1))
+    assert (d.n_changed, d.span_days_before) == (3, 365.0)
+    b = lf.audit_transform(one(spark, [True, False, True, None, False], "boolean"), "v", lambda c: ~c)
+    assert (b.n_changed, b.n_true_before, b.n_true_after) == (4, 2, 2)
+    f = lf.as_factor(one(spark, ["a", "b"], "string"), "v", ["a", "b"])
+    a = lf.audit_transform(f, "v", lambda c: F.when(c == "a", "z").otherwise(c))
+    assert a.levels == {"before": ["a", "b"], "after": ["b", "z"], "added": ["z"], "removed": ["a"]}
+    assert lf.audit_transform(one(spark, [], "double"), "v", lambda c: c).pct_changed == 0.0
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.just(float("nan"))), min_size=1, max_size=30))
+def test_profile_equals_pandas(spark, values):
+    t = lf.audit_trail("t")
+    lf.audit_tap(one(spark, values, "double"), t)
+    s, found = pd.Series(values, dtype="float64"), t.snapshots[0]
+    assert found.total_nas == int(s.isna().sum())
+    got = found.numeric_summary[0]
+    for k, want in {"min": s.min(), "q25": s.quantile(0.25), "median": s.median(), "mean": s.mean(), "q75": s.quantile(0.75), "max": s.max()}.items():
+        assert got[k] is None if math.isnan(want) else got[k] == pytest.approx(want, rel=1e-9, abs=1e-6)

@@ -87,7 +87,7 @@ def filter_drop(df: DataFrame, *predicates: Column | str, stat: Column | str | N
     return _filtered(df, predicates, stat, quiet, warn_threshold, True)
 
 
-def _tapped(df: DataFrame, predicates: Sequence[Column | str], trail: AuditTrail | None, label: str | None, stat: Column | str | None, quiet: bool, warn_threshold: float | None, numeric_summary: bool, cols_include: Sequence[str] | None, cols_exclude: Sequence[str] | None, drop: bool) -> DataFrame:
+def _tapped(df: DataFrame, predicates: Sequence[Column | str], trail: AuditTrail | None, label: str | None, stat: Column | str | None, quiet: bool, warn_threshold: float | None, numeric_summary: bool, cols_include: Sequence[str] | None, cols_exclude: Sequence[str] | None, quantiles: str, drop: bool) -> DataFrame:
     check_frame(df)
     check_share(warn_threshold, "warn_threshold")
     if trail is None:
@@ -99,7 +99,7 @@ def _tapped(df: DataFrame, predicates: Sequence[Column | str], trail: AuditTrail
     check_trail(trail)
     label = trail.check_label(label, f"filter_{'out_' if drop else ''}{len(trail) + 1}")
     keep, value = _flag(predicates, drop), _stat(df, stat)
-    scope = scope_of(df, numeric_summary, cols_include, cols_exclude)
+    scope = scope_of(df, numeric_summary, cols_include, cols_exclude, quantiles)
     snapshot, row = build_snapshot(df, trail, label, "filter", scope, controls_of(numeric_summary, cols_include, cols_exclude), keep, tuple(_aggregates(predicates, keep, value)))
     dropped = row.n_total - row.n_kept
     diagnostics = {
@@ -122,11 +122,11 @@ def _tapped(df: DataFrame, predicates: Sequence[Column | str], trail: AuditTrail
     return df.where(keep) if predicates else df
 
 
-def filter_tap(df: DataFrame, *predicates: Column | str, trail: AuditTrail | None = None, label: str | None = None, stat: Column | str | None = None, quiet: bool = False, warn_threshold: float | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None) -> DataFrame:
+def filter_tap(df: DataFrame, *predicates: Column | str, trail: AuditTrail | None = None, label: str | None = None, stat: Column | str | None = None, quiet: bool = False, warn_threshold: float | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, quantiles: str = "exact") -> DataFrame:
     """A keeping filter that records a snapshot of its result with diagnostics, in one pass over its input. Without a trail: a filter."""
-    return _tapped(df, predicates, trail, label, stat, quiet, warn_threshold, numeric_summary, cols_include, cols_exclude, False)
+    return _tapped(df, predicates, trail, label, stat, quiet, warn_threshold, numeric_summary, cols_include, cols_exclude, quantiles, False)
 
 
-def filter_out_tap(df: DataFrame, *predicates: Column | str, trail: AuditTrail | None = None, label: str | None = None, stat: Column | str | None = None, quiet: bool = False, warn_threshold: float | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None) -> DataFrame:
+def filter_out_tap(df: DataFrame, *predicates: Column | str, trail: AuditTrail | None = None, label: str | None = None, stat: Column | str | None = None, quiet: bool = False, warn_threshold: float | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, quantiles: str = "exact") -> DataFrame:
     """The same for a dropping filter."""
-    return _tapped(df, predicates, trail, label, stat, quiet, warn_threshold, numeric_summary, cols_include, cols_exclude, True)
+    return _tapped(df, predicates, trail, label, stat, quiet, warn_threshold, numeric_summary, cols_include, cols_exclude, quantiles, True)

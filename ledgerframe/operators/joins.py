@@ -71,7 +71,7 @@ def _theta(x: DataFrame, y: DataFrame, match: Column, kind: str, suffix: tuple[s
     return joined.select(*[quoted("x", c).alias(c + suffix[0] if c in y.columns else c) for c in x.columns], *[quoted("y", c).alias(c + suffix[1] if c in x.columns else c) for c in y.columns])
 
 
-def _tapped(how: str, x: DataFrame, y: DataFrame, by: By | Column | None, trail: AuditTrail | None, label: str | None, stat: str | None, numeric_summary: bool, cols_include: Sequence[str] | None, cols_exclude: Sequence[str] | None, y_name: str, **options) -> DataFrame:  # noqa: ANN003
+def _tapped(how: str, x: DataFrame, y: DataFrame, by: By | Column | None, trail: AuditTrail | None, label: str | None, stat: str | None, numeric_summary: bool, cols_include: Sequence[str] | None, cols_exclude: Sequence[str] | None, y_name: str, quantiles: str, **options) -> DataFrame:  # noqa: ANN003
     check_frame(x, "x"), check_frame(y, "y")
     pairs = normalize_by(by) if options.get("on") is None else None
     if trail is None:
@@ -92,7 +92,7 @@ def _tapped(how: str, x: DataFrame, y: DataFrame, by: By | Column | None, trail:
         except Exception as error:  # noqa: BLE001  a join that can't be validated keeps its basic snapshot
             diagnostics["validation_error"] = str(error)
     joined = join_frames(x, y, by, how, **options)
-    scope = scope_of(joined, numeric_summary, cols_include, cols_exclude)
+    scope = scope_of(joined, numeric_summary, cols_include, cols_exclude, quantiles)
     snapshot, _ = build_snapshot(joined, trail, label, "join", scope, controls_of(numeric_summary, cols_include, cols_exclude), diagnostics=diagnostics)
     trail.append(with_changes(snapshot, trail))
     return joined
@@ -115,8 +115,8 @@ def _enriched(found: JoinValidation, stat: str | None) -> dict:
 
 
 def _tap(how: str) -> Callable[..., DataFrame]:
-    def tap(x: DataFrame, y: DataFrame, by: By | Column | None = None, *, trail: AuditTrail | None = None, label: str | None = None, stat: str | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, y_name: str = "y", on: str | None = None, suffix: tuple[str, str] = ("_x", "_y"), unmatched: str = "drop", multiple: str = "all") -> DataFrame:
-        return _tapped(how, x, y, by, trail, label, stat, numeric_summary, cols_include, cols_exclude, y_name, on=on, suffix=suffix, unmatched=unmatched, multiple=multiple)
+    def tap(x: DataFrame, y: DataFrame, by: By | Column | None = None, *, trail: AuditTrail | None = None, label: str | None = None, stat: str | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, y_name: str = "y", quantiles: str = "exact", on: str | None = None, suffix: tuple[str, str] = ("_x", "_y"), unmatched: str = "drop", multiple: str = "all") -> DataFrame:
+        return _tapped(how, x, y, by, trail, label, stat, numeric_summary, cols_include, cols_exclude, y_name, quantiles, on=on, suffix=suffix, unmatched=unmatched, multiple=multiple)
 
     tap.__name__ = tap.__qualname__ = f"{how}_tap"
     tap.__doc__ = f"{how.replace('_', ' ').capitalize()} that records a snapshot of its result; see join_frames for the conditions. With equal keys the snapshot has the join's diagnostics, for `stat` also the measure's coverage."

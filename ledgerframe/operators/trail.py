@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 
 from ledgerframe.functions.types import check_columns, check_frame, class_name, is_numeric
-from ledgerframe.plans.profile import Scope, collected
+from ledgerframe.plans.profile import WAYS, Scope, collected
 
 
 @dataclass(frozen=True)
@@ -110,10 +110,12 @@ def check_trail(trail: object) -> AuditTrail:
     return trail
 
 
-def scope_of(df: DataFrame, numeric_summary: bool, cols_include: Sequence[str] | None, cols_exclude: Sequence[str] | None, approximate: bool = False) -> Scope:
+def scope_of(df: DataFrame, numeric_summary: bool, cols_include: Sequence[str] | None, cols_exclude: Sequence[str] | None, quantiles: str = "exact") -> Scope:
     """The columns that a snapshot describes. Names to include that don't exist, or none at all, are warned of."""
     if cols_include is not None and cols_exclude is not None:
         raise ValueError("cols_include and cols_exclude can't both be given")
+    if quantiles not in WAYS:
+        raise ValueError(f"quantiles must be one of {', '.join(WAYS)}")
     for given in (cols_include, cols_exclude):
         if given is not None and (isinstance(given, str) or not all(isinstance(c, str) for c in given)):
             raise TypeError("cols_include and cols_exclude must be lists of column names")
@@ -127,7 +129,7 @@ def scope_of(df: DataFrame, numeric_summary: bool, cols_include: Sequence[str] |
         chosen = tuple(f for f in fields if f.name in cols_include)
     if cols_exclude is not None:
         chosen = tuple(f for f in fields if f.name not in cols_exclude)
-    return Scope(fields, chosen, tuple(f for f in chosen if is_numeric(f)) if numeric_summary else (), approximate)
+    return Scope(fields, chosen, tuple(f for f in chosen if is_numeric(f)) if numeric_summary else (), quantiles)
 
 
 def changes_between(before: Snapshot, after: Snapshot) -> Changes:
@@ -182,18 +184,18 @@ def audit_tap(
     numeric_summary: bool = True,
     cols_include: Sequence[str] | None = None,
     cols_exclude: Sequence[str] | None = None,
-    approximate: bool = False,
+    quantiles: str = "exact",
     cache: bool = False,
 ) -> DataFrame:
     """Records a snapshot of df and returns df unchanged (persisted, with cache=True, so that later taps don't compute it anew).
 
     fns: custom diagnostics by name: functions of the frame, or aggregate Columns, which join the snapshot's own pass.
-    Unnamed ones are called fn_<i>.
+    Unnamed ones are called fn_<i>. quantiles: "exact", "sorted" (exact, for columns of any size) or "approximate".
     """
     check_trail(trail)
     check_frame(df)
     label = trail.check_label(label, f"step_{len(trail) + 1}")
-    scope = scope_of(df, numeric_summary, cols_include, cols_exclude, approximate)
+    scope = scope_of(df, numeric_summary, cols_include, cols_exclude, quantiles)
     named = {str(k) if k else f"fn_{i}": f for i, (k, f) in enumerate(fns.items() if isinstance(fns, Mapping) else ((None, f) for f in fns or ()), 1)}
     for key, fn in named.items():
         if not callable(fn) and not isinstance(fn, Column):

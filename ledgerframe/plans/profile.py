@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerframe.functions.types import class_name, is_missing, is_numeric, name, present, to_rows
+from ledgerframe.plans.quantiles import sorted_quantiles
 
 #: Numeric columns whose exact quantiles one aggregate computes at most; wider frames are read once for each so many.
 QUANTILE_COLUMNS = 100
 STATS = ("min", "q25", "median", "mean", "q75", "max")
+#: Ways to quantiles: "exact" in the same pass as all else, with memory for the distinct values of a column; "sorted", exact by a
+#: distributed sort, for columns of any size; "approximate" by a sketch of bounded size.
+WAYS = ("exact", "sorted", "approximate")
 _SHARES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
@@ -27,7 +31,7 @@ class Scope:
     all_fields: tuple[T.StructField, ...]
     fields: tuple[T.StructField, ...]
     numeric: tuple[T.StructField, ...]
-    approximate: bool = False
+    quantiles: str = "exact"
 
 
 def quantiles(value: Column, approximate: bool = False, shares: tuple[float, ...] = _SHARES) -> Column:
@@ -49,23 +53,24 @@ def counts(scope: Scope, keep: Column | None = None) -> list[Column]:
 
 
 def summaries(scope: Scope, fields: tuple[T.StructField, ...], keep: Column | None = None) -> list[Column]:
-    """q_<column> and m_<column> of the given numeric columns."""
+    """q_<column> (but for sorted quantiles) and m_<column> of the given numeric columns."""
     out = []
     for f in fields:
         value = _number(f, keep)
-        out += [quantiles(value, scope.approximate).alias(f"q_{f.name}"), F.avg(value).alias(f"m_{f.name}")]
+        out += [F.avg(value).alias(f"m_{f.name}")] + ([] if scope.quantiles == "sorted" else [quantiles(value, scope.quantiles == "approximate").alias(f"q_{f.name}")])
     return out
 
 
 def collected(df: DataFrame, scope: Scope, keep: Column | None = None, extra: tuple[Column, ...] = ()) -> tuple[Row, dict[str, dict]]:
-    """The counts with any extra aggregates, and the summary of each numeric column. One job up to QUANTILE_COLUMNS numeric columns."""
+    """The counts with any extra aggregates, and the summary of each numeric column. One aggregate up to QUANTILE_COLUMNS numeric columns."""
     parts = [scope.numeric[i : i + QUANTILE_COLUMNS] for i in range(0, len(scope.numeric), QUANTILE_COLUMNS)] or [()]
     first = df.agg(*counts(scope, keep), *extra, *summaries(scope, parts[0], keep)).first()
     rows = [first, *[df.agg(*summaries(scope, part, keep)).first() for part in parts[1:]]]
     found = {}
     for row, part in zip(rows, parts, strict=True):
-        for f in part:
-            found[f.name] = _summary(row[f"q_{f.name}"], row[f"m_{f.name}"])
+        ranked = sorted_quantiles(df, [_number(f, keep) for f in part], _SHARES) if scope.quantiles == "sorted" else [row[f"q_{f.name}"] for f in part]
+        for f, q in zip(part, ranked, strict=True):
+            found[f.name] = _summary(q, row[f"m_{f.name}"])
     return first, found
 
 
@@ -77,7 +82,7 @@ def _summary(q: list | None, mean: float | None) -> dict:
 def snapshot_df(df: DataFrame, approximate: bool = False) -> DataFrame:
     """The profile of a frame as rows, lazily: position, column, type, n_na and the numeric summary."""
     fields = tuple(df.schema.fields)
-    scope = Scope(fields, fields, tuple(f for f in fields if is_numeric(f)), approximate)
+    scope = Scope(fields, fields, tuple(f for f in fields if is_numeric(f)), "approximate" if approximate else "exact")
     row = df.agg(*counts(scope), *summaries(scope, scope.numeric))
     none = F.lit(None).cast("double")
     structs = []

@@ -223,3 +223,24 @@ def test_cache_and_release(orders):
     assert held.is_cached
     t.release()
     assert not held.is_cached
+
+
+@pytest.mark.parametrize("way", ["sorted", "approximate"])
+def test_ways_to_quantiles(spark, way):
+    df = spark.range(1001).select(F.col("id"), (F.col("id") % 7).cast("double").alias("ties"), F.lit(None).cast("double").alias("none")).repartition(5)
+    exact, other = lf.audit_trail("a"), lf.audit_trail("b")
+    lf.audit_tap(df, exact)
+    lf.audit_tap(df, other, quantiles=way)
+    assert exact.snapshots[0].numeric_summary == other.snapshots[0].numeric_summary
+    lf.filter_tap(df, "id >= 500", trail=exact, quiet=True)
+    lf.filter_tap(df, "id >= 500", trail=other, quiet=True, quantiles="sorted")
+    assert exact.snapshots[1].numeric_summary == other.snapshots[1].numeric_summary
+    with pytest.raises(ValueError):
+        lf.audit_tap(df, other, quantiles="guess")
+
+
+def test_sorted_quantiles_interpolate(spark):
+    t = lf.audit_trail("t")
+    lf.audit_tap(spark.createDataFrame([(1.0,), (2.0,), (10.0,), (float("nan"),)], "v double"), t, quantiles="sorted")
+    s = t.snapshots[0].numeric_summary[0]
+    assert (s["min"], s["q25"], s["median"], s["q75"], s["max"]) == (1.0, 1.5, 2.0, 6.0, 10.0)

@@ -1,10 +1,10 @@
 """Exact dedup by two-pass Bloom filtering.
 
-The first pass sets two bits for each text in a blocked Bloom filter that keeps only bits hit twice or more. The second
-pass probes it: a text whose two bits are both set may be repeated and goes on to an exact grouping by SHA-256; any
+The first pass sets two bits for each text in a blocked Bloom filter (bloom.py) that keeps only bits hit twice or more. The
+second pass probes it: a text whose two bits are both set may be repeated and goes on to an exact grouping by SHA-256; any
 other text cannot have an equal and passes straight through, without a shuffle. Everything is a DataFrame expression.
 
-Scale. The filter has a size bound (MAX_BITS, 16 MB) however many rows there are, so it can be broadcast; when the
+Scale. The filter has a size bound of 16 MB however many rows there are, so it can be broadcast; when the
 input outgrows it, more unique rows are suspected and shuffled, and the result stays exact. Only (digest, id) shuffles
 for the decisions; `drop_repeats` shuffles texts of suspects alone. A group of copies collapses on the map side,
 and its answer comes back through `attach`, so that no task gets a whole hot group.
@@ -15,53 +15,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerframe.llm.bloom import bloom, probed
 from ledgerframe.llm.shared import attach, checkpointed, name, written
 
 #: Any run of white space but a lone blank, which needs no change.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
-BLOCK_BITS = 1 << 15
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 27
-
-
 def normalised(text: Column) -> Column:
     """text with each run of white space replaced by one blank; null counts as empty."""
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _RUNS, " ")
 
 
-def _block(blocks: int) -> Column:
-    return F.pmod(F.xxhash64("h", F.lit(1)), F.lit(blocks)).cast("int")
-
-
-def _bit(k: int) -> Column:
-    return F.pmod(F.xxhash64("h", F.lit(k)), F.lit(BLOCK_BITS)).cast("int")
-
-
-def repeat_filter(texts: DataFrame, text: Column, rows: int) -> tuple[DataFrame, int]:
-    """First pass: the blocks of a Bloom filter with the bits that two or more rows set, and the number of blocks."""
-    bits = min(MAX_BITS, max(BLOCK_BITS, rows * BITS_PER_ROW))
-    blocks = -(-bits // BLOCK_BITS)
-    hashed = texts.select(F.xxhash64(text).alias("h"))
-    places = hashed.select(_block(blocks).alias("block"), F.explode(F.array(_bit(2), _bit(3))).alias("bit"))
-    often = places.groupBy("block", "bit").count().where("count > 1")
-    return checkpointed(often.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))), blocks
-
-
-def _is_set(k: int) -> Column:
-    """Whether bit k of a row's two is set in its block; false where the block is absent."""
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(_bit(k), 3) + F.lit(1), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.bit_get(byte, F.pmod(_bit(k), F.lit(8))) == F.lit(1), F.lit(False))
-
-
 def _probed(docs: DataFrame, text_column: str) -> DataFrame:
-    """Second pass: all columns of docs in `row`, with `rid`, `h` and `suspect`."""
+    """All columns of docs in `row`, with `rid`, `norm` and `suspect`: whether the text may be repeated."""
+    repeated = bloom(docs, normalised(name(text_column)), docs.count(), least=2)
     rows = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"))
-    text = normalised(F.col("row")[text_column])
-    blocks, count = repeat_filter(docs, normalised(name(text_column)), docs.count())
-    rows = rows.withColumn("norm", text).withColumn("h", F.xxhash64("norm")).withColumn("block", _block(count))
-    probed = rows.join(F.broadcast(blocks), "block", "left")
-    return probed.withColumn("suspect", _is_set(2) & _is_set(3)).drop("bits", "block")
+    return probed(rows.withColumn("norm", normalised(F.col("row")[text_column])), F.col("norm"), repeated, "suspect")
 
 
 def _decided(slim: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Headers alone (row number, id, payload digest, length) are shuffled by digest; of records with equal payloads the one with the
 largest id is the response and every other becomes a revisit of it. The revisits, again headers alone, are joined to the
-pages by row number, and deduplicated archives are written with fresh headers. The archives are text files of whole records,
+pages by row number: pages that a Bloom filter of these clears are written as they are read, so that of the payloads only those
+that go are shuffled. Deduplicated archives are written with fresh headers. The archives are text files of whole records,
 written by Spark's own committer to any file system, so a lost task leaves no half record behind; each file has a bounded
 number of records and is read back whole, record by record.
 """
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerframe.llm.bloom import left_join_sparsely
 from ledgerframe.llm.shared import attach, checkpointed, name, written
 
 #: Fixed values of the format.
@@ -63,7 +65,8 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
     escaped. Other columns are not read; an empty table gives an archive without records. pages must be a stable scan.
     """
     rows = _headers(pages, id_column, url_column, html_column)
-    rows = rows.join(revisits(rows, min_bytes).withColumn("again", F.lit(True)), "rid", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    again = checkpointed(revisits(rows, min_bytes).withColumn("again", F.lit(True)))
+    rows = left_join_sparsely(rows, again, "rid").withColumn("again", F.coalesce("again", F.lit(False)))
     line = lambda key, value: F.concat(F.lit(key + ": "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("bytes").cast("string")), F.lit("\r\n"))

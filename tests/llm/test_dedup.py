@@ -2,8 +2,10 @@ import hashlib
 import re
 from collections import defaultdict
 
+from ledgerframe.llm import bloom
 from ledgerframe.llm import exact_dedup as op
 from ledgerframe.llm.queries import QUERIES
+from ledgerframe.llm.shared import checkpointed
 from tests.llm.conftest import EDGE_TEXTS
 
 
@@ -51,7 +53,7 @@ def test_empty(empty):
 
 
 def test_filter_has_no_false_negatives_when_it_is_far_too_small(spark, monkeypatch):
-    monkeypatch.setattr(op, "MAX_BITS", 1 << 15)
+    monkeypatch.setattr(bloom, "MAX_BITS", 1 << 15)
     docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id % 15000) AS text").repartition(3).checkpoint()
     rows = op.exact_dedup(docs)
     assert rows.where("kept").count() == 15_000
@@ -63,3 +65,10 @@ def test_hot_group(spark):
     rows = op.exact_dedup(docs)
     assert rows.where("group_size = 3000").count() == 3_000
     assert rows.where("kept").count() == 6_001
+
+
+def test_left_join_sparsely(spark):
+    rows = spark.range(2_000).selectExpr("id AS k", "concat('v', id) AS v").coalesce(2)
+    table = checkpointed(spark.createDataFrame([(5, "five"), (1999, "last"), (7_000, "absent")], "k long, w string"))
+    out = {r.k: r.w for r in bloom.left_join_sparsely(rows, table, "k").collect()}
+    assert len(out) == 2_000 and {k: w for k, w in out.items() if w} == {5: "five", 1999: "last"}

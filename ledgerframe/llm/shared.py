@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,43 +16,55 @@ HEAVY_PARTS = 1000
 
 _LOCAL_ROOT = "/tmp/checkpoints"
 
+#: Values of an Arrow batch that are Python objects at a time.
+SLICE = 256
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in parts of SLICE rows, so that few of its texts are Python objects at once."""
+    return (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE))
+
 
 def name(column: str) -> Column:
     """The column of exactly this name, dots and blanks included."""
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def _deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the path deleted when the driver ends: by its JVM, or where that has gone, as a folder of this machine."""
+    context = spark.sparkContext
+
+    def clean() -> None:
+        try:
+            hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001  the session may have been stopped by then
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+
+    atexit.register(clean)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
     Where the setting is absent, a local master gets a folder of its own and any other gets one in the warehouse,
-    which is shared as well. Checkpoints then go to the same place.
+    which is shared as well. Checkpoints then go to the same place, which goes when the driver ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    local = context.master.startswith("local[") or context.master == "local"
-    root = _LOCAL_ROOT if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    context.setCheckpointDir(root)
+    if not context.getCheckpointDir():
+        local = context.master.startswith("local[") or context.master == "local"
+        context.setCheckpointDir(_LOCAL_ROOT if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        _deleted_at_exit(spark, context.getCheckpointDir())
     return context.getCheckpointDir().rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; it is deleted when the driver ends."""
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    context = spark.sparkContext
-
-    def clean() -> None:
-        try:
-            hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone by then
-            pass
-
-    atexit.register(clean)
+    _deleted_at_exit(spark, path)
     return path
 
 

@@ -1,7 +1,7 @@
 """Validation of joins, keys and relationships, from counts of keys: the join itself is never made.
 
-Each side is counted by key with map-side combination, so that hot keys arrive as one row from each task, and the counts are
-joined null-safely. Duplicate and unmatched keys stay lazy frames."""
+Both sides are stacked and counted by key in one shuffle, combined on the map side, so that a hot key arrives as one row from each
+task. Duplicate and unmatched keys stay lazy frames."""
 
 from __future__ import annotations
 
@@ -42,24 +42,29 @@ def _checked_stat(df: DataFrame, stat: str | None, side: str) -> None:
             raise TypeError(f"stat column {stat!r} of {side} must be numeric")
 
 
-def _counted(df: DataFrame, keys: list[str], side: str, stat: str | None) -> DataFrame:
-    aggregates = [F.count(F.lit(1)).alias(f"n_{side}")]
-    if stat is not None:
-        field = df.schema[stat]
-        aggregates += [F.sum(present(name(stat), field).cast("double")).alias(f"s_{side}"), F.count_if(is_missing(name(stat), field)).alias(f"m_{side}")]
-    return df.groupBy(*[name(k).alias(f"__{side}{i}") for i, k in enumerate(keys)]).agg(*aggregates)
+def _side(df: DataFrame, keys: list[str], side: str, stats: dict[str, str | None]) -> DataFrame:
+    """Keys as __k<i>, and for each side a count and its stat: those of the other side are absent."""
+    columns = [name(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    for s, stat in stats.items():
+        columns.append((F.lit(1).cast("long") if s == side else F.lit(None).cast("long")).alias(f"n_{s}"))
+        if stat is not None:
+            field = df.schema[stat] if s == side else None
+            columns.append((present(name(stat), field).cast("double") if field else F.lit(None).cast("double")).alias(f"s_{s}"))
+            columns.append((is_missing(name(stat), field).cast("long") if field else F.lit(None).cast("long")).alias(f"m_{s}"))
+    return df.select(*columns)
 
 
 def key_counts(x: DataFrame, y: DataFrame, by: By, stat_x: str | None = None, stat_y: str | None = None) -> DataFrame:
-    """One row for each key of either side: the key by x's names, n_x and n_y (null where absent), and the stats' sums."""
+    """One row for each key of either side: the key by x's names, n_x and n_y (null where absent), and the stats' sums.
+
+    Both sides are stacked and grouped once: one shuffle of combined counts, where missing keys fall together by themselves and nothing
+    is joined."""
     pairs = key_pairs(by)
-    left, right = _counted(x, [a for a, _ in pairs], "x", stat_x), _counted(y, [b for _, b in pairs], "y", stat_y)
-    match = F.lit(True)
-    for i in range(len(pairs)):
-        match = match & F.col(f"__x{i}").eqNullSafe(F.col(f"__y{i}"))
-    keys = [F.when(F.col("n_x").isNotNull(), F.col(f"__x{i}")).otherwise(F.col(f"__y{i}")).alias(a) for i, (a, _) in enumerate(pairs)]
-    rest = [c for c in (*left.columns, *right.columns) if not c.startswith("__")]
-    return left.join(right, match, "full").select(*keys, *rest)
+    stats = {"x": stat_x, "y": stat_y}
+    both = _side(x, [a for a, _ in pairs], "x", stats).union(_side(y, [b for _, b in pairs], "y", stats))
+    sums = [c for c in both.columns if not c.startswith("__k")]
+    counts = both.groupBy(*[f"__k{i}" for i in range(len(pairs))]).agg(*[F.sum(c).alias(c) for c in sums])
+    return counts.select(*[F.col(f"__k{i}").alias(a) for i, (a, _) in enumerate(pairs)], *sums)
 
 
 def _total(part: str, where: Column | None = None) -> Column:

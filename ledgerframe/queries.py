@@ -364,7 +364,7 @@ def _(read):
 )
 def _(read):
     df = compare.discrepancies_df(_plan(read, top_n=25, compare_cols=["o_totalprice"]), True)
-    return rounded(df.drop("pct_diff")).join(df.select("o_orderkey", F.round("pct_diff", 6).alias("pct_diff")), "o_orderkey")
+    return df.select("o_orderkey", "column", *[F.round(c, 6 if c == "pct_diff" else 4).alias(c) for c in ("value_x", "value_y", "abs_diff", "pct_diff")])
 
 
 @query("compare_discrepancies_categorical", f"{_PAIR} SELECT o_orderkey, 'o_orderstatus' AS \"column\", sx AS value_x, sy AS value_y FROM m WHERE sx IS DISTINCT FROM sy")

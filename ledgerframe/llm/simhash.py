@@ -72,7 +72,9 @@ def links(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) among distinct fingerprints (column fp) that connect any two within RADIUS bits of each other."""
     flips = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.struct(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)).alias("key"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("mask")))
     itself = F.array(F.struct(F.col("fp").alias("key"), F.lit(0).cast("long").alias("mask")))
-    table = distinct.select(F.explode(F.concat(itself, flips)).alias("e")).select("e.key", "e.mask")
+    # Each row becomes 65, so the few partitions that so small a table comes in are dealt out first.
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    table = spread.select(F.explode(F.concat(itself, flips)).alias("e")).select("e.key", "e.mask")
     table = table.groupBy("key").agg(F.bit_or("mask").alias("mask"), F.min("mask").alias("low"), F.max(F.col("mask") == 0).alias("own"))
     table = table.where(F.bit_count("mask") + F.col("own").cast("int") > 1)
     near = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("getbit", F.col("mask"), i) == 1)

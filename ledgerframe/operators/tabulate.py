@@ -170,6 +170,8 @@ class Tab:
     wt: str | None
     sort: str
     display: str
+    #: The levels of factors among the variables; a level without rows is shown.
+    levels: tuple[list[str] | None, ...] = ()
 
     def to_df(self) -> DataFrame:
         """One-way: value, freq, percent, cum_percent; two-way: the long form of the counts. Real categories that look like special rows stay."""
@@ -181,8 +183,8 @@ class Tab:
         """Labels of rows and columns in display order, and the counts of the cells that have any."""
         label = lambda r, side: (r[f"{side}_special"], r[f"{side}_value"])
         out = []
-        for side in ("row", "col"):
-            keys: dict[tuple, list] = {}
+        for side, levels in zip(("row", "col"), self.levels or (None, None), strict=True):
+            keys: dict[tuple, list] = {(_VALUE, level): [i, 0.0] for i, level in enumerate(levels or (), 1)}
             for r in self.rows:
                 keys.setdefault(label(r, side), [r[f"{side}_key"], 0.0])[1] += r["n"]
             order = sorted(keys, key=lambda k: (k[0], keys[k][0] is None, keys[k][0] if keys[k][0] is not None else 0))
@@ -219,18 +221,19 @@ def tab(df: DataFrame, *variables: str, wt: str | None = None, sort: str = "valu
         frame = tab_df(df, variables[0], wt, sort, cutoff, na)
         rows = [r.asDict() for r in frame.orderBy("position").collect()]
         n_other, total = sum(r["n_other"] for r in rows), sum(r["freq"] for r in rows)
-        n_values = len(rows)
+        n_values, levels = len(rows), ()
     else:
         frame = crosstab_df(df, *variables, wt=wt, cutoff=cutoff, na=na)
         rows = [r.asDict() for r in frame.collect()]
         total, n_values = sum(r["n"] for r in rows), len({r["row_value"] for r in rows})
-        n_other = 0
+        n_other, levels = 0, tuple(levels_of(df.schema[v]) for v in variables)
         if cutoff is not None:
+            levels = (None, levels[1])
             complete = _by_na(df, variables, "exclude").select(_value(df, variables[0]).alias("v")).distinct().count()
             n_other = complete - len({r["row_value"] for r in rows if r["row_special"] == _VALUE})
     if n_values > MANY_VALUES and cutoff is None:
         warnings.warn(f"{variables[0]} has {n_values} values; consider a cutoff", stacklevel=2)
-    return Tab(list(variables), frame, rows, totals.n_obs, totals.n_missing, n_other, total, wt, sort, display)
+    return Tab(list(variables), frame, rows, totals.n_obs, totals.n_missing, n_other, total, wt, sort, display, levels)
 
 
 def tab_tap(df: DataFrame, *variables: str, trail: AuditTrail, label: str | None = None, wt: str | None = None, sort: str = "value_asc", cutoff: float | None = None, na: str = "include", display: str = "count", numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None) -> DataFrame:

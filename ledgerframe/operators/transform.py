@@ -104,6 +104,8 @@ class TransformAudit:
     examples: list[dict]
     levels: dict | None
     cleaned: DataFrame
+    #: For factors: level, n_before, n_after; the null level counts missing values.
+    level_counts: DataFrame | None = None
 
     def __getattr__(self, key: str):  # noqa: ANN204
         try:
@@ -136,7 +138,7 @@ def audit_transform(df: DataFrame, column: str, fn: Callable[[Column], Column] |
         levels = {"before": old, "after": new, "added": [x for x in new if x not in old], "removed": [x for x in old if x not in new]}
     examples = [r.asDict() for r in changed_examples_df(df, column, fn).collect()] if metrics["n_changed"] else []
     cleaned = df.withColumn(column, fn(name(column)) if callable(fn) else fn)
-    return TransformAudit(label or column, _kind(before), metrics, examples, levels, cleaned)
+    return TransformAudit(label or column, _kind(before), metrics, examples, levels, cleaned, level_counts_df(df, column, fn) if _kind(before) == "factor" else None)
 
 
 __all__ = ["TransformAudit", "audit_transform", "changed_examples_df", "level_counts_df", "transform_df"]

@@ -105,6 +105,15 @@ def test_crosstab_missing_pairs_and_cutoff(spark):
     assert cut.total == 5 and {r["row_value"] for r in cut.rows} == {"a", "(Other)", "<NA>"} and cut.n_other == 1
 
 
+def test_crosstab_shows_levels_without_rows(spark):
+    df = spark.createDataFrame([("a", "p"), ("b", "q")], "x string, y string")
+    f = lf.as_factor(lf.as_factor(df, "x", ["c", "b", "a"]), "y", ["q", "p", "r"])
+    t = lf.tab(f, "x", "y")
+    assert t.matrix()[:2] == (["c", "b", "a"], ["q", "p", "r"])
+    assert lf.tab(f, "x", "y", sort="value_desc").matrix()[0] == ["a", "b", "c"]
+    assert "r" in str(t)
+
+
 def test_tab_errors(cars):
     for variables in ((), ("cyl", "gear", "mpg"), ("zz",)):
         with pytest.raises(ValueError):
@@ -195,6 +204,7 @@ def test_transform_other_classes(spark):
     assert (b.n_changed, b.n_true_before, b.n_true_after) == (4, 2, 2)
     f = lf.as_factor(one(spark, ["a", "b"], "string"), "v", ["a", "b"])
     a = lf.audit_transform(f, "v", lambda c: F.when(c == "a", "z").otherwise(c))
+    assert sorted((r.level, r.n_before, r.n_after) for r in a.level_counts.collect()) == [("a", 1, 0), ("b", 1, 1), ("z", 0, 1)]
     assert a.levels == {"before": ["a", "b"], "after": ["b", "z"], "added": ["z"], "removed": ["a"]}
     assert lf.audit_transform(one(spark, [], "double"), "v", lambda c: c).pct_changed == 0.0
 

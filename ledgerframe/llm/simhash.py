@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerframe.llm.bloom import left_join_sparsely
 from ledgerframe.llm.components import components
-from ledgerframe.llm.shared import attach, checkpointed, name, written
+from ledgerframe.llm.shared import attach, checkpointed, name, sliced, written
 
 SEED = 42
 SHINGLE = 3
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, size: int) -
     """id and fp (the fingerprint's bits as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             fps = np.array([fingerprint(t or "", size) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
@@ -108,8 +109,10 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE) -> DataFrame:
     """docs with one document of each component: the one with the smallest id. Rows without an id all stay.
 
-    Of rows that repeat the id that stays, all stay; exact dedup comes first in a pipeline.
+    Of rows that repeat the id that stays, all stay; exact dedup comes first in a pipeline. Texts are not shuffled but for the
+    documents that go and the few that their ids' Bloom filter takes for them.
     """
     groups = simhash_groups(docs, id_column, text_column, size)
-    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, name(id_column) == F.col("__lost"), "left_anti")
+    lost = checkpointed(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__lost")).distinct())
+    rows = docs.withColumn("__id", name(id_column).cast("long"))
+    return left_join_sparsely(rows, lost, "__id").where("__lost is null").select(*[name(c) for c in docs.columns])

@@ -98,6 +98,12 @@ def _gapless(rows, sequence):
         assert padded == (at if at & (at - 1) == 0 else sequence)
 
 
+def test_offsets_by_shuffle(edge, vocab, monkeypatch):
+    rows = sorted(map(str, packing.pack(edge, vocab, sequence=64).collect()))
+    monkeypatch.setattr(packing, "BROADCAST_PARTITIONS", 0)
+    assert sorted(map(str, packing.pack(edge, vocab, sequence=64).collect())) == rows
+
+
 def test_op3(spark, texts, library):
     rows = QUERIES["op3_packing"](spark, "/root/testdata/sf0.001").collect()
     _gapless(rows, 2048)

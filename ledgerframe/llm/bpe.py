@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from ledgerframe.llm.shared import name
+from ledgerframe.llm.shared import name, sliced
 
 #: Fixed value: the pattern that splits text before merging (published with the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -32,8 +32,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CACHE_ENTRIES = 500_000
 #: Characters of text that are encoded together.
 CHUNK_CHARS = 1 << 20
-#: Rows that are decoded together.
-DECODED_ROWS = 256
 #: Longer words are not cached.
 CACHED_CHARS = 200
 
@@ -355,7 +353,7 @@ def _appended(rows: DataFrame, column: str, fresh: list[T.StructField], work: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string() for f in fresh]
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             done = 0
             for parts in work(batch.column(at).to_pylist()):
                 old = batch.slice(done, len(parts[0]))
@@ -388,8 +386,7 @@ def bpe_decode(rows: DataFrame, vocabulary_path: str, ids_column: str = "ids", t
 
     def work(ids: list[bytes | None]) -> Iterator[tuple[list, ...]]:
         bpe = vocabulary(vocabulary_path)
-        for i in range(0, len(ids), DECODED_ROWS):
-            yield ([bpe.decoded(b or b"") for b in ids[i : i + DECODED_ROWS]],)
+        yield ([bpe.decoded(b or b"") for b in ids],)
 
     return _appended(rows, ids_column, [T.StructField(text_column, T.StringType(), False)], work)
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.shared import name, written
+from ledgerframe.llm.shared import name, sliced, written
 
 _MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 #: A line that announces a quotation, in the four languages.
@@ -72,7 +72,7 @@ def link_replies(messages: DataFrame, conversation_column: str = "conv_id", turn
     quote = pa.struct([("level", pa.int32()), ("hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             found = [quotations(t or "") for t in batch.column(4).to_pylist()]
             columns = [pa.array([c for c, _, _ in found], pa.string()), pa.array([[{"level": a, "hash": b} for a, b in q] for _, q, _ in found], pa.list_(quote)), pa.array([o for _, _, o in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], *columns], names=["rid", "conv", "turn", "role", "text", "quotes", "own"])

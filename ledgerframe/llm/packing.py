@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from ledgerframe.llm.bpe import PATTERN, STEADY, vocabulary
-from ledgerframe.llm.shared import checkpointed, name, written
+from ledgerframe.llm.bpe import PATTERN, STEADY, SpeculativeBpe
+from ledgerframe.llm.shared import checkpointed, name, sliced, written
 
 SEQUENCE = 2048
 END_ID = 1
@@ -49,7 +49,7 @@ class LibraryEncoder:
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
-        bpe = vocabulary(path)
+        bpe = SpeculativeBpe(path)
         self._special = tuple(bpe.special)
         ranks = {token: i for i, token in enumerate(bpe.bytes_of) if i not in bpe.special.values()}
         ordered = all(bpe.id_of.get(token) == i for token, i in ranks.items()) and bool((np.diff(bpe.rank[bpe.rank >= 0]) > 0).all())
@@ -85,7 +85,7 @@ def laid_out(docs: DataFrame, vocabulary_path: str, id_column: str, text_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = library_encoder(vocabulary_path), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             keys, texts, done = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], 0
             for chunk in encoder.encode(texts):
                 ids = [b + close for b in chunk]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerframe.llm.shared import name
+from ledgerframe.llm.shared import SLICE, name
 
 #: Frequent short words of the four languages.
 STOP_WORDS = (
@@ -66,7 +66,7 @@ def features(text: str) -> tuple[int, ...]:
 
 @F.arrow_udf(T.StructType([T.StructField(f, T.LongType(), False) for f in FEATURES]))
 def _features(texts: pa.Array) -> pa.Array:
-    rows = [features(t or "") for t in texts.to_pylist()]
+    rows = [features(t or "") for i in range(0, len(texts), SLICE) for t in texts.slice(i, SLICE).to_pylist()]
     columns = zip(*rows, strict=True) if rows else [[] for _ in FEATURES]
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(FEATURES))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerframe.llm.shared import name, written
+from ledgerframe.llm.shared import name, sliced, written
 
 #: Labelled rows that the lexicon is learned from, at most (in expectation; the bound of the broadcast is twice that).
 SAMPLE = 40_000
@@ -135,9 +135,10 @@ def _counts(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                found = beginnings(set(fold(text).split()))
-                counts.update(found if wanted is None else found & wanted)
+            for part in sliced(batch):
+                for text in part.column(0).to_pylist():
+                    found = beginnings(set(fold(text).split()))
+                    counts.update(found if wanted is None else found & wanted)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["part", "n"])
 
     return rows.select("text").mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
@@ -181,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 def _measured(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             found = [matcher.measured(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.float64()), pa.array([b for _, b in found], pa.float64()), batch.column(1)], names=["total", "by_length", "label"])
 
@@ -213,7 +214,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             scores = [matcher.score(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 

@@ -32,8 +32,10 @@ LONG_WORD = 2000
 CHUNK_BYTES = 1 << 22
 #: Partitions whose totals one task adds up on the first level of the prefix sum.
 FAN = 4096
+#: Partitions whose offsets (16 bytes each) are broadcast at most; those of more are joined by shuffle.
+BROADCAST_PARTITIONS = 1_000_000
 
-_LAID = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("ids", T.BinaryType())])
+_LAID = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
 class LibraryEncoder:
@@ -80,7 +82,7 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 
 def laid_out(docs: DataFrame, vocabulary_path: str, id_column: str, text_column: str, end_id: int) -> DataFrame:
-    """First pass: doc_id, part, at (ids before the document in its partition) and ids, closed by end_id."""
+    """First pass: doc_id, part, at (ids before the document in its partition), n and ids, closed by end_id."""
     close = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,21 +93,21 @@ def laid_out(docs: DataFrame, vocabulary_path: str, id_column: str, text_column:
                 ids = [b + close for b in chunk]
                 size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 ends = np.cumsum(size)
-                yield pa.RecordBatch.from_arrays([keys.slice(done, len(ids)), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - size), pa.array(ids, pa.binary())], schema=_arrow)
+                yield pa.RecordBatch.from_arrays([keys.slice(done, len(ids)), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - size), pa.array(size), pa.array(ids, pa.binary())], schema=_arrow)
                 done, at = done + len(ids), at + int(ends[-1])
 
-    _arrow = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("ids", pa.binary())])
+    _arrow = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
     return docs.select(name(id_column).cast("long"), name(text_column).cast("string")).mapInArrow(run, _LAID)
 
 
 def partition_offsets(totals: DataFrame) -> DataFrame:
-    """part and base: the sum of the totals of all partitions before it. totals: part, total."""
+    """part, total and base: the sum of the totals of all partitions before it. totals: part, total."""
     band = Window.partitionBy("band").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     inside = totals.withColumn("band", (F.col("part") / FAN).cast("int")).withColumn("inside", F.coalesce(F.sum("total").over(band), F.lit(0)))
     # One row for each FAN partitions: few enough for one task at any size.
     bands = inside.groupBy("band").agg(F.sum("total").alias("band_total"))
     before = F.coalesce(F.sum("band_total").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return inside.join(bands.select("band", before.alias("start")), "band").select("part", (F.col("inside") + F.col("start")).alias("base"))
+    return inside.join(bands.select("band", before.alias("start")), "band").select("part", "total", (F.col("inside") + F.col("start")).alias("base"))
 
 
 def pack(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -116,13 +118,12 @@ def pack(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_
     columns are not read; an empty table has no pieces. Texts of any length are packed whole, over as many sequences as needed.
     """
     laid = written(laid_out(docs, vocabulary_path, id_column, text_column, end_id), "packing")
-    totals = laid.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("total"))
-    offsets = checkpointed(partition_offsets(totals))
-    ends = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("all")).first()["all"]
+    offsets = checkpointed(partition_offsets(laid.groupBy("part").agg(F.sum("n").alias("total"))))
+    ends, few = offsets.agg(F.coalesce(F.max(F.col("base") + F.col("total")), F.lit(0)), F.count(F.lit(1)) <= BROADCAST_PARTITIONS).first()
     tail = ends % sequence
     last, padded = ends // sequence, tail if tail & (tail - 1) == 0 else sequence
-    # One row of two numbers for each input partition: 16 MB at a million partitions.
-    placed = laid.join(F.broadcast(offsets), "part").withColumn("begin", F.col("base") + F.col("at")).withColumn("doc_tokens", (F.octet_length("ids") / 4).cast("long"))
+    # One row of two numbers for each input partition; broadcast while that is small by count.
+    placed = laid.join(F.broadcast(offsets) if few else offsets, "part").withColumn("begin", F.col("base") + F.col("at")).withColumnRenamed("n", "doc_tokens")
     window = F.expr(f"sequence(begin div {sequence}, (begin + doc_tokens - 1) div {sequence})")
 
     def piece(k):

@@ -35,9 +35,23 @@ def _hashed(passages: Iterator[str] | list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) - (1 << 63) for p in found]
 
 
-def quotations(text: str) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The text without quotes; level and hash of each quoted passage; and hashes of all that a later message may quote:
-    the whole own text, its paragraphs and its lines."""
+def _line_pairs(lines: list[str]) -> list[str]:
+    """Each two lines in a row, blank ones aside."""
+    full = [x for x in lines if x.strip()]
+    return [f"{a} {b}" for a, b in zip(full, full[1:], strict=False)]
+
+
+def _parts(lines: list[str]) -> list[list[int]]:
+    """Hashes of a quoted passage: of it as a whole, and if it has several lines, of its pairs of lines and of its lines."""
+    whole = _hashed([" ".join(lines)])
+    if not whole:
+        return []
+    return [whole, _hashed(_line_pairs(lines)), _hashed(lines)] if len(lines) > 1 else [whole]
+
+
+def quotations(text: str) -> tuple[str, list[tuple[int, list[list[int]]]], list[int]]:
+    """The text without quotes; level and hashes (see _parts) of each quoted passage; and hashes of all that a later message may
+    quote: the whole own text, its paragraphs, its pairs of lines and its lines."""
     own: list[str] = []
     quoted: list[tuple[int, list[str]]] = []
     lines = text.split("\n")
@@ -53,9 +67,9 @@ def quotations(text: str) -> tuple[str, list[tuple[int, int]], list[int]]:
         if not rest.strip() or not quoted or quoted[-1][0] != level:
             quoted.append((level, []))
         quoted[-1][1].append(rest)
-    passages = [(level, h) for level, part in quoted if level for h in _hashed([" ".join(part)])]
+    passages = [(level, parts) for level, part in quoted if level and (parts := _parts(part))]
     clean = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if passages else text
-    return clean, passages, _hashed([clean, *re.split(r"\n\s*\n", clean), *clean.split("\n")])
+    return clean, passages, _hashed([clean, *re.split(r"\n\s*\n", clean), *_line_pairs(clean.split("\n")), *clean.split("\n")])
 
 
 def link_replies(messages: DataFrame, conversation_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
@@ -63,26 +77,32 @@ def link_replies(messages: DataFrame, conversation_column: str = "conv_id", turn
 
     reply_to is the turn that first said the nearest quoted passage of the same conversation, if an earlier one did; else null.
     `anchor` is reply_to or else the own turn: sorted by (conv_id, anchor, reply_to not null, turn) a reply follows what it
-    answers. Passages are compared with white space and case evened out. Null texts are empty; null turns link to nothing; a null
+    answers. A passage is one said whole (a text, paragraph or line), else one whose pairs of lines, else one whose lines have all been
+    said; the turn is then the one by which they were. Passages are compared with white space and case evened out. Null texts are empty; null turns link to nothing; a null
     conversation is one of its own; repeated messages come out each; other columns are not read; an empty table gives no rows.
     messages must be a stable scan.
     """
-    fields = "rid long, conv {0}, turn {1}, role string, text string, quotes array<struct<level:int,hash:long>>, own array<long>"
+    fields = "rid long, conv {0}, turn {1}, role string, text string, quotes array<struct<level:int,parts:array<array<long>>>>, own array<long>"
     kinds = [messages.schema[c].dataType.simpleString() for c in (conversation_column, turn_column)]
-    quote = pa.struct([("level", pa.int32()), ("hash", pa.int64())])
+    quote = pa.struct([("level", pa.int32()), ("parts", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in sliced(whole)):
             found = [quotations(t or "") for t in batch.column(4).to_pylist()]
-            columns = [pa.array([c for c, _, _ in found], pa.string()), pa.array([[{"level": a, "hash": b} for a, b in q] for _, q, _ in found], pa.list_(quote)), pa.array([o for _, _, o in found], pa.list_(pa.int64()))]
+            columns = [pa.array([c for c, _, _ in found], pa.string()), pa.array([[{"level": a, "parts": b} for a, b in q] for _, q, _ in found], pa.list_(quote)), pa.array([o for _, _, o in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], *columns], names=["rid", "conv", "turn", "role", "text", "quotes", "own"])
 
     rows = messages.select(F.monotonically_increasing_id().alias("rid"), name(conversation_column).alias("conv"), name(turn_column).alias("turn"), name(role_column).cast("string").alias("role"), name(text_column).cast("string").alias("text"))
     parsed = written(rows.mapInArrow(run, fields.format(*kinds)), "chat")
     said = parsed.where("turn is not null").select("conv", "turn", F.explode("own").alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("first"))
-    asked = parsed.where("size(quotes) > 0").select("rid", F.col("conv").alias("c"), "turn", F.explode("quotes").alias("q"))
-    met = asked.join(said, F.col("c").eqNullSafe(F.col("conv")) & (F.col("q.hash") == F.col("hash")) & (F.col("first") < F.col("turn")))
-    nearest = F.min(F.struct(F.col("q.level").alias("level"), (-F.col("first")).alias("back")))
+    asked = parsed.where("size(quotes) > 0").select("rid", F.col("conv").alias("c"), "turn", F.posexplode("quotes").alias("place", "q"))
+    asked = asked.select("rid", "c", "turn", "place", F.col("q.level").alias("level"), F.posexplode("q.parts").alias("kind", "hashes"))
+    asked = asked.select("rid", "c", "turn", "place", "level", "kind", F.size("hashes").alias("parts"), F.explode("hashes").alias("asked"))
+    met = asked.join(said, F.col("c").eqNullSafe(F.col("conv")) & (F.col("asked") == F.col("hash")) & (F.col("first") < F.col("turn")))
+    # All parts of a kind must have been said; the message is the one that first completes them.
+    met = met.groupBy("rid", "place", "level", "kind", "parts").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("first")).where("n = parts")
+    met = met.groupBy("rid", "place", "level").agg(F.min(F.struct("kind", "first"))["first"].alias("first"))
+    nearest = F.min(F.struct("level", (-F.col("first")).alias("back")))
     links = met.groupBy("rid").agg(nearest.alias("near"), F.count(F.lit(1)).alias("n_linked"))
     out = parsed.drop("own").join(links, "rid", "left").withColumn("reply_to", (-F.col("near.back")).cast(kinds[1]))
     return out.select(

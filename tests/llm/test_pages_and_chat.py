@@ -120,3 +120,18 @@ def test_op6_keeps_every_message_and_its_text_without_quotes(spark):
 
 def test_empty_talk(spark):
     assert chat.ordered_conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
+def test_quotes_of_some_lines_of_a_paragraph(spark):
+    talk = [
+        (1, 0, "user", "one a\nsomething else"),
+        (1, 1, "assistant", "one a\ntwo b\nthree c\nfour d"),
+        (1, 2, "user", "a new topic"),
+        (1, 3, "user", "> one a\n> two b\nfirst lines"),
+        (1, 4, "user", "> two b\n> three c\n> four d\nlast lines"),
+        (1, 5, "user", "> one a\n> three c\nlines apart"),
+        (1, 6, "user", "> one a\n> never said\nin part"),
+    ]
+    rows = chat.ordered_conversations(spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").coalesce(1)).collect()
+    assert {r.turn: (r.reply_to, r.n_quotes, r.n_linked) for r in rows if r.turn > 2} == {3: (1, 1, 1), 4: (1, 1, 1), 5: (1, 1, 1), 6: (None, 1, 0)}
+    assert [r.turn for r in rows] == [0, 1, 3, 4, 5, 2, 6]

@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a maximal run of key-like characters that mixes letters and digits. A window slides over it; the sum that
+A candidate is a maximal run of key-like characters that mixes letters and digits, or upper and lower case. A window slides over it; the sum that
 the window's entropy needs is kept up to date from the counts of the one character that enters and the one that leaves.
 A candidate is reported if some window reaches the threshold of its character class and no allow-list pattern holds.
 Everything is row by row in DataFrame expressions: no shuffle, no Python, and only rows where a pattern occurs at all
@@ -26,20 +26,22 @@ ASSIGN = rf"""({_KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: As long as the shortest match that counts; a shorter match could not hide a longer one in these two.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])|(?=[a-z+/_-]*[A-Z])(?=[A-Z+/_-]*[a-z]))[A-Za-z0-9+/_-]{16,}={0,2}"
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_VALUE = 6
 
 WINDOW = 16
 #: Character classes from the narrowest on, with the entropy in bits that a window must reach.
 CLASSES = ((r"^[0-9a-f]+$", 2.75), (r"^[0-9A-F]+$", 2.75), (r"^[A-Z0-9]+$", 3.1), (r"^[a-z0-9_-]+$", 3.3), (r"^[A-Za-z0-9+/_-]+=*$", 3.4))
-#: Candidates that are no secrets: UUIDs, dates and times, placeholders, alphabets and digits in order, words with a number at their end.
+#: Candidates that are no secrets: UUIDs, dates and times, placeholders, alphabets and digits in order, words with a number at their end,
+#: words and names in camel case.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T|_|$)",
     r"(?i)(example|placeholder|changeme|xxxx|0000000|1234567|abcdefg)",
     r"^([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",
     r"^[A-Za-z]+[0-9]{1,4}$",
+    r"^([A-Z]?[a-z]{2,}|[A-Z]{2,})([A-Z][a-z]{2,})*$",
 )
 MASK = "[SECRET]"
 

@@ -33,4 +33,4 @@ def signed(value: float) -> str:
 
 
 def shortened(text: str, size: int = 60) -> str:
-    return text if len(text) <= size else text[: size - 3] + "..."
+    return text if len(text) <= size else text[:size] + "..."

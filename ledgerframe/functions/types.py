@@ -18,6 +18,21 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def free_name(base: str, taken: Iterable[str], more: str = "_") -> str:
+    """base, extended until it is none of the names that are taken, in either case."""
+    lower = {t.lower() for t in taken}
+    if not more and base.lower() in lower:
+        raise ValueError(f"the result would have two columns called {base!r}")
+    while base.lower() in lower:
+        base += more
+    return base
+
+
+def numbered(df: DataFrame, letter: str) -> DataFrame:
+    """df with its columns called by a letter and their places, so that no name of theirs meets another."""
+    return df.toDF(*[f"{letter}{i}" for i in range(len(df.columns))])
+
+
 def class_name(field: T.StructField) -> str:
     """The canonical class of a column: integer, numeric, character, factor, logical, Date, POSIXct, list, or Spark's own name.
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.functions.types import check_columns, check_frame, name
+from ledgerframe.functions.types import check_columns, check_frame, free_name, numbered
 from ledgerframe.operators.trail import AuditTrail, Snapshot, build_snapshot, check_trail, controls_of, scope_of, with_changes
 from ledgerframe.operators.validate import By, JoinValidation, common_columns, key_pairs, validate_join
 
@@ -25,7 +25,8 @@ def join_frames(x: DataFrame, y: DataFrame, by: By | Column | None = None, how:
     """Joins x and y.
 
     by: equal keys (a missing key equals a missing key); None: all common columns; a Column over both frames, or `on`, SQL over the
-    aliases x and y, for any other condition. Equal keys come out once, by x's name; other columns in both get the suffixes.
+    aliases x and y, for any other condition. Equal keys come out once, by x's name; other columns in both get the suffixes, as often
+    as it takes to make their names differ from all others.
     unmatched="error" fails if a row of x has no match; multiple="error" if one has several, and "any" takes one of them.
     """
     kind = KINDS[how]
@@ -43,23 +44,31 @@ def join_frames(x: DataFrame, y: DataFrame, by: By | Column | None = None, how:
     if multiple == "any":
         y = y.dropDuplicates([b for _, b in pairs])
     keys_x, keys_y = [a for a, _ in pairs], [b for _, b in pairs]
-    right = y.select(*[name(b).alias(f"__key{i}") for i, b in enumerate(keys_y)], *[name(c).alias(f"__y_{c}") for c in y.columns if c not in keys_y])
+    left, right = numbered(x, "x"), numbered(y, "y")
+    at_x, at_y = ({c: f"{letter}{i}" for i, c in enumerate(df.columns)} for letter, df in (("x", x), ("y", y)))
     match = F.lit(True)
-    for i, a in enumerate(keys_x):
-        match = match & x[f"`{a}`"].eqNullSafe(right[f"__key{i}"])
+    for a, b in pairs:
+        match = match & F.col(at_x[a]).eqNullSafe(F.col(at_y[b]))
+    joined = left.join(right, match, kind)
     if kind in ("left_semi", "left_anti"):
-        return x.join(right, match, kind)
-    joined = x.join(right, match, kind)
-    rest_x, rest_y = [c for c in x.columns if c not in keys_x], [c for c in y.columns if c not in keys_y]
-    merged = dict(zip(keys_x, range(len(keys_x)), strict=True))
-    out = []
-    for c in x.columns:
-        if c in merged:
-            out.append((F.coalesce(name(c), F.col(f"__key{merged[c]}")) if kind in ("right", "full") else name(c)).alias(c))
-        else:
-            out.append(name(c).alias(c + suffix[0] if c in rest_y else c))
-    out += [name(f"__y_{c}").alias(c + suffix[1] if c in rest_x or c in keys_x else c) for c in rest_y]
-    return joined.select(*out)
+        return joined.toDF(*x.columns)
+    from_y = {a: at_y[b] for a, b in pairs} if kind in ("right", "full") else {}
+    rest_y = [c for c in y.columns if c not in keys_y]
+    columns = [F.coalesce(at_x[c], from_y[c]) if c in from_y else F.col(at_x[c]) for c in x.columns] + [F.col(at_y[c]) for c in rest_y]
+    names = _suffixed(x.columns, rest_y, keys_x, suffix)
+    return joined.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)])
+
+
+def _suffixed(names_x: list[str], names_y: list[str], keys: list[str], suffix: tuple[str, str]) -> list[str]:
+    """Names of the columns of x and then y. Those in both get their side's suffix, but for keys of x, which keep their names."""
+    keep_x, keep_y = [c for c in names_x if c in keys or c not in names_y], [c for c in names_y if c not in names_x]
+    taken, out = [*keep_x, *keep_y], []
+    for names, keep, more in ((names_x, keep_x, suffix[0]), (names_y, keep_y, suffix[1])):
+        for c in names:
+            out.append(c if c in keep else free_name(c + more, taken, more))
+            if c not in keep:
+                taken.append(out[-1])
+    return out
 
 
 def _theta(x: DataFrame, y: DataFrame, match: Column, kind: str, suffix: tuple[str, str]) -> DataFrame:
@@ -68,7 +77,8 @@ def _theta(x: DataFrame, y: DataFrame, match: Column, kind: str, suffix: tuple[s
     if kind in ("left_semi", "left_anti"):
         return joined
     quoted = lambda side, c: F.col(f"{side}.`{c}`")
-    return joined.select(*[quoted("x", c).alias(c + suffix[0] if c in y.columns else c) for c in x.columns], *[quoted("y", c).alias(c + suffix[1] if c in x.columns else c) for c in y.columns])
+    names = _suffixed(x.columns, y.columns, [], suffix)
+    return joined.select(*[c.alias(n) for c, n in zip([*[quoted("x", c) for c in x.columns], *[quoted("y", c) for c in y.columns]], names, strict=True)])
 
 
 def _tapped(how: str, x: DataFrame, y: DataFrame, by: By | Column | None, trail: AuditTrail | None, label: str | None, stat: str | None, numeric_summary: bool, cols_include: Sequence[str] | None, cols_exclude: Sequence[str] | None, y_name: str, quantiles: str, **options) -> DataFrame:  # noqa: ANN003
@@ -115,7 +125,7 @@ def _enriched(found: JoinValidation, stat: str | None) -> dict:
 
 
 def _tap(how: str) -> Callable[..., DataFrame]:
-    def tap(x: DataFrame, y: DataFrame, by: By | Column | None = None, *, trail: AuditTrail | None = None, label: str | None = None, stat: str | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, y_name: str = "y", quantiles: str = "exact", on: str | None = None, suffix: tuple[str, str] = ("_x", "_y"), unmatched: str = "drop", multiple: str = "all") -> DataFrame:
+    def tap(x: DataFrame, y: DataFrame, by: By | Column | None = None, *, trail: AuditTrail | None = None, label: str | None = None, stat: str | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, y_name: str = "y", quantiles: str = "auto", on: str | None = None, suffix: tuple[str, str] = ("_x", "_y"), unmatched: str = "drop", multiple: str = "all") -> DataFrame:
         return _tapped(how, x, y, by, trail, label, stat, numeric_summary, cols_include, cols_exclude, y_name, quantiles, on=on, suffix=suffix, unmatched=unmatched, multiple=multiple)
 
     tap.__name__ = tap.__qualname__ = f"{how}_tap"

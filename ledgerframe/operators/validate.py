@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ledgerframe.functions.types import check_columns, check_frame, class_name, is_missing, is_numeric, name, present, rate
+from ledgerframe.functions.types import check_columns, check_frame, class_name, free_name, is_missing, is_numeric, name, present, rate
 from ledgerframe.functions.render import table_text
 
 By = str | Sequence[str | tuple[str, str]] | Mapping[str, str]
@@ -43,8 +43,8 @@ def _checked_stat(df: DataFrame, stat: str | None, side: str) -> None:
 
 
 def _side(df: DataFrame, keys: list[str], side: str, stats: dict[str, str | None]) -> DataFrame:
-    """Keys as __k<i>, and for each side a count and its stat: those of the other side are absent."""
-    columns = [name(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    """Keys as k<i>, and for each side a count and its stat: those of the other side are absent."""
+    columns = [name(k).alias(f"k{i}") for i, k in enumerate(keys)]
     for s, stat in stats.items():
         columns.append((F.lit(1).cast("long") if s == side else F.lit(None).cast("long")).alias(f"n_{s}"))
         if stat is not None:
@@ -54,17 +54,28 @@ def _side(df: DataFrame, keys: list[str], side: str, stats: dict[str, str | None
     return df.select(*columns)
 
 
-def key_counts(x: DataFrame, y: DataFrame, by: By, stat_x: str | None = None, stat_y: str | None = None) -> DataFrame:
-    """One row for each key of either side: the key by x's names, n_x and n_y (null where absent), and the stats' sums.
+def stacked_counts(x: DataFrame, y: DataFrame, by: By, stat_x: str | None = None, stat_y: str | None = None) -> DataFrame:
+    """One row for each key of either side: the key as k0, k1 and so on, n_x and n_y (null where absent), and the stats' sums.
 
     Both sides are stacked and grouped once: one shuffle of combined counts, where missing keys fall together by themselves and nothing
     is joined."""
     pairs = key_pairs(by)
     stats = {"x": stat_x, "y": stat_y}
     both = _side(x, [a for a, _ in pairs], "x", stats).union(_side(y, [b for _, b in pairs], "y", stats))
-    sums = [c for c in both.columns if not c.startswith("__k")]
-    counts = both.groupBy(*[f"__k{i}" for i in range(len(pairs))]).agg(*[F.sum(c).alias(c) for c in sums])
-    return counts.select(*[F.col(f"__k{i}").alias(a) for i, (a, _) in enumerate(pairs)], *sums)
+    return both.groupBy(*[f"k{i}" for i in range(len(pairs))]).agg(*[F.sum(c).alias(c) for c in both.columns if not c.startswith("k")])
+
+
+def with_key_names(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """counts, whose first columns are keys, with these names for them; a count or sum that a key is called like gets a longer name."""
+    out = list(names)
+    for c in counts.columns[len(names) :]:
+        out.append(free_name(c, out))
+    return counts.toDF(*out)
+
+
+def key_counts(x: DataFrame, y: DataFrame, by: By, stat_x: str | None = None, stat_y: str | None = None) -> DataFrame:
+    """`stacked_counts` with the keys by x's names."""
+    return with_key_names(stacked_counts(x, y, by, stat_x, stat_y), [a for a, _ in key_pairs(by)])
 
 
 def _total(part: str, where: Column | None = None) -> Column:
@@ -74,7 +85,7 @@ def _total(part: str, where: Column | None = None) -> Column:
 
 def validate_join_df(x: DataFrame, y: DataFrame, by: By, stat_x: str | None = None, stat_y: str | None = None) -> DataFrame:
     """The metrics of validate_join as one row, lazily."""
-    counts = key_counts(x, y, by, stat_x, stat_y)
+    counts = stacked_counts(x, y, by, stat_x, stat_y)
     both, only_x, only_y = F.col("n_x").isNotNull() & F.col("n_y").isNotNull(), F.col("n_y").isNull(), F.col("n_x").isNull()
     aggregates = [
         _total("n_x").cast("long").alias("x_rows"),
@@ -106,7 +117,8 @@ def validate_join_df(x: DataFrame, y: DataFrame, by: By, stat_x: str | None = No
 
 @dataclass(frozen=True)
 class JoinValidation:
-    """Metrics of a join that was not made, and the keys in question as lazy frames."""
+    """Metrics of a join that was not made, and the keys in question as lazy frames: the keys by x's names, n_x and n_y, and the stats' sums
+    (s_x, m_x and so on); where a key has such a name itself, the count's gets underscores."""
 
     by: list[tuple[str, str]]
     metrics: Row
@@ -120,21 +132,24 @@ class JoinValidation:
         except (KeyError, ValueError):
             raise AttributeError(key) from None
 
+    def _keys(self, which: str) -> DataFrame:
+        return with_key_names(self.counts.where(which), [a for a, _ in self.by])
+
     @property
     def duplicates_x(self) -> DataFrame:
-        return self.counts.where("n_x > 1")
+        return self._keys("n_x > 1")
 
     @property
     def duplicates_y(self) -> DataFrame:
-        return self.counts.where("n_y > 1")
+        return self._keys("n_y > 1")
 
     @property
     def keys_only_in_x(self) -> DataFrame:
-        return self.counts.where("n_y is null")
+        return self._keys("n_y is null")
 
     @property
     def keys_only_in_y(self) -> DataFrame:
-        return self.counts.where("n_x is null")
+        return self._keys("n_x is null")
 
     def summary(self) -> list[tuple[str, str]]:
         m, pct = self.metrics, lambda v: "N/A" if v is None else f"{v:.2f}%"
@@ -173,7 +188,7 @@ def validate_join(x: DataFrame, y: DataFrame, by: By | None = None, stat: str |
     stat_x, stat_y = stat_x or stat, stat_y or stat
     _checked_stat(x, stat_x, "x"), _checked_stat(y, stat_y, "y")
     metrics = validate_join_df(x, y, pairs, stat_x, stat_y).first()
-    return JoinValidation(pairs, metrics, key_counts(x, y, pairs, stat_x, stat_y), stat_x, stat_y)
+    return JoinValidation(pairs, metrics, stacked_counts(x, y, pairs, stat_x, stat_y), stat_x, stat_y)
 
 
 def primary_key_df(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -181,14 +196,15 @@ def primary_key_df(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     missing = F.lit(False)
     for k in keys:
         missing = missing | is_missing(name(k), df.schema[k])
-    counts = df.groupBy(*map(name, keys)).agg(F.count(F.lit(1)).alias("__n"), F.bool_or(missing).alias("__missing"))
-    row = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_unique_keys"), F.count_if(F.col("__n") > 1).alias("n_duplicate_keys"), F.coalesce(F.bool_or("__missing"), F.lit(False)).alias("has_missing_key"))
+    counts = df.groupBy(*[name(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"), F.bool_or(missing).alias("missing"))
+    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_unique_keys"), F.count_if(F.col("n") > 1).alias("n_duplicate_keys"), F.coalesce(F.bool_or("missing"), F.lit(False)).alias("has_missing_key"))
     return row.withColumn("is_primary_key", (F.col("n_rows") == F.col("n_unique_keys")) & ~F.col("has_missing_key"))
 
 
 def duplicate_keys_df(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once, with their number n."""
-    return df.groupBy(*map(name, keys)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Keys that occur more than once, with their number n (n_ where a key is called n)."""
+    counts = df.groupBy(*[name(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return with_key_names(counts, list(keys))
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerframe.functions.render import table_text
 from ledgerframe.functions.types import check_columns, check_frame, class_name, is_missing, name, present, to_rows
-from ledgerframe.plans.profile import quantiles
+from ledgerframe.plans.profile import quantile_columns
 
 #: Columns whose summaries one aggregate computes: each distinct count widens the rows that are shuffled.
 BATCH = 8
@@ -51,6 +51,7 @@ def diagnose_nas(df: DataFrame) -> MissingReport:
     return MissingReport(table, total, len(table), sum(r["n_na"] > 0 for r in table), frame)
 
 
+#: Names of the fields of a summary.
 SUMMARY_FIELDS = ("type", "n_unique", "missing", "missing_share", "most_frequent", "mean", "sd", "min", "q25", "q50", "q75", "max", "example1", "example2", "example3")
 _SCHEMA = ", ".join(f"{f} {'bigint' if f in ('n_unique', 'missing') else 'double' if f in ('missing_share', 'mean', 'sd', 'q25', 'q50', 'q75') else 'string'}" for f in SUMMARY_FIELDS)
 
@@ -63,19 +64,20 @@ def _examples(value: Column, kind: str, k: int) -> list[Column]:
     return [least.alias(f"e1_{k}"), greatest.alias(f"e2_{k}"), F.max_by(text, F.xxhash64(text)).alias(f"e3_{k}")]
 
 
-def _summaries(df: DataFrame, field: T.StructField, k: int, approximate: bool) -> tuple[list[Column], Column]:
-    """Aggregates of one column, and the struct that is made of them."""
+def _summaries(df: DataFrame, field: T.StructField, k: int, approximate: bool, ranked: Column | None) -> tuple[list[Column], Column]:
+    """Aggregates of one column, and the struct that is made of them. ranked: the aggregate of its quantiles, of numbers."""
     kind, value = class_name(field), present(name(field.name), field)
     number = value.cast("double") if kind in ("integer", "numeric", "logical") else None
     distinct = F.approx_count_distinct(value) if approximate else F.count_distinct(value)
     plain = kind not in ("list",)
     aggregates = [F.count(F.lit(1)).alias(f"n{k}"), F.count_if(is_missing(name(field.name), field)).alias(f"na{k}"), (distinct if plain else F.count_distinct(F.to_json(F.struct(value)))).alias(f"u{k}")]
-    if kind in ("character", "factor", "logical"):
-        aggregates.append(F.mode(value, True).alias(f"t{k}"))
+    if kind not in ("integer", "numeric"):
+        # Ties go to the least value, of types without an order to the least text.
+        aggregates.append(F.mode(value if kind in ("character", "factor", "logical", "Date", "POSIXct") else F.to_json(F.struct(value)) if kind == "list" else value.cast("string"), True).cast("string").alias(f"t{k}"))
     if number is not None:
         aggregates += [F.avg(number).alias(f"m{k}"), F.stddev_samp(number).alias(f"s{k}")]
     if kind in ("integer", "numeric"):
-        aggregates.append(quantiles(number, approximate).alias(f"q{k}"))
+        aggregates.append(ranked.alias(f"q{k}"))
     if kind in ("integer", "numeric", "character", "factor", "Date"):
         aggregates += [F.min(value).cast("string").alias(f"lo{k}"), F.max(value).cast("string").alias(f"hi{k}")]
     aggregates += _examples(value, kind, k)
@@ -86,7 +88,7 @@ def _summaries(df: DataFrame, field: T.StructField, k: int, approximate: bool) -
         "n_unique": F.col(f"u{k}"),
         "missing": F.col(f"na{k}"),
         "missing_share": F.when(F.col(f"n{k}") > 0, F.col(f"na{k}") / F.col(f"n{k}")),
-        "most_frequent": F.col(f"t{k}").cast("string") if kind in ("character", "factor", "logical") else none,
+        "most_frequent": F.col(f"t{k}") if kind not in ("integer", "numeric") else none,
         "mean": F.col(f"m{k}") if number is not None else none,
         "sd": F.col(f"s{k}") if number is not None else none,
         "min": F.col(f"lo{k}") if kind in ("integer", "numeric", "character", "factor", "Date") else none,
@@ -101,15 +103,19 @@ def _summaries(df: DataFrame, field: T.StructField, k: int, approximate: bool) -
     return aggregates, struct
 
 
-def summary_df(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """position, variable and the summary of each column, lazily. Numbers stay numbers; what has no meaning for a class is null.
+def summary_df(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False, quantiles: str = "auto") -> DataFrame:
+    """position, variable and the summary of each column, lazily (but for sorted quantiles). Numbers stay numbers; what has no meaning for a
+    class is null.
 
     Columns are summarised BATCH at a time, one pass for each batch. approximate: distinct counts and quantiles by sketches."""
     columns = df.columns if cols is None else list(cols)
     check_columns(df, columns, "cols")
     out = None
     for start in range(0, len(columns), BATCH):
-        parts = [_summaries(df, df.schema[c], start + i, approximate) for i, c in enumerate(columns[start : start + BATCH])]
+        fields = [df.schema[c] for c in columns[start : start + BATCH]]
+        numbers = [f for f in fields if class_name(f) in ("integer", "numeric")]
+        ranked = dict(zip([f.name for f in numbers], quantile_columns(df, [present(name(f.name), f).cast("double") for f in numbers], "approximate" if approximate else quantiles), strict=True))
+        parts = [_summaries(df, f, start + i, approximate, ranked.get(f.name)) for i, f in enumerate(fields)]
         rows = to_rows(df.agg(*[a for aggregates, _ in parts for a in aggregates]), [struct for _, struct in parts])
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -117,17 +123,17 @@ def summary_df(df: DataFrame, cols: Sequence[str] | None = None, approximate: bo
     return out
 
 
-def summarize_column(df: DataFrame, column: str, approximate: bool = False) -> dict:
+def summarize_column(df: DataFrame, column: str, approximate: bool = False, quantiles: str = "auto") -> dict:
     """The summary of one column."""
     check_frame(df)
-    row = summary_df(df, [column], approximate).first().asDict()
+    row = summary_df(df, [column], approximate, quantiles).first().asDict()
     return {f: row[f] for f in SUMMARY_FIELDS}
 
 
-def get_summary_table(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
+def get_summary_table(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False, quantiles: str = "auto") -> DataFrame:
     """One row for each column: variable and its summary."""
     check_frame(df)
-    return summary_df(df, cols, approximate).orderBy("position").drop("position")
+    return summary_df(df, cols, approximate, quantiles).orderBy("position").drop("position")
 
 
 def most_frequent_df(df: DataFrame, column: str) -> DataFrame:

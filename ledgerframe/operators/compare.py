@@ -15,29 +15,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.functions.render import table_text
-from ledgerframe.functions.types import check_columns, check_frame, class_name, is_missing, is_numeric, name, present, to_rows
-from ledgerframe.operators.validate import key_counts
-from ledgerframe.plans.profile import quantiles
+from ledgerframe.functions.types import check_columns, check_frame, class_name, free_name, is_missing, is_numeric, name, numbered, present, to_rows
+from ledgerframe.operators.validate import stacked_counts
+from ledgerframe.plans.profile import checked_way, quantile_columns
 
 EPSILON = sys.float_info.epsilon
 _INDEX = "row_index"
+#: Names of what a differing cell says.
+_CELL = ("column", "type", "value_x", "value_y", "abs_diff", "pct_diff")
 _FIVE = ("min", "q25", "median", "q75", "max")
 
 
-def row_indexed(df: DataFrame, order_by: Sequence[Column | str] | None) -> DataFrame:
-    """df with row_index from 1, in the given order or else as read.
+def row_indexed(df: DataFrame, order_by: Sequence[Column | str] | None, index: str = _INDEX) -> DataFrame:
+    """df with its rows' numbers from 1 in `index`, in the given order or else as read.
 
     Rows are numbered inside their partitions and shifted by a prefix sum over the partitions' sizes, so the order is distributed; the
     numbered frame is persisted, because both passes must see the same partitions."""
     ordered = df.orderBy(*order_by) if order_by else df
-    numbered = ordered.withColumn("__m", F.monotonically_increasing_id()).persist()
-    part, place = F.shiftright("__m", 33).alias("__p"), F.col("__m").bitwiseAND((1 << 33) - 1)
-    sizes = numbered.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    rows = numbered(ordered, "c").withColumn("m", F.monotonically_increasing_id()).persist()
+    part, place = F.shiftright("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     # One row for each partition.
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col("__p").alias("__q"), before.alias("__start"))
-    indexed = numbered.withColumn(_INDEX, place + 1).withColumn("__q", F.shiftright("__m", 33))
-    return indexed.join(starts, "__q").withColumn(_INDEX, F.col(_INDEX) + F.col("__start")).drop("__m", "__q", "__start")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"))
+    indexed = rows.withColumns({"place": place + 1, "part": part}).join(starts, "part")
+    return indexed.select(*rows.columns[:-1], F.col("place") + F.col("start")).toDF(*df.columns, index)
 
 
 @dataclass(frozen=True)
@@ -56,13 +58,14 @@ class Plan:
     categorical: list[str]
     tol: float
     top_n: float
+    quantiles: str = "auto"
 
     @property
     def values(self) -> list[str]:
         return [*self.numeric, *self.categorical]
 
 
-def plan_comparison(x: DataFrame, y: DataFrame, key_cols: Sequence[str] | None = None, tol: float = EPSILON, top_n: float = math.inf, compare_cols: Sequence[str] | None = None, exclude_cols: Sequence[str] | None = None, order_by: Sequence[Column | str] | None = None) -> Plan:
+def plan_comparison(x: DataFrame, y: DataFrame, key_cols: Sequence[str] | None = None, tol: float = EPSILON, top_n: float = math.inf, compare_cols: Sequence[str] | None = None, exclude_cols: Sequence[str] | None = None, order_by: Sequence[Column | str] | None = None, quantiles: str = "auto") -> Plan:
     check_frame(x, "x"), check_frame(y, "y")
     if isinstance(tol, bool) or not isinstance(tol, (int, float)) or math.isnan(tol) or tol < 0:
         raise ValueError("tol must be a single non-negative number")
@@ -94,21 +97,21 @@ def plan_comparison(x: DataFrame, y: DataFrame, key_cols: Sequence[str] | None =
         values = [c for c in values if c not in exclude_cols]
     same = [c for c in values if classes[c][0] == classes[c][1]]
     numeric = [c for c in same if is_numeric(x.schema[c])]
-    by_index = not keys
+    by_index, only_x, only_y = not keys, [c for c in x.columns if c not in common], [c for c in y.columns if c not in common]
     if by_index:
-        x, y = row_indexed(x, order_by), row_indexed(y, order_by)
-        keys = [_INDEX]
-    return Plan(x, y, keys, by_index, common, [c for c in x.columns if c not in common and c != _INDEX], [c for c in y.columns if c not in common and c != _INDEX], mismatches, numeric, [c for c in same if c not in numeric], float(tol), top_n)
+        keys = [free_name(_INDEX, [*x.columns, *y.columns])]
+        x, y = row_indexed(x, order_by, keys[0]), row_indexed(y, order_by, keys[0])
+    return Plan(x, y, keys, by_index, common, only_x, only_y, mismatches, numeric, [c for c in same if c not in numeric], float(tol), top_n, checked_way(quantiles))
 
 
 def matched_rows(p: Plan) -> DataFrame:
-    """Keys, and for each value column k the pair x<k>, y<k>."""
-    left = p.x.select(*map(name, p.keys), *[name(c).alias(f"__x{k}") for k, c in enumerate(p.values)])
-    right = p.y.select(*[name(c).alias(f"__k{i}") for i, c in enumerate(p.keys)], *[name(c).alias(f"__y{k}") for k, c in enumerate(p.values)])
+    """The keys k<i>, and for each value column k the pair x<k>, y<k>."""
+    left = p.x.select(*[name(c).alias(f"k{i}") for i, c in enumerate(p.keys)], *[name(c).alias(f"x{k}") for k, c in enumerate(p.values)])
+    right = p.y.select(*[name(c).alias(f"j{i}") for i, c in enumerate(p.keys)], *[name(c).alias(f"y{k}") for k, c in enumerate(p.values)])
     match = F.lit(True)
-    for i, c in enumerate(p.keys):
-        match = match & left[f"`{c}`"].eqNullSafe(right[f"__k{i}"])
-    return left.join(right, match).drop(*[f"__k{i}" for i in range(len(p.keys))])
+    for i in range(len(p.keys)):
+        match = match & F.col(f"k{i}").eqNullSafe(F.col(f"j{i}"))
+    return left.join(right, match).drop(*[f"j{i}" for i in range(len(p.keys))])
 
 
 @dataclass(frozen=True)
@@ -128,7 +131,7 @@ class _Cell:
 def _cells(p: Plan) -> list[_Cell]:
     out = []
     for k, c in enumerate(p.values):
-        fx, fy, x, y = p.x.schema[c], p.y.schema[c], F.col(f"__x{k}"), F.col(f"__y{k}")
+        fx, fy, x, y = p.x.schema[c], p.y.schema[c], F.col(f"x{k}"), F.col(f"y{k}")
         none_x, none_y = is_missing(x, fx), is_missing(y, fy)
         if c in p.numeric:
             x, y = present(x, fx).cast("double"), present(y, fy).cast("double")
@@ -144,14 +147,16 @@ def _cells(p: Plan) -> list[_Cell]:
 
 def comparison_row(p: Plan) -> DataFrame:
     """All summaries as one row, lazily: rows_matched, rows_with_disc and for each column its own."""
+    rows, cells = matched_rows(p), _cells(p)
     aggregates, any_differs = [], F.lit(False)
-    for k, c in enumerate(_cells(p)):
+    ranked = iter(quantile_columns(rows, [c.diff for c in cells if c.numeric], p.quantiles))
+    for k, c in enumerate(cells):
         any_differs = any_differs | c.differs
         compared = F.count(c.diff) if c.numeric else F.count_if(~(c.none_x & c.none_y))
         aggregates += [compared.alias(f"n{k}"), F.count_if(c.differs).alias(f"d{k}"), F.count_if(c.none_x != c.none_y).alias(f"m{k}")]
         if c.numeric:
-            aggregates.append(quantiles(c.diff).alias(f"q{k}"))
-    return matched_rows(p).agg(F.count(F.lit(1)).alias("rows_matched"), F.count_if(any_differs).alias("rows_with_disc"), *aggregates)
+            aggregates.append(next(ranked).alias(f"q{k}"))
+    return rows.agg(F.count(F.lit(1)).alias("rows_matched"), F.count_if(any_differs).alias("rows_with_disc"), *aggregates)
 
 
 def numeric_summary_df(p: Plan) -> DataFrame:
@@ -178,36 +183,52 @@ def match_summary_df(p: Plan) -> DataFrame:
 
 def key_overlap_df(p: Plan) -> DataFrame:
     """matches, only_x, only_y: distinct keys; and dups: whether either side repeats a key."""
-    counts = key_counts(p.x, p.y, p.keys)
-    return counts.agg(F.count_if(F.col("n_x").isNotNull() & F.col("n_y").isNotNull()).alias("matches"), F.count_if(F.col("n_y").isNull()).alias("only_x"), F.count_if(F.col("n_x").isNull()).alias("only_y"), F.coalesce(F.max(F.greatest(F.coalesce("n_x", F.lit(0)), F.coalesce("n_y", F.lit(0)))) > 1, F.lit(False)).alias("dups"))
+    return _overlap(p).drop("rows_x", "rows_y")
 
 
-def discrepancies_df(p: Plan, numeric: bool) -> DataFrame:
-    """One row for each differing cell: keys, column, value_x, value_y, for numbers also abs_diff and pct_diff; at most top_n a column,
-    the largest differences first, missing ones last, then by key."""
+def _overlap(p: Plan) -> DataFrame:
+    """`key_overlap_df` with the rows of both sides."""
+    counts = stacked_counts(p.x, p.y, p.keys)
+    rows = [F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(f"rows_{s}") for s in ("x", "y")]
+    return counts.agg(*rows, F.count_if(F.col("n_x").isNotNull() & F.col("n_y").isNotNull()).alias("matches"), F.count_if(F.col("n_y").isNull()).alias("only_x"), F.count_if(F.col("n_x").isNull()).alias("only_y"), F.coalesce(F.max(F.greatest(F.coalesce("n_x", F.lit(0)), F.coalesce("n_y", F.lit(0)))) > 1, F.lit(False)).alias("dups"))
+
+
+def _differing(p: Plan, cells: list[_Cell], kind: str) -> DataFrame:
+    """k<i> and c: a struct of _CELL for each differing cell, with values of the given type; at most top_n a column, the largest
+    differences first, missing ones last, then by key."""
     structs = []
-    for c in (c for c in _cells(p) if c.numeric == numeric):
-        largest = F.greatest(F.abs(c.x), F.abs(c.y))
-        pct = F.when(c.diff.isNull(), F.lit(None)).when(largest == 0, F.lit(0.0)).otherwise(c.diff / largest)
-        more = [c.diff.alias("abs_diff"), pct.cast("double").alias("pct_diff")] if numeric else []
-        structs.append(F.when(c.differs, F.struct(F.lit(c.column).alias("column"), c.x.alias("value_x"), c.y.alias("value_y"), *more)))
-    kind = "struct<column:string,value_x:{0},value_y:{0}{1}>".format(*(("double", ",abs_diff:double,pct_diff:double") if numeric else ("string", "")))
-    cells = F.array(*structs) if structs else F.array().cast(f"array<{kind}>")
-    rows = matched_rows(p).select(*map(name, p.keys), F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select(*map(name, p.keys), "c.*")
+    for c in cells:
+        largest = F.greatest(F.abs(c.x), F.abs(c.y)) if c.numeric else F.lit(None).cast("double")
+        pct = F.when(c.diff.isNull(), F.lit(None)).when(largest == 0, F.lit(0.0)).otherwise(c.diff / largest).cast("double")
+        values = (F.lit(c.column), F.lit("numeric" if c.numeric else "categorical"), c.x.cast(kind), c.y.cast(kind), c.diff, pct)
+        structs.append(F.when(c.differs, F.struct(*[v.alias(n) for n, v in zip(_CELL, values, strict=True)])))
+    keys = [f"k{i}" for i in range(len(p.keys))]
+    none = f"array<struct<column:string,type:string,value_x:{kind},value_y:{kind},abs_diff:double,pct_diff:double>>"
+    rows = matched_rows(p).select(*keys, F.explode(F.filter(F.array(*structs) if structs else F.array().cast(none), lambda c: c.isNotNull())).alias("c"))
     if math.isinf(p.top_n):
         return rows
-    order = [F.col("abs_diff").desc_nulls_last()] if numeric else []
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(*order, *map(name, p.keys)))
-    return rows.withColumn("__rank", rank).where(F.col("__rank") <= int(p.top_n)).drop("__rank")
+    rank = F.row_number().over(Window.partitionBy("c.column").orderBy(F.col("c.abs_diff").desc_nulls_last(), *keys))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= int(p.top_n)).drop("rank")
+
+
+def _named(p: Plan, rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Keys by their names and the fields of c, of which one that a key is called like gets underscores."""
+    names = list(p.keys)
+    for f in fields:
+        names.append(free_name(f, names))
+    return rows.select(*[f"k{i}" for i in range(len(p.keys))], *[f"c.{f}" for f in fields]).toDF(*names)
+
+
+def discrepancies_df(p: Plan, numeric: bool) -> DataFrame:
+    """One row for each differing cell: keys, column, value_x, value_y, for numbers also abs_diff and pct_diff; at most top_n a column,
+    the largest differences first, missing ones last, then by key."""
+    rows = _differing(p, [c for c in _cells(p) if c.numeric == numeric], "double" if numeric else "string")
+    return _named(p, rows, [f for f in _CELL if f != "type" and (numeric or not f.endswith("_diff"))])
 
 
 def tidy_df(p: Plan) -> DataFrame:
-    """All differing cells of both kinds: keys, column, type, value_x, value_y (as text), abs_diff, pct_diff."""
-    keys = [*map(name, p.keys)]
-    none = F.lit(None).cast("double")
-    one = discrepancies_df(p, True).select(*keys, "column", F.lit("numeric").alias("type"), F.col("value_x").cast("string"), F.col("value_y").cast("string"), "abs_diff", "pct_diff")
-    two = discrepancies_df(p, False).select(*keys, "column", F.lit("categorical").alias("type"), "value_x", "value_y", none.alias("abs_diff"), none.alias("pct_diff"))
-    return one.unionByName(two)
+    """All differing cells of both kinds, from one join: keys, column, type, value_x, value_y (as text), abs_diff, pct_diff."""
+    return _named(p, _differing(p, _cells(p), "string"), _CELL)
 
 
 @dataclass(frozen=True)
@@ -236,6 +257,11 @@ class Comparison:
         if self.plan.by_index:
             self.plan.x.unpersist(), self.plan.y.unpersist()
 
+    def _remaining(self, total: int, displayed: int) -> list[str]:
+        """How many are not displayed, and how many were stored if top_n left some out."""
+        stored = f" ({self.plan.top_n:,} stored)" if self.plan.top_n < total else ""
+        return [f"... and {total - displayed:,} more{stored}"] if total > displayed else []
+
     def text(self, show_n: int = 5) -> str:
         p, m = self.plan, self.match_summary
         parts = [table_text("1. Columns", ("Item", "Value"), [("Common", len(p.common)), ("Only in x", ", ".join(p.only_x_columns) or "-"), ("Only in y", ", ".join(p.only_y_columns) or "-")])]
@@ -246,9 +272,13 @@ class Comparison:
             parts.append(table_text(f"3. Numeric differences (tolerance {p.tol:g})", tuple(self.numeric_summary[0]), [tuple(r.values()) for r in self.numeric_summary]))
         if self.categorical_summary:
             parts.append(table_text("4. Other differences", tuple(self.categorical_summary[0]), [tuple(r.values()) for r in self.categorical_summary]))
-        for title, cells in (("5. Largest numeric discrepancies", self.discrepancies), ("6. Other discrepancies", self.categorical_discrepancies)):
-            if cells is not None and (rows := cells.limit(show_n + 1).collect()):
-                parts.append(table_text(title, cells.columns, [tuple(r) for r in rows[:show_n]], ["... and more"] if len(rows) > show_n else ()))
+        totals = [sum(r[n] for r in rows or ()) for rows, n in ((self.numeric_summary, "n_over_tol"), (self.categorical_summary, "n_mismatched"))]
+        shown = [("5. Largest numeric discrepancies", self.discrepancies, totals[0]), ("6. Other discrepancies", self.categorical_discrepancies, totals[1])]
+        shown += [("7. Keys only in x", self.only_x_keys, m["only_x"]), ("8. Keys only in y", self.only_y_keys, m["only_y"])]
+        for title, cells, total in shown:
+            if cells is not None and total:
+                rows = cells.limit(show_n).collect()
+                parts.append(table_text(title, cells.columns, [tuple(r) for r in rows], self._remaining(total, len(rows))))
         parts.append(f"Discrepancies in all: {self.total_discrepancies:,}")
         return "\n\n".join(parts)
 
@@ -256,10 +286,12 @@ class Comparison:
         return self.text()
 
 
-def compare_tables(x: DataFrame, y: DataFrame, key_cols: Sequence[str] | None = None, tol: float = EPSILON, top_n: float = math.inf, compare_cols: Sequence[str] | None = None, exclude_cols: Sequence[str] | None = None, order_by: Sequence[Column | str] | None = None) -> Comparison:
-    """Compares y with x by keys (found from the schemas unless given), or by row index with key_cols=[] (in the order of order_by)."""
-    p = plan_comparison(x, y, key_cols, tol, top_n, compare_cols, exclude_cols, order_by)
-    overlap = key_overlap_df(p).first()
+def compare_tables(x: DataFrame, y: DataFrame, key_cols: Sequence[str] | None = None, tol: float = EPSILON, top_n: float = math.inf, compare_cols: Sequence[str] | None = None, exclude_cols: Sequence[str] | None = None, order_by: Sequence[Column | str] | None = None, quantiles: str = "auto") -> Comparison:
+    """Compares y with x by keys (found from the schemas unless given), or by row index with key_cols=[] (in the order of order_by).
+
+    quantiles of the differences: see `WAYS` in plans/profile.py."""
+    p = plan_comparison(x, y, key_cols, tol, top_n, compare_cols, exclude_cols, order_by, quantiles)
+    overlap = _overlap(p).first()
     if overlap.dups:
         warnings.warn("keys are not unique: matched rows are all combinations of equal keys", stacklevel=2)
     found = comparison_row(p).first()
@@ -268,12 +300,16 @@ def compare_tables(x: DataFrame, y: DataFrame, key_cols: Sequence[str] | None =
     other = [{"column": c, "n_compared": found[f"n{k}"], "n_mismatched": found[f"d{k}"], "pct_mismatched": found[f"d{k}"] / found[f"n{k}"], "n_na_mismatch": found[f"m{k}"]} for c, k in index.items() if c in p.categorical and found[f"n{k}"]]
     rows, bad = found.rows_matched, found.rows_with_disc
     match = {"only_x": overlap.only_x, "only_y": overlap.only_y, "matched_no_disc": rows - bad, "matched_with_disc": bad, "pct_no_disc": (rows - bad) / rows if rows else None, "pct_with_disc": bad / rows if rows else None}
-    counts = key_counts(p.x, p.y, p.keys)
-    first = lambda df: df if math.isinf(p.top_n) else df.limit(int(p.top_n))
+    counts = stacked_counts(p.x, p.y, p.keys)
+
+    def only(which: str) -> DataFrame:
+        rows = counts.where(which).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(p.keys)])
+        return rows if math.isinf(p.top_n) else rows.limit(int(p.top_n))
+
     return Comparison(
         p,
         ("row_index" if p.by_index else "keys") if p.values else None,
-        (p.x.count(), p.y.count()),
+        (overlap.rows_x, overlap.rows_y),
         {"matches": overlap.matches, "only_x": overlap.only_x, "only_y": overlap.only_y},
         match,
         numeric or None,
@@ -281,7 +317,7 @@ def compare_tables(x: DataFrame, y: DataFrame, key_cols: Sequence[str] | None =
         sum(found[f"d{k}"] for k in index.values()),
         discrepancies_df(p, True) if p.numeric else None,
         discrepancies_df(p, False) if p.categorical else None,
-        first(counts.where("n_y is null").select(*map(name, p.keys))),
-        first(counts.where("n_x is null").select(*map(name, p.keys))),
+        only("n_y is null"),
+        only("n_x is null"),
         p.type_mismatches,
     )

@@ -122,11 +122,11 @@ def _tapped(df: DataFrame, predicates: Sequence[Column | str], trail: AuditTrail
     return df.where(keep) if predicates else df
 
 
-def filter_tap(df: DataFrame, *predicates: Column | str, trail: AuditTrail | None = None, label: str | None = None, stat: Column | str | None = None, quiet: bool = False, warn_threshold: float | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, quantiles: str = "exact") -> DataFrame:
+def filter_tap(df: DataFrame, *predicates: Column | str, trail: AuditTrail | None = None, label: str | None = None, stat: Column | str | None = None, quiet: bool = False, warn_threshold: float | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, quantiles: str = "auto") -> DataFrame:
     """A keeping filter that records a snapshot of its result with diagnostics, in one pass over its input. Without a trail: a filter."""
     return _tapped(df, predicates, trail, label, stat, quiet, warn_threshold, numeric_summary, cols_include, cols_exclude, quantiles, False)
 
 
-def filter_out_tap(df: DataFrame, *predicates: Column | str, trail: AuditTrail | None = None, label: str | None = None, stat: Column | str | None = None, quiet: bool = False, warn_threshold: float | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, quantiles: str = "exact") -> DataFrame:
+def filter_out_tap(df: DataFrame, *predicates: Column | str, trail: AuditTrail | None = None, label: str | None = None, stat: Column | str | None = None, quiet: bool = False, warn_threshold: float | None = None, numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, quantiles: str = "auto") -> DataFrame:
     """The same for a dropping filter."""
     return _tapped(df, predicates, trail, label, stat, quiet, warn_threshold, numeric_summary, cols_include, cols_exclude, quantiles, True)

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 
 from ledgerframe.functions.types import check_columns, check_frame, class_name, is_numeric
-from ledgerframe.plans.profile import WAYS, Scope, collected
+from ledgerframe.plans.profile import Scope, checked_way, collected
 
 
 @dataclass(frozen=True)
@@ -110,12 +110,11 @@ def check_trail(trail: object) -> AuditTrail:
     return trail
 
 
-def scope_of(df: DataFrame, numeric_summary: bool, cols_include: Sequence[str] | None, cols_exclude: Sequence[str] | None, quantiles: str = "exact") -> Scope:
+def scope_of(df: DataFrame, numeric_summary: bool, cols_include: Sequence[str] | None, cols_exclude: Sequence[str] | None, quantiles: str = "auto") -> Scope:
     """The columns that a snapshot describes. Names to include that don't exist, or none at all, are warned of."""
     if cols_include is not None and cols_exclude is not None:
         raise ValueError("cols_include and cols_exclude can't both be given")
-    if quantiles not in WAYS:
-        raise ValueError(f"quantiles must be one of {', '.join(WAYS)}")
+    checked_way(quantiles)
     for given in (cols_include, cols_exclude):
         if given is not None and (isinstance(given, str) or not all(isinstance(c, str) for c in given)):
             raise TypeError("cols_include and cols_exclude must be lists of column names")
@@ -184,13 +183,13 @@ def audit_tap(
     numeric_summary: bool = True,
     cols_include: Sequence[str] | None = None,
     cols_exclude: Sequence[str] | None = None,
-    quantiles: str = "exact",
+    quantiles: str = "auto",
     cache: bool = False,
 ) -> DataFrame:
     """Records a snapshot of df and returns df unchanged (persisted, with cache=True, so that later taps don't compute it anew).
 
     fns: custom diagnostics by name: functions of the frame, or aggregate Columns, which join the snapshot's own pass.
-    Unnamed ones are called fn_<i>. quantiles: "exact", "sorted" (exact, for columns of any size) or "approximate".
+    Unnamed ones are called fn_<i>. quantiles: "auto" (exact, by the input's size in one pass or by a distributed sort), "exact", "sorted" or "approximate".
     """
     check_trail(trail)
     check_frame(df)

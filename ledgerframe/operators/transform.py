@@ -13,17 +13,20 @@ from pyspark.sql import types as T
 
 from ledgerframe.functions.render import table_text
 from ledgerframe.functions.types import check_columns, check_frame, class_name, is_missing, levels_of, name
+from ledgerframe.plans.profile import quantile_columns
 
 TOLERANCE = math.sqrt(sys.float_info.epsilon)
 EXAMPLES = 10
+#: Levels that are listed of what a factor becomes, if it is no factor any more.
+LEVELS = 10_000
 
 
 def _pair(df: DataFrame, column: str, fn: Callable[[Column], Column] | Column) -> tuple[DataFrame, T.StructField, T.StructField]:
-    """df with before and after beside its columns, and both fields."""
+    """The column before and after, and both fields."""
     after = fn(name(column)) if callable(fn) else fn
     if not isinstance(after, Column):
         raise TypeError("the transformation must give a Column")
-    pair = df.withColumns({"__before": name(column), "__after": after})
+    pair = df.select(name(column).alias("__before"), after.alias("__after"))
     return pair, pair.schema["__before"], pair.schema["__after"]
 
 
@@ -39,14 +42,13 @@ def _kind(field: T.StructField) -> str:
     return "numeric" if kind in ("integer", "numeric") else kind if kind in ("Date", "POSIXct", "factor", "logical") else "character"
 
 
-def _numeric(before: T.StructField, after: T.StructField, tolerance: float) -> list[Column]:
-    out, values = [], {}
-    for side, field in (("before", before), ("after", after)):
-        raw = F.col(f"__{side}").cast("double")
-        v = values[side] = F.when(~F.isnan(raw), raw)
-        out += [F.avg(v).alias(f"mean_{side}"), F.stddev_samp(v).alias(f"sd_{side}"), F.min(v).alias(f"min_{side}"), F.percentile(v, 0.5).alias(f"median_{side}"), F.max(v).alias(f"max_{side}")]
-        out += [F.count_if(F.coalesce(F.isnan(raw), F.lit(False))).alias(f"n_nan_{side}"), F.count_if(F.abs(v) == float("inf")).alias(f"n_inf_{side}")]
-        del field
+def _numeric(pair: DataFrame, before: T.StructField, after: T.StructField, tolerance: float, way: str) -> list[Column]:
+    out, raws = [], {side: F.col(f"__{side}").cast("double") for side in ("before", "after")}
+    values = {side: F.when(~F.isnan(raw), raw) for side, raw in raws.items()}
+    medians = quantile_columns(pair, list(values.values()), way, (0.5,))
+    for (side, v), median in zip(values.items(), medians, strict=True):
+        out += [F.avg(v).alias(f"mean_{side}"), F.stddev_samp(v).alias(f"sd_{side}"), F.min(v).alias(f"min_{side}"), F.get(median, F.lit(0)).alias(f"median_{side}"), F.max(v).alias(f"max_{side}")]
+        out += [F.count_if(F.coalesce(F.isnan(raws[side]), F.lit(False))).alias(f"n_nan_{side}"), F.count_if(F.abs(v) == float("inf")).alias(f"n_inf_{side}")]
     raw = F.abs(values["after"] - values["before"])
     delta = F.when(~F.isnan(raw), raw)
     beyond = F.count_if(delta > tolerance)
@@ -64,8 +66,8 @@ def _range(date: bool) -> list[Column]:
     return out
 
 
-def transform_df(df: DataFrame, column: str, fn: Callable[[Column], Column] | Column, tolerance: float = TOLERANCE) -> DataFrame:
-    """The audit as one row, lazily: n_total, n_changed, n_unchanged, pct_changed, n_na_before, n_na_after, and what the class has more."""
+def transform_df(df: DataFrame, column: str, fn: Callable[[Column], Column] | Column, tolerance: float = TOLERANCE, quantiles: str = "auto") -> DataFrame:
+    """The audit as one row, lazily (but for sorted medians): n_total, n_changed, n_unchanged, pct_changed, n_na_before, n_na_after, and what the class has more."""
     pair, before, after = _pair(df, column, fn)
     changed = F.count_if(_changed(before, after))
     total = F.count(F.lit(1))
@@ -73,7 +75,7 @@ def transform_df(df: DataFrame, column: str, fn: Callable[[Column], Column] | Co
     aggregates += [F.count_if(is_missing(F.col(f"__{side}"), f)).alias(f"n_na_{side}") for side, f in (("before", before), ("after", after))]
     kinds = _kind(before), _kind(after)
     if kinds == ("numeric", "numeric"):
-        aggregates += _numeric(before, after, tolerance)
+        aggregates += _numeric(pair, before, after, tolerance, quantiles)
     elif kinds[0] == kinds[1] and kinds[0] in ("Date", "POSIXct"):
         aggregates += _range(kinds[0] == "Date")
     elif kinds == ("logical", "logical"):
@@ -122,19 +124,22 @@ class TransformAudit:
         return text
 
 
-def audit_transform(df: DataFrame, column: str, fn: Callable[[Column], Column] | Column, label: str | None = None, tolerance: float = TOLERANCE) -> TransformAudit:
-    """What a transformation (a function of a Column, or a Column over df) does to a column. `cleaned` is df with it applied."""
+def audit_transform(df: DataFrame, column: str, fn: Callable[[Column], Column] | Column, label: str | None = None, tolerance: float = TOLERANCE, quantiles: str = "auto") -> TransformAudit:
+    """What a transformation (a function of a Column, or a Column over df) does to a column. `cleaned` is df with it applied.
+
+    quantiles: the way to the medians; see `WAYS` in plans/profile.py. Levels of a factor's new values are listed up to LEVELS of them; the whole
+    is in `level_counts`."""
     check_frame(df)
     check_columns(df, [column], "column")
     if isinstance(tolerance, bool) or not isinstance(tolerance, (int, float)) or math.isnan(tolerance) or tolerance < 0:
         raise ValueError("tolerance must be a single non-negative number")
     pair, before, after = _pair(df, column, fn)
-    metrics = transform_df(df, column, fn, tolerance).first().asDict()
+    metrics = transform_df(df, column, fn, tolerance, quantiles).first().asDict()
     levels = None
     if _kind(before) == "factor" and (old := levels_of(before)) is not None:
         new = levels_of(after)
         if new is None:
-            new = [r[0] for r in pair.where(F.col("__after").isNotNull()).select(F.col("__after").cast("string")).distinct().orderBy("__after").collect()]
+            new = [r[0] for r in pair.where(F.col("__after").isNotNull()).select(F.col("__after").cast("string")).distinct().orderBy("__after").limit(LEVELS).collect()]
         levels = {"before": old, "after": new, "added": [x for x in new if x not in old], "removed": [x for x in old if x not in new]}
     examples = [r.asDict() for r in changed_examples_df(df, column, fn).collect()] if metrics["n_changed"] else []
     cleaned = df.withColumn(column, fn(name(column)) if callable(fn) else fn)

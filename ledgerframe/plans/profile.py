@@ -6,6 +6,7 @@ that diagnostics and snapshot share one scan. Only columns that are summarised r
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -19,8 +20,12 @@ from ledgerframe.plans.quantiles import sorted_quantiles
 QUANTILE_COLUMNS = 100
 STATS = ("min", "q25", "median", "mean", "q75", "max")
 #: Ways to quantiles: "exact" in the same pass as all else, with memory for the distinct values of a column; "sorted", exact by a
-#: distributed sort, for columns of any size; "approximate" by a sketch of bounded size.
-WAYS = ("exact", "sorted", "approximate")
+#: distributed sort, for columns of any size; "auto", the first for inputs of up to AUTO_BYTES and else the second, which give the same;
+#: "approximate" by a sketch of bounded size.
+WAYS = ("auto", "exact", "sorted", "approximate")
+#: Estimated bytes of all tables below a plan, up to which a column's distinct values are sure to fit into an executor. What is made of an
+#: RDD or a checkpoint tells no size (Spark gives UNKNOWN_BYTES or more) and counts as small: name the way for such a frame if it is not.
+AUTO_BYTES, UNKNOWN_BYTES = 1 << 30, 1 << 60
 _SHARES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
@@ -31,7 +36,39 @@ class Scope:
     all_fields: tuple[T.StructField, ...]
     fields: tuple[T.StructField, ...]
     numeric: tuple[T.StructField, ...]
-    quantiles: str = "exact"
+    quantiles: str = "auto"
+
+
+def checked_way(way: str) -> str:
+    if way not in WAYS:
+        raise ValueError(f"quantiles must be one of {', '.join(WAYS)}")
+    return way
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The estimated size of what a plan reads, as far as it is known."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    except Exception:  # noqa: BLE001  a session without a JVM at hand has no plan to ask
+        return 0
+    return sum(s for s in sizes if s < UNKNOWN_BYTES)
+
+
+def resolved_way(df: DataFrame, way: str) -> str:
+    """`way`, with "auto" decided by the size of what df reads."""
+    if checked_way(way) != "auto":
+        return way
+    return "sorted" if input_bytes(df) > AUTO_BYTES else "exact"
+
+
+def quantile_columns(df: DataFrame, values: Sequence[Column], way: str, shares: tuple[float, ...] = _SHARES) -> list[Column]:
+    """For each value an aggregate over df: the array of its quantiles. Sorted ones are calculated here and now, and are literals."""
+    way = resolved_way(df, way)
+    if way != "sorted":
+        return [quantiles(v, way == "approximate", shares) for v in values]
+    none = F.lit(None).cast("array<double>")
+    return [none if q is None else F.array(*map(F.lit, q)) for q in sorted_quantiles(df, values, shares)]
 
 
 def quantiles(value: Column, approximate: bool = False, shares: tuple[float, ...] = _SHARES) -> Column:
@@ -52,26 +89,19 @@ def counts(scope: Scope, keep: Column | None = None) -> list[Column]:
     return [rows.alias("n_rows"), *[F.count_if(kept & is_missing(name(f.name), f)).alias(f"na_{i}") for i, f in enumerate(scope.all_fields)]]
 
 
-def summaries(scope: Scope, fields: tuple[T.StructField, ...], keep: Column | None = None) -> list[Column]:
-    """q_<column> (but for sorted quantiles) and m_<column> of the given numeric columns."""
-    out = []
-    for f in fields:
-        value = _number(f, keep)
-        out += [F.avg(value).alias(f"m_{f.name}")] + ([] if scope.quantiles == "sorted" else [quantiles(value, scope.quantiles == "approximate").alias(f"q_{f.name}")])
-    return out
+def summaries(df: DataFrame, scope: Scope, fields: tuple[T.StructField, ...], keep: Column | None = None) -> list[Column]:
+    """q_<column> and m_<column> of the given numeric columns."""
+    values = [_number(f, keep) for f in fields]
+    ranked = quantile_columns(df, values, scope.quantiles)
+    return [c for f, v, q in zip(fields, values, ranked, strict=True) for c in (F.avg(v).alias(f"m_{f.name}"), q.alias(f"q_{f.name}"))]
 
 
 def collected(df: DataFrame, scope: Scope, keep: Column | None = None, extra: tuple[Column, ...] = ()) -> tuple[Row, dict[str, dict]]:
     """The counts with any extra aggregates, and the summary of each numeric column. One aggregate up to QUANTILE_COLUMNS numeric columns."""
     parts = [scope.numeric[i : i + QUANTILE_COLUMNS] for i in range(0, len(scope.numeric), QUANTILE_COLUMNS)] or [()]
-    first = df.agg(*counts(scope, keep), *extra, *summaries(scope, parts[0], keep)).first()
-    rows = [first, *[df.agg(*summaries(scope, part, keep)).first() for part in parts[1:]]]
-    found = {}
-    for row, part in zip(rows, parts, strict=True):
-        ranked = sorted_quantiles(df, [_number(f, keep) for f in part], _SHARES) if scope.quantiles == "sorted" else [row[f"q_{f.name}"] for f in part]
-        for f, q in zip(part, ranked, strict=True):
-            found[f.name] = _summary(q, row[f"m_{f.name}"])
-    return first, found
+    first = df.agg(*counts(scope, keep), *extra, *summaries(df, scope, parts[0], keep)).first()
+    rows = [first, *[df.agg(*summaries(df, scope, part, keep)).first() for part in parts[1:]]]
+    return first, {f.name: _summary(row[f"q_{f.name}"], row[f"m_{f.name}"]) for row, part in zip(rows, parts, strict=True) for f in part}
 
 
 def _summary(q: list | None, mean: float | None) -> dict:
@@ -79,11 +109,11 @@ def _summary(q: list | None, mean: float | None) -> dict:
     return dict(zip(STATS, (low, q25, median, mean, q75, high), strict=True))
 
 
-def snapshot_df(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """The profile of a frame as rows, lazily: position, column, type, n_na and the numeric summary."""
+def snapshot_df(df: DataFrame, approximate: bool = False, quantiles: str = "auto") -> DataFrame:
+    """The profile of a frame as rows, lazily (but for sorted quantiles): position, column, type, n_na and the numeric summary."""
     fields = tuple(df.schema.fields)
-    scope = Scope(fields, fields, tuple(f for f in fields if is_numeric(f)), "approximate" if approximate else "exact")
-    row = df.agg(*counts(scope), *summaries(scope, scope.numeric))
+    scope = Scope(fields, fields, tuple(f for f in fields if is_numeric(f)), "approximate" if approximate else quantiles)
+    row = df.agg(*counts(scope), *summaries(df, scope, scope.numeric))
     none = F.lit(None).cast("double")
     structs = []
     for i, f in enumerate(fields):

@@ -101,7 +101,8 @@ def test_zero_rows_and_text(spark):
     c = lf.compare_tables(x, x)
     assert c.numeric_summary is None and c.match_summary["pct_no_disc"] is None
     full = lf.compare_tables(*pair(spark, [1.0] * 9, [2.0] * 9))
-    assert "and more" in full.text(show_n=2) and "Numeric differences" in str(full)
+    assert "... and 7 more\n" in full.text(show_n=2) and "Numeric differences" in str(full)
+    assert "... and 7 more (4 stored)" in lf.compare_tables(*pair(spark, [1.0] * 9, [2.0] * 9), top_n=4).text(show_n=2)
     tidy = full.to_df()
     assert tidy.columns == ["id", "column", "type", "value_x", "value_y", "abs_diff", "pct_diff"] and tidy.count() == 9
     assert c.to_df().count() == 0

@@ -1,7 +1,8 @@
 """Frequency tables and crosstabs.
 
 Counts combine on the map side; what comes after works on one row for each distinct value. A top-N cutoff takes the top rows
-and gets the rest from the total, so that a column of very many values is never put in one order."""
+and gets the rest from the total. Positions and running shares of all values are prefix sums over range partitions (plans/running.py), so
+a column of very many values is never put in order by one task; a table's rows reach the driver only to be shown."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ import math
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +19,15 @@ from pyspark.sql import types as T
 from ledgerframe.functions.render import table_text
 from ledgerframe.functions.types import check_columns, check_frame, is_missing, is_numeric, levels_of, name, present
 from ledgerframe.operators.trail import AuditTrail, audit_tap
+from ledgerframe.plans.running import running_sums, with_total
 
 SORTS = ("value_asc", "value_desc", "freq_desc", "freq_asc")
 NA_MODES = ("include", "exclude", "only")
 DISPLAYS = ("count", "row_pct", "col_pct", "total_pct")
 NA_LABEL, OTHER_LABEL = "<NA>", "(Other)"
 MANY_VALUES = 50
+#: Rows of a table that are shown at most.
+SHOWN = 500
 #: Rank of special rows: after all values, <NA> before (Other).
 _VALUE, _NA, _OTHER = 0, 1, 2
 
@@ -87,10 +92,9 @@ def _with_cutoff(f: DataFrame, cutoff: float | None) -> DataFrame:
     if cutoff >= 1:
         top = f.orderBy(*order).limit(int(cutoff))
     else:
-        by_freq = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("freq").over(by_freq), F.lit(0))
-        top = f.withColumn("before", before).withColumn("all", F.sum("freq").over(Window.partitionBy()))
-        top = top.where((F.col("before") == 0) | (F.col("before") < F.lit(cutoff) * F.col("all"))).drop("before", "all")
+        ranked = with_total(running_sums(f, order, {"reached": F.col("freq")}), "freq", "all")
+        before = F.col("reached") - F.col("freq")
+        top = ranked.where((F.col("position") == 1) | (before < F.lit(cutoff) * F.col("all"))).drop("position", "reached", "all")
     total = f.agg(F.sum("freq").alias("f"), F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(0))
     kept = top.agg(F.sum("freq").alias("g"), F.count(F.lit(1)).alias("m")).withColumn("k", F.lit(0))
     rest = total.join(kept, "k").where("n > m")
@@ -110,14 +114,16 @@ def _label(value: str = "value", special: str = "special") -> Column:
 
 
 def tab_df(df: DataFrame, variable: str, wt: str | None = None, sort: str = "value_asc", cutoff: float | None = None, na: str = "include") -> DataFrame:
-    """A one-way table, lazily: position, value, freq, percent, cum_percent, n_other, special (1 for <NA>, 2 for (Other))."""
+    """A one-way table, lazily: position, value, freq, percent, cum_percent, n_other, special (1 for <NA>, 2 for (Other)).
+
+    Its rows in order are persisted when it is first used."""
     _checked(df, [variable], wt, sort, cutoff, na, "count")
     rows = _with_cutoff(_frequencies(_by_na(df, [variable], na), variable, wt), cutoff)
-    total = F.sum("freq").over(Window.partitionBy())
-    rows = rows.withColumn("percent", F.when(total != 0, F.round(F.lit(100.0) * F.col("freq") / total, 1)).otherwise(0.0))
-    order = Window.orderBy(*_display_order(sort))
-    running = F.round(F.sum("percent").over(order.rowsBetween(Window.unboundedPreceding, 0)), 1)
-    return rows.select(F.row_number().over(order).alias("position"), _label().alias("value"), "freq", "percent", F.least(running, F.lit(100.0)).alias("cum_percent"), "n_other", "special")
+    rows = with_total(rows, "freq", "total")
+    rows = rows.withColumn("percent", F.when(F.col("total") != 0, F.round(F.lit(100.0) * F.col("freq") / F.col("total"), 1)).otherwise(0.0))
+    rows = running_sums(rows, _display_order(sort), {"running": F.col("percent")})
+    running = F.least(F.round("running", 1), F.lit(100.0))
+    return rows.select(F.col("position").cast("int").alias("position"), _label().alias("value"), "freq", "percent", running.alias("cum_percent"), "n_other", "special")
 
 
 def crosstab_df(df: DataFrame, row: str, column: str, wt: str | None = None, cutoff: float | None = None, na: str = "include") -> DataFrame:
@@ -136,14 +142,16 @@ def crosstab_df(df: DataFrame, row: str, column: str, wt: str | None = None, cut
         swallowed = F.col("a").isNotNull() & F.col("kept").isNull()
         cells = cells.select(F.when(~swallowed, F.col("a")).alias("a"), "b", "n", F.when(swallowed, _OTHER).otherwise(F.col("row_special")).alias("row_special"), "col_special")
         cells = cells.groupBy("a", "b", "row_special", "col_special").agg(F.sum("n").alias("n"))
-    share = lambda *by: F.when(F.sum("n").over(Window.partitionBy(*by)) != 0, F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy(*by))).otherwise(0.0)
+    cells = with_total(cells, "n", "total")
+    share = lambda whole: F.when(whole != 0, F.lit(100.0) * F.col("n") / whole).otherwise(0.0)
+    within = lambda *by: F.sum("n").over(Window.partitionBy(*by))
     return cells.select(
         _label("a", "row_special").alias("row_value"),
         _label("b", "col_special").alias("col_value"),
         "n",
-        share("a", "row_special").alias("row_pct"),
-        share("b", "col_special").alias("col_pct"),
-        share().alias("total_pct"),
+        share(within("a", "row_special")).alias("row_pct"),
+        share(within("b", "col_special")).alias("col_pct"),
+        share(F.col("total")).alias("total_pct"),
         "row_special",
         "col_special",
         _key(df.schema[row], "a").alias("row_key"),
@@ -158,11 +166,10 @@ def missing_counts_df(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tab:
-    """A table made for display: the lazy frame and its few collected rows."""
+    """A table made for display: the lazy frame, and figures of it. Its rows are collected when they are asked for."""
 
     variables: list[str]
     frame: DataFrame
-    rows: list[dict]
     n_obs: int
     n_missing: int
     n_other: int
@@ -172,6 +179,13 @@ class Tab:
     display: str
     #: The levels of factors among the variables; a level without rows is shown.
     levels: tuple[list[str] | None, ...] = ()
+    #: Rows of the frame: values, or cells of a crosstab.
+    n_rows: int = 0
+
+    @cached_property
+    def rows(self) -> list[dict]:
+        """All rows of the table; one way in order."""
+        return [r.asDict() for r in (self.frame.orderBy("position") if len(self.variables) == 1 else self.frame).collect()]
 
     def to_df(self) -> DataFrame:
         """One-way: value, freq, percent, cum_percent; two-way: the long form of the counts. Real categories that look like special rows stay."""
@@ -200,9 +214,15 @@ class Tab:
         foot = [f"N = {self.n_obs:,}; missing = {self.n_missing:,}" + (f"; weighted by {self.wt}" if self.wt else "")]
         if self.n_other:
             foot.append(f"{OTHER_LABEL} holds {self.n_other:,} values")
+        if self.n_rows > SHOWN:
+            foot.append(f"... and {self.n_rows - SHOWN:,} more; see to_df()")
         if len(self.variables) == 1:
-            rows = [(r["value"], r["freq"], f"{r['percent']:.1f}", f"{r['cum_percent']:.1f}") for r in self.rows]
+            few = self.rows if self.n_rows <= SHOWN else [r.asDict() for r in self.frame.where(F.col("position") <= SHOWN).orderBy("position").collect()]
+            rows = [(r["value"], r["freq"], f"{r['percent']:.1f}", f"{r['cum_percent']:.1f}") for r in few]
             return table_text(self.variables[0], ("Value", "Freq", "Percent", "Cum"), [*rows, ("Total", self.total, "100.0" if self.total else "0.0", "")], foot)
+        if self.n_rows > SHOWN:
+            few = self.to_df().orderBy(F.col("n").desc(), "row_value", "col_value").limit(SHOWN).collect()
+            return table_text(" x ".join(self.variables), few[0].__fields__, [tuple(r) for r in few], foot)
         down, across, cells = self.matrix()
         part = {(r["row_value"], r["col_value"]): r[self.display] for r in self.rows} if self.display != "count" else {}
         cell = (lambda a, b: f"{part.get((a, b), 0.0):.1f}%") if part or self.display != "count" else (lambda a, b: cells.get((a, b), 0))
@@ -219,24 +239,27 @@ def tab(df: DataFrame, *variables: str, wt: str | None = None, sort: str = "valu
     totals = missing_counts_df(df, variables).first()
     if len(variables) == 1:
         frame = tab_df(df, variables[0], wt, sort, cutoff, na)
-        rows = [r.asDict() for r in frame.orderBy("position").collect()]
-        n_other, total = sum(r["n_other"] for r in rows), sum(r["freq"] for r in rows)
-        n_values, levels = len(rows), ()
+        row = frame.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n_other"), F.lit(0)).alias("other"), F.coalesce(F.sum("freq"), F.lit(0)).alias("total")).first()
+        n_rows, n_other, total, n_values, levels = row.rows, row.other, row.total, row.rows, ()
     else:
         frame = crosstab_df(df, *variables, wt=wt, cutoff=cutoff, na=na)
-        rows = [r.asDict() for r in frame.collect()]
-        total, n_values = sum(r["n"] for r in rows), len({r["row_value"] for r in rows})
+        row = frame.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count_distinct("row_value", "row_special").alias("values"), F.count_distinct(F.when(F.col("row_special") == _VALUE, F.col("row_value"))).alias("kept")).first()
+        n_rows, total, n_values = row.rows, row.total, row["values"]
         n_other, levels = 0, tuple(levels_of(df.schema[v]) for v in variables)
         if cutoff is not None:
             levels = (None, levels[1])
             complete = _by_na(df, variables, "exclude").select(_value(df, variables[0]).alias("v")).distinct().count()
-            n_other = complete - len({r["row_value"] for r in rows if r["row_special"] == _VALUE})
+            n_other = complete - row.kept
     if n_values > MANY_VALUES and cutoff is None:
         warnings.warn(f"{variables[0]} has {n_values} values; consider a cutoff", stacklevel=2)
-    return Tab(list(variables), frame, rows, totals.n_obs, totals.n_missing, n_other, total, wt, sort, display, levels)
+    made = Tab(list(variables), frame, totals.n_obs, totals.n_missing, n_other, total, wt, sort, display, levels, n_rows)
+    if n_rows <= SHOWN:
+        # So small a table is taken as it is now.
+        _ = made.rows
+    return made
 
 
-def tab_tap(df: DataFrame, *variables: str, trail: AuditTrail, label: str | None = None, wt: str | None = None, sort: str = "value_asc", cutoff: float | None = None, na: str = "include", display: str = "count", numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None) -> DataFrame:
+def tab_tap(df: DataFrame, *variables: str, trail: AuditTrail, label: str | None = None, wt: str | None = None, sort: str = "value_asc", cutoff: float | None = None, na: str = "include", display: str = "count", numeric_summary: bool = True, cols_include: Sequence[str] | None = None, cols_exclude: Sequence[str] | None = None, quantiles: str = "auto") -> DataFrame:
     """A tap that keeps the table as the custom diagnostic "tab(v1, v2)"."""
     made = lambda d: tab(d, *variables, wt=wt, sort=sort, cutoff=cutoff, na=na, display=display)
-    return audit_tap(df, trail, label, {f"tab({', '.join(variables)})": made}, numeric_summary, cols_include, cols_exclude)
+    return audit_tap(df, trail, label, {f"tab({', '.join(variables)})": made}, numeric_summary, cols_include, cols_exclude, quantiles)

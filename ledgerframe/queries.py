@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.operators import columns, compare, strings, tabulate, transform, validate
+from ledgerframe.operators import columns, compare, joins, strings, tabulate, transform, validate
 from ledgerframe.operators.diff import audit_diff
 from ledgerframe.operators.filters import filter_diagnostics, filter_drop, filter_keep, filter_out_tap, filter_tap
 from ledgerframe.operators.joins import join_frames, left_join_tap
@@ -124,11 +124,6 @@ def _trail(read):
     return trail
 
 
-@query("trail_df")
-def _(read):
-    return trail_to_df(_trail(read), read("region").sparkSession)
-
-
 # Filters
 
 _NULLED = "SELECT *, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS v FROM events"
@@ -203,7 +198,7 @@ for _kind, _sql in {
     "anti": f"SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM y WHERE {_ON})",
     "semi": f"SELECT * FROM x WHERE EXISTS (SELECT 1 FROM y WHERE {_ON})",
 }.items():
-    query(f"{_kind}_join_tap", f"WITH x AS ({_X}), y AS ({_Y}) {_sql}")(lambda read, kind=_kind: join_frames(_x(read), _y(read), "k", f"{kind}_join"))
+    query(f"{_kind}_join_tap", f"WITH x AS ({_X}), y AS ({_Y}) {_sql}")(lambda read, kind=_kind: getattr(joins, f"{kind}_join_tap")(_x(read), _y(read), "k", trail=audit_trail("joins"), numeric_summary=False))
 
 
 @query("theta_join_tap", "SELECT s.s_suppkey, s.s_nationkey, n.n_nationkey, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey % 5 = n.n_regionkey AND s.s_nationkey >= n.n_nationkey")
@@ -611,3 +606,6 @@ def _(read):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders through taps, joins and filters: the trail as a frame."""
     return QUERIES["trail_df"](spark, sf_dir)
+
+
+import ledgerframe.trail_queries  # noqa: E402, F401  registers its own

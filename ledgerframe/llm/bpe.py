@@ -11,6 +11,7 @@ by the pattern as a whole. Work is row by row: no shuffle, memory bounded by one
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -35,6 +36,9 @@ CHUNK_CHARS = 1 << 20
 #: Longer words are not cached.
 CACHED_CHARS = 200
 
+#: Bytes of a word from which it is taken alone, in time that grows with its length; shorter words go together, by arrays.
+LONG_WORD = 512
+
 #: Latin, general punctuation and unified Han: their classes are the same in all Unicode versions.
 STEADY = regex.compile(r"[\x00-\u024F\u2000-\u206F\u4E00-\u9FA5]*+")
 
@@ -126,9 +130,11 @@ class SpeculativeBpe:
                     steps.append((node_of[prefix[:-1]] * 256 + prefix[-1], node_of[prefix]))
         steps.sort()
         self._steps, self._nodes = np.array([k for k, _ in steps], np.int64), np.array([n for _, n in steps], np.int64)
+        self._next = dict(steps)
         self._token_at = np.full(len(node_of), -1, np.int64)
         for token, i in self.id_of.items():
             self._token_at[node_of[token]] = i
+        self._token_of = self._token_at.tolist()
 
     def _propose(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest-match of all words data[start:end] at once: tokens in order and the place where each begins.
@@ -161,6 +167,48 @@ class SpeculativeBpe:
         order = np.argsort(place)
         return token[order], place[order]
 
+    def _propose_long(self, word: bytes) -> list[int]:
+        """Greedy longest-match of one word. A token that is tried too far is at most as long as the longest token."""
+        step, token_of, out, at = self._next.get, self._token_of, [], 0
+        while at < len(word):
+            node, ahead, best, best_end = 0, at, -1, at + 1
+            while ahead < len(word) and (node := step(node * 256 + word[ahead], -1)) >= 0:
+                ahead += 1
+                if token_of[node] >= 0:
+                    best, best_end = token_of[node], ahead
+            out.append(best)
+            at = best_end
+        return out
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """Exact merging of one word: the first pair of lowest rank is taken from a heap, and its neighbours are put in anew."""
+        ids, merges, size = self._byte_ids[np.frombuffer(word, np.uint8)].tolist(), self.merges, len(word)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        # A rank and a place in one number; an entry is out of date if another pair stands there by now.
+        heap = [found[0] << 40 | i for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (found := merges.get(pair))]
+        heapq.heapify(heap)
+        while heap:
+            entry = heapq.heappop(heap)
+            i = entry & (1 << 40) - 1
+            j = after[i]
+            if ids[i] < 0 or j >= size or (found := merges.get((ids[i], ids[j]))) is None or found[0] != entry >> 40:
+                continue
+            ids[i], ids[j] = found[1], -1
+            after[i] = after[j]
+            if after[i] < size:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < size and (found := merges.get((ids[a], ids[b]))):
+                    heapq.heappush(heap, found[0] << 40 | a)
+        return [x for x in ids if x >= 0]
+
+    def _long(self, word: bytes) -> tuple[bytes, bool]:
+        """The ids of one long word, and whether its proposal failed."""
+        ids = np.array(self._propose_long(word), np.int64)
+        pairs = np.unique(ids[:-1] * self.size + ids[1:])
+        failed = not self._agree(pairs // self.size, pairs % self.size).all()
+        return np.array(self._merge_long(word) if failed else ids, "<u4").tobytes(), failed
+
     def _step(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging a and b, or never."""
         key = a * self.size + b
@@ -214,6 +262,15 @@ class SpeculativeBpe:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
         if not words:
             return []
+        if max(map(len, words)) > LONG_WORD:
+            short = iter(self.words([w for w in words if len(w) <= LONG_WORD]))
+            out = []
+            for word in words:
+                ids, failed = self._long(word) if len(word) > LONG_WORD else (next(short), None)
+                out.append(ids)
+                if failed is not None:
+                    self.proposed, self.failed = self.proposed + 1, self.failed + failed
+            return out
         size = np.fromiter(map(len, words), np.int64, len(words))
         data, end = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(size)
         start = end - size
@@ -382,7 +439,10 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, text_column: str = "text",
 
 
 def bpe_decode(rows: DataFrame, vocabulary_path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
-    """rows with `text_column`: the text of the ids, special tokens included; invalid UTF-8 becomes U+FFFD. Null ids: empty."""
+    """rows with `text_column`: the text of the ids, special tokens included; invalid UTF-8 becomes U+FFFD.
+
+    Null and empty ids give an empty text. Rows keep all other columns, whatever they are called; one called `text_column` is replaced. Repeated
+    rows are decoded alike, ids of any number whole; an empty table stays empty."""
 
     def work(ids: list[bytes | None]) -> Iterator[tuple[list, ...]]:
         bpe = vocabulary(vocabulary_path)

@@ -1,10 +1,10 @@
 """Connected components by contraction, for edge lists of any size.
 
-In each round every vertex points to the vertex of its closed neighbourhood with the least random priority, and the graph
-is contracted along these pointers; a constant share of the vertices goes in each round, whatever the shape, so the
-number of rounds follows the logarithm of the largest component. Each round's edges and pointers are checkpointed in the
-shared folder. Degrees are reduced by map-side minima, and contracted hubs meet only one row on the pointer side, so that
-adaptive execution can split them.
+In each round every vertex learns the neighbour, itself included, of least random priority, and then takes the least of what it and its
+neighbours have learned: so a hub and all around it agree in one round, whatever their priorities. The graph is contracted along
+these pointers; at least a constant share of the vertices goes in each round, whatever the shape, so the number of rounds follows
+the logarithm of the largest component. Each round's edges and pointers are written to the shared folder. Degrees are reduced by map-side
+minima, and contracted hubs meet only one row on the pointer side, so that adaptive execution can split them.
 """
 
 from __future__ import annotations
@@ -12,23 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.shared import checkpointed
+from ledgerframe.llm.shared import counted, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v: long) to one row for each vertex of an edge: vertex, root. Loops and repeated edges are allowed; no edges, no rows."""
-    edges = checkpointed(edges.select("u", "v").where("u <> v").distinct())
+    edges, left = counted(edges.select("u", "v").where("u <> v").distinct(), "links")
     levels: list[DataFrame] = []
-    while not edges.isEmpty():
+    while left:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        order = F.lit(len(levels))
-        least = F.min(F.struct(F.xxhash64("v", order).alias("p"), F.col("v").alias("v")))
-        own = F.struct(F.xxhash64("u", order).alias("p"), F.col("u").alias("v"))
-        step = checkpointed(both.groupBy("u").agg(least.alias("m")).select(F.col("u").alias("vertex"), F.least("m", own)["v"].alias("root")))
+        least, own = (F.struct(F.xxhash64(c, F.lit(len(levels))).alias("p"), F.col(c).alias("at")) for c in ("v", "u"))
+        near = written(both.groupBy("u").agg(F.min(least).alias("m")).select("u", F.least("m", own).alias("m")), "least")
+        around = both.join(near.toDF("v", "around"), "v").groupBy("u").agg(F.min("around").alias("around"))
+        step = written(near.join(around, "u").select(F.col("u").alias("vertex"), F.least("m", "around")["at"].alias("root")), "roots")
         levels.append(step)
-        left, right = step.toDF("u", "pu"), step.toDF("v", "pv")
-        moved = edges.join(left, "u").join(right, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
-        edges = checkpointed(moved.where("u <> v").distinct())
+        moved = edges.join(step.toDF("u", "pu"), "u").join(step.toDF("v", "pv"), "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
+        edges, left = counted(moved.where("u <> v").distinct(), "links")
     if not levels:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     out = levels[0]

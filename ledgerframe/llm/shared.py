@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy when it holds more than one part in so many of all rows; so there are fewer heavy keys than this.
@@ -30,6 +30,16 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns called c0, c1 and so on, so that no name of theirs meets one that is used here, in either case."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, column: str) -> Column:
+    """A column of docs, in `numbered(docs)`."""
+    return F.col(f"c{docs.columns.index(column)}")
+
+
 def _deleted_at_exit(spark: SparkSession, path: str) -> None:
     """Has the path deleted when the driver ends: by its JVM, or where that has gone, as a folder of this machine."""
     context = spark.sparkContext
@@ -47,18 +57,19 @@ def _deleted_at_exit(spark: SparkSession, path: str) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Where the setting is absent, a local master gets a folder of its own and any other gets one in the warehouse,
-    which is shared as well. Checkpoints then go to the same place, which goes when the driver ends.
+    Where the setting is absent, a local master gets a folder of its own, which goes when the driver ends; any other has no
+    folder that is sure to be shared, and is told so.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        local = context.master.startswith("local[") or context.master == "local"
-        context.setCheckpointDir(_LOCAL_ROOT if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    root, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not root and not context.getCheckpointDir():
+        if not (context.master.startswith("local[") or context.master == "local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(_LOCAL_ROOT)
         _deleted_at_exit(spark, context.getCheckpointDir())
-    return context.getCheckpointDir().rstrip("/")
+    if root and not context.getCheckpointDir():
+        # Set while the session was running, so that Spark itself has not seen it.
+        context.setCheckpointDir(root)
+    return (root or context.getCheckpointDir()).rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -76,6 +87,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """`written(df, label)` and its number of rows, from the same pass (about right where tasks were repeated: a figure for sizes)."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return table, int(seen.get["rows"])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, cut from its lineage by a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)

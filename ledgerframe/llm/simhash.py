@@ -1,12 +1,14 @@
 """SimHash near-dedup by multi-index hashing over small Hamming balls.
 
-A fingerprint has two 32-bit segments. For each fingerprint the ball of radius one in either segment, the other segment
-exact, is enumerated: the fingerprint itself and its 64 one-bit neighbours, as keys of a table. Two fingerprints within
-two bits of each other have a key in common, and the fingerprints at one key are within two bits of each other, so the
-table's matches are complete and need only the final check of the whole distance. What stands at a key is one 64-bit mask
-(which one-bit neighbours of the key are there) and a flag for the key itself: a fixed-size sum that is combined on the
-map side. No bucket grows, however many fingerprints crowd together, and no pairs within a group are emitted: each key
-links its least member to the others, at most 64 links.
+A fingerprint has two 32-bit segments; two fingerprints within two bits of each other have a segment in which they differ in one bit at most.
+Each segment's value is a key of a table with the fingerprint. Each fingerprint enumerates the ball of radius one in each segment, the value itself
+and its 32 one-bit neighbours, fetches what stands at these keys, and keeps those whose complete distance is small enough. Balls
+are probed in the table's Bloom filter first, so few of their members move.
+
+Crowded buckets (more than CROWD fingerprints at a value) would make pairs with the square of their size. What is in one, or looks into one,
+goes by a table that both segments key: the ball in one segment, the other exact. What stands at such a key is one 64-bit mask (which one-bit
+neighbours of the key are there) and a flag for the key itself: a fixed-size sum that is combined on the map side. All at one key are
+within two bits of each other, and each key links its least member to the others, at most 64 links.
 
 Equal texts share a fingerprint and are one vertex; a group of copies collapses on the map side.
 """
@@ -18,18 +20,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerframe.llm.bloom import left_join_sparsely
+from ledgerframe.llm.bloom import bloom, left_join_sparsely, probed
 from ledgerframe.llm.components import components
-from ledgerframe.llm.shared import attach, checkpointed, name, sliced, written
+from ledgerframe.llm.shared import attach, checkpointed, counted, name, numbered, place, sliced, written
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
 BITS = 64
+SEGMENT = 32
+#: Fingerprints at one segment value that are still fetched from there; more are split by the other segment.
+CROWD = 64
 #: Hashes whose bits are counted together.
 BLOCK = 1 << 16
 
@@ -69,14 +74,33 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, size: int) -
     return rows.mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.LongType(), False)]))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) among distinct fingerprints (column fp) that connect any two within RADIUS bits of each other."""
+def _segment_keys(fp: Column) -> list[Column]:
+    """The value of each segment, with the segment's number above it."""
+    low = fp.bitwiseAND(F.lit((1 << SEGMENT) - 1))
+    return [low, F.shiftrightunsigned(fp, SEGMENT).bitwiseOR(F.lit(1 << SEGMENT))]
+
+
+def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Edges (u, v) among distinct fingerprints (column fp, written or checkpointed) that connect any two within RADIUS bits of each other."""
+    table, rows = counted(distinct.select("fp", F.explode(F.array(*_segment_keys(F.col("fp")))).alias("key")), "segments")
+    crowds = written(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd), "crowds")
+    ball = lambda key: F.concat(F.array(key), F.transform(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), lambda i: key.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    # Each row becomes 66, so the few partitions that so small a table comes in are dealt out first.
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    balls = spread.select(F.col("fp").alias("u"), F.explode(F.concat(*map(ball, _segment_keys(F.col("fp"))))).alias("key"))
+    hits = written(probed(balls, F.col("key"), bloom(table, F.col("key"), rows), "hit").where("hit").select("u", "key"), "hits")
+    inside = left_join_sparsely(table, crowds, "key").select("key", F.col("fp").alias("v"), F.col("n").isNotNull().alias("crowded"))
+    fetched = hits.join(inside.where("not crowded"), "key").where("u < v").select("u", "v")
+    split = hits.join(crowds.select("key"), "key").select(F.col("u").alias("fp")).union(inside.where("crowded").select(F.col("v").alias("fp"))).distinct()
+    return fetched.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).union(_split_links(split))
+
+
+def _split_links(distinct: DataFrame) -> DataFrame:
+    """`links` of fingerprints (column fp) by keys of both segments: for each fingerprint itself and its one-bit neighbours."""
     flips = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.struct(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)).alias("key"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("mask")))
     itself = F.array(F.struct(F.col("fp").alias("key"), F.lit(0).cast("long").alias("mask")))
-    # Each row becomes 65, so the few partitions that so small a table comes in are dealt out first.
-    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    table = spread.select(F.explode(F.concat(itself, flips)).alias("e")).select("e.key", "e.mask")
-    table = table.groupBy("key").agg(F.bit_or("mask").alias("mask"), F.min("mask").alias("low"), F.max(F.col("mask") == 0).alias("own"))
+    table = distinct.select(F.explode(F.concat(itself, flips)).alias("e")).select("e.key", "e.mask")
+    table = table.groupBy("key").agg(F.bit_or("mask").alias("mask"), F.max(F.col("mask") == 0).alias("own"))
     table = table.where(F.bit_count("mask") + F.col("own").cast("int") > 1)
     near = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("getbit", F.col("mask"), i) == 1)
     near = F.transform(near, lambda i: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
@@ -113,6 +137,6 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     documents that go and the few that their ids' Bloom filter takes for them.
     """
     groups = simhash_groups(docs, id_column, text_column, size)
-    lost = checkpointed(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__lost")).distinct())
-    rows = docs.withColumn("__id", name(id_column).cast("long"))
-    return left_join_sparsely(rows, lost, "__id").where("__lost is null").select(*[name(c) for c in docs.columns])
+    lost = checkpointed(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), F.lit(True).alias("lost")).distinct())
+    rows = numbered(docs).withColumn("id", place(docs, id_column).cast("long"))
+    return left_join_sparsely(rows, lost, "id").where("lost is null").drop("id", "lost").toDF(*docs.columns)

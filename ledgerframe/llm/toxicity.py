@@ -30,8 +30,6 @@ from ledgerframe.llm.shared import name, sliced, written
 
 #: Labelled rows that the lexicon is learned from, at most (in expectation; the bound of the broadcast is twice that).
 SAMPLE = 40_000
-#: Entries of the lexicon, exceptions included.
-LEXICON = 5_000
 #: Beginnings of words, in letters.
 SHORTEST, LONGEST = 4, 12
 #: The least log-odds of an entry, and the least number of toxic rows that have it.
@@ -173,7 +171,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             chosen[part] = own
         elif above and own < LEAST_WEIGHT:
             chosen[part] = 0.0
-    strongest = sorted(chosen.items(), key=lambda e: (-e[1], e[0]))[: LEXICON - len(PHRASES)]
+    # Every entry and every exception stays: the evidence asked for bounds their number by the sample.
+    strongest = sorted(chosen.items(), key=lambda e: (-e[1], e[0]))
     lexicon = Lexicon((*strongest, *((fold(p).strip(), 0.0) for p in PHRASES if fold(p).strip() not in chosen)))
     measured = _measured(rows, lexicon).collect()
     return Lexicon(lexicon.entries, fit_curve(np.array([r["total"] for r in measured]), np.array([r["by_length"] for r in measured]), np.array([r["label"] for r in measured])))

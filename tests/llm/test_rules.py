@@ -88,6 +88,82 @@ def test_op7_on_the_held_out_rows(spark):
     assert sum(clean) / len(clean) < 0.02
 
 
+def brute_toxicity(lexicon, text):
+    """Sum of weights by trying every entry at every word of the folded text, and the score."""
+    plain, entries, total, covered = toxicity.fold(text), dict(lexicon.entries), 0.0, -1
+    for at in (m.start() for m in re.finditer(" ", plain)):
+        fits = [e for e in {plain[at + 1 : at + 1 + n] for n in {len(e) for e in entries}} if e in entries]
+        if fits:
+            longest = max(fits, key=len)
+            total += entries[longest] if at + 1 > covered else 0.0
+            if entries[longest] == 0:
+                covered = max(covered, at + len(longest) + 1)
+    a, b, c = lexicon.curve
+    return 1 / (1 + math.exp(-(a + b * math.log1p(total) + c * total / math.sqrt(len(plain.split()) + toxicity.LENGTH_PRIOR))))
+
+
+def test_op7_equals_brute_force_on_all_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert lexicon.entries
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = QUERIES["op7_toxicity"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert math.isclose(r.score, brute_toxicity(lexicon, texts[r.doc_id] or ""), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_every_exception_stays_in_the_lexicon(spark):
+    # More entries than any bound of old, each with an exception of its own.
+    toxic = [f"vile{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrst"]
+    rows = [(i, f"{toxic[i % len(toxic)]}x and some words", 1) for i in range(0, 40 * len(toxic), 2)] + [(i, f"{toxic[i % len(toxic)]}okay and some words", 0) for i in range(1, 40 * len(toxic), 2)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lexicon = dict(toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).entries)
+    m = toxicity.Matcher(toxicity.Lexicon(tuple(lexicon.items())))
+    assert all(m.measured(f"{w}okay")[0] == 0 for w in toxic[1::2])
+
+
+def brute_votes(f):
+    """What each rule says of the features, by plain conditions."""
+    n, chars, symbols, dup_lines, repeated, lines, stops, plain = f
+    said = lambda bad, good: -1 if bad else 1 if good else 0
+    return (
+        said(n < 50, n >= 100),
+        said(chars < 3 * n or chars > 10 * n, 3.5 * n <= chars <= 8 * n),
+        said(10 * symbols > n, 50 * symbols <= n),
+        said(10 * dup_lines > 3 * lines, dup_lines == 0 and lines > 1),
+        said(10 * repeated > 3 * n, 10 * repeated <= n and n > 2),
+        said(50 * stops < n, 12 * stops >= n),
+        said(10 * plain < 8 * n, 100 * plain >= 95 * n),
+    )
+
+
+def test_op5_posteriors_equal_brute_force_on_all_rows(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    votes = {i: brute_votes(quality.features(t or "")) for i, t in docs.items()}
+    # Expectation-maximisation over documents, one by one, from the documented prior.
+    share, tables = 0.8, {0: [(0.4, 0.2, 0.4)] * 7, 1: [(0.03, 0.12, 0.85)] * 7}
+
+    def posterior(v):
+        like = [math.prod(tables[c][k][x + 1] for k, x in enumerate(v)) for c in (0, 1)]
+        return share * like[1] / (share * like[1] + (1 - share) * like[0])
+
+    patterns = Counter(votes.values())
+    for _ in range(200):
+        q = {v: posterior(v) for v in patterns}
+        sums = {c: [[20 * p for p in prior] for _ in range(7)] for c, prior in ((0, (0.4, 0.2, 0.4)), (1, (0.03, 0.12, 0.85)))}
+        for v, n in patterns.items():
+            for k, x in enumerate(v):
+                sums[1][k][x + 1] += n * q[v]
+                sums[0][k][x + 1] += n * (1 - q[v])
+        share = (16 + sum(n * q[v] for v, n in patterns.items())) / (20 + len(docs))
+        tables = {c: [tuple(x / sum(row) for x in row) for row in rows] for c, rows in sums.items()}
+    for r in QUERIES["op5_quality"](spark, SF).collect():
+        want = posterior(votes[r.doc_id])
+        assert math.isclose(r.p_good, want, abs_tol=1e-6)
+        assert r.kept == (not r.base_failed and want >= 0.5)
+
+
 def test_labels_of_held_out_rows_are_never_learned(spark):
     rows = [(i, "poison words here" if zlib.crc32(str(i).encode()) % 5 == 0 else "plain words here") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -38,8 +38,62 @@ class Template:
     text: str
 
 
-#: Wording of public licenses and of their usual notices.
+#: Whole texts of short public licenses, in words.
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+    "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+    "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any "
+    "claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or "
+    "the use or other dealings in the software"
+)
+_ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+    "copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with "
+    "regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any "
+    "special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of "
+    "contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+    "documentation and or other materials provided with the distribution"
+)
+_ZLIB = (
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising "
+    "from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and "
+    "to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you "
+    "must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation "
+    "would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the "
+    "original software 3 this notice may not be removed or altered from any source distribution"
+)
+_UNLICENSE = (
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute "
+    "this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+)
+_APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a "
+    "copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software "
+    "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see "
+    "the license for the specific language governing permissions and limitations under the license"
+)
+_GPL = (
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+    "free software foundation"
+)
+
+#: Label, mandatory key phrase and wording of public licenses and of their usual notices.
 TEMPLATES = (
+    Template("mit", "permission is hereby granted free of charge", _MIT),
+    Template("isc", "permission to use copy modify and or distribute this software", _ISC),
+    Template("bsd", "redistribution and use in source and binary forms", _BSD),
+    Template("zlib", "permission is granted to anyone to use this software for any purpose", _ZLIB),
+    Template("unlicense", "unencumbered software released into the public domain", _UNLICENSE),
+    Template("apache-2", "licensed under the apache license version 2 0", _APACHE),
+    Template("gpl", "under the terms of the gnu general public license", _GPL),
     Template("mit", "the mit license", "the mit license"),
     Template("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     Template("apache-2", "apache license version 2", "the apache license version 2"),
@@ -88,9 +142,9 @@ def document_frequencies(docs: DataFrame, text_column: str, words: list[str]) ->
 
 
 def by_rarity(template: Template, frequencies: dict[str, int], total: int) -> list[str]:
-    """The template's index words: those of highest inverse document frequency first; ties in the order of the text."""
+    """The template's index words: those of highest inverse document frequency first; of equally rare ones the longest, then the first."""
     words = dict.fromkeys(template.text.split())
-    return sorted(words, key=lambda w: -math.log((total + 1) / (frequencies[w] + 1)))[:INDEX_WORDS]
+    return sorted(words, key=lambda w: (-math.log((total + 1) / (frequencies[w] + 1)), -len(w)))[:INDEX_WORDS]
 
 
 def rare_index(frequencies: dict[str, int], total: int, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, list[tuple[int, int]]]:
@@ -150,14 +204,15 @@ def _verified_as(template: Template, t: int, needed: int, words: Column, aligned
     parts, key = template.text.split(), template.key.split()
     key_at = next(k for k in range(len(parts)) if parts[k : k + len(key)] == key)
 
-    def starts(places: Column) -> Column:
-        return F.filter(F.array_distinct(places), lambda at: F.size(F.filter(places, lambda p: p == at)) >= needed)
+    def starts(ordered: Column) -> Column:
+        # In order, equal places are a run; its first one stands, if the run is long enough.
+        return F.filter(ordered, lambda at, i: F.coalesce(F.get(ordered, i + (needed - 1)) == at, F.lit(False)) & F.coalesce(F.get(ordered, i - 1) != at, F.lit(True)))
 
     def score(at: Column) -> Column:
         there = F.transform(F.sequence(F.lit(0), F.lit(len(parts) - 1)), lambda k: F.get(words, at + k))
         return F.size(F.filter(F.zip_with(there, F.array(*map(F.lit, parts)), lambda a, b: a == b), lambda same: same)) / F.lit(len(parts))
 
-    own = F.transform(F.filter(aligned, lambda a: a["t"] == t), lambda a: a["at"])
+    own = F.sort_array(F.transform(F.filter(aligned, lambda a: a["t"] == t), lambda a: a["at"]))
     good = F.filter(_let(own, starts), lambda at: _stands(words, key, at + key_at))
     scored = F.transform(good, lambda at: F.struct(F.lit(template.label).alias("label"), score(at).alias("score")))
     return F.filter(scored, lambda s: s["score"] >= IN_PLACE)

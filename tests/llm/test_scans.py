@@ -11,6 +11,7 @@ from ledgerframe.llm.queries import QUERIES
 from tests.llm.conftest import EDGE_TEXTS
 
 SF = "/root/testdata/sf0.001"
+MORE = "/root/testdata/sf0.01"
 
 
 def entropy(window):
@@ -105,14 +106,18 @@ def brute_base(text):
 def brute_labels(text, postings):
     """Every place of every template, without an index."""
     words, found = words_of(text), {}
+    here = set(words)
     for t, template in enumerate(licenses.TEMPLATES):
         parts, key = template.text.split(), template.key.split()
         own = [(w, p) for w, at in postings.items() for u, p in at if u == t]
+        if not any(w in here for w, _ in own):
+            continue
         key_at = next(k for k in range(len(parts)) if parts[k : k + len(key)] == key)
         for at in range(-len(parts), len(words)):
             there = lambda k, at=at: words[at + k] if 0 <= at + k < len(words) else None
-            score = sum(there(k) == p for k, p in enumerate(parts)) / len(parts)
-            if sum(there(p) == w for w, p in own) >= math.ceil(len(own) * licenses.AGREEING) and all(there(key_at + k) == p for k, p in enumerate(key)) and score >= licenses.IN_PLACE:
+            if sum(there(p) == w for w, p in own) < math.ceil(len(own) * licenses.AGREEING) or any(there(key_at + k) != p for k, p in enumerate(key)):
+                continue
+            if (score := sum(there(k) == p for k, p in enumerate(parts)) / len(parts)) >= licenses.IN_PLACE:
                 found[template.label] = max(score, found.get(template.label, 0))
     return found
 
@@ -130,12 +135,32 @@ LICENSES = [
 ]
 
 
-def test_op10_equals_brute_force(spark, documents, texts):
-    rows = QUERIES["op10_licenses"](spark, SF).collect()
-    for r in rows:
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_base(texts[r.doc_id])
-        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+def test_op10_equals_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{MORE}/documents.parquet").collect()}
+    vocabulary = {w for t in licenses.TEMPLATES for w in t.text.split()}
+    frequencies = Counter(w for t in texts.values() for w in vocabulary & set(re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())))
+    postings = licenses.rare_index({w: frequencies[w] for w in vocabulary}, len(texts))
+    rows = QUERIES["op10_licenses"](spark, MORE).collect()
     assert len(rows) == len(texts)
+    for r in rows:
+        base = brute_base(texts[r.doc_id])
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base
+        more = brute_labels(texts[r.doc_id], postings)
+        assert r.labels == ",".join(sorted({*filter(None, base[4].split(",")), *more}))
+        assert r.score == pytest.approx(1.0 if base[1] else max(more.values(), default=0.0))
+
+
+def test_whole_license_texts_are_found_among_words(spark):
+    cases = [(i, "some words before " + t.text.capitalize() + " and after", t.label) for i, t in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()}
+    for i, _, label in cases:
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+
+
+def test_rare_words_of_a_corpus_without_them_are_the_longest():
+    template = next(t for t in licenses.TEMPLATES if t.label == "gpl")
+    words = {w: 0 for w in template.text.split()}
+    assert not {"you", "can", "it"} & {*licenses.by_rarity(template, words, 1000)}
 
 
 def test_license_cases(spark):

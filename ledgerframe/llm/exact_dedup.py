@@ -1,13 +1,14 @@
 """Exact dedup by two-pass Bloom filtering.
 
-The first pass sets two bits for each text in a blocked Bloom filter (bloom.py) that keeps only bits hit twice or more. The
-second pass probes it: a text whose two bits are both set may be repeated and goes on to an exact grouping by SHA-256; any
-other text cannot have an equal and passes straight through, without a shuffle. Everything is a DataFrame expression.
-
-Scale. The filter has a size bound of 16 MB however many rows there are, so it can be broadcast; when the
-input outgrows it, more unique rows are suspected and shuffled, and the result stays exact. Only (digest, id) shuffles
-for the decisions; `drop_repeats` shuffles texts of suspects alone. A group of copies collapses on the map side,
-and its answer comes back through `attach`, so that no task gets a whole hot group.
+One pass over the texts writes each row's number, id and SHA-256 of the normalised text. The first pass over these sets two bits for each
+digest in a blocked Bloom filter (bloom.py) that keeps only bits hit twice or more. The second probes it: a row whose two bits are
+both set may be repeated and goes on to an exact grouping by its digest; any other cannot have an equal and passes straight
+through, without a shuffle. Everything is a DataFrame expression.
+
+Scale. The filter grows with the rows, so that the share of unique rows that are suspected stays below 2 %. It is broadcast up to 32 MB;
+beyond that, rows of 48 bytes meet its blocks by shuffle. Texts are never shuffled for decisions; `drop_repeats` shuffles
+those of documents that go. A group of copies collapses on the map side, and its answer comes back through `attach`, so that no task
+gets a whole hot group.
 """
 
 from __future__ import annotations
@@ -15,27 +16,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.bloom import bloom, probed
-from ledgerframe.llm.shared import attach, checkpointed, name, written
+from ledgerframe.llm.bloom import bloom, left_join_sparsely, probed
+from ledgerframe.llm.shared import attach, checkpointed, counted, numbered, place, written
 
 #: Any run of white space but a lone blank, which needs no change.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
+
 def normalised(text: Column) -> Column:
     """text with each run of white space replaced by one blank; null counts as empty."""
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _RUNS, " ")
 
 
-def _probed(docs: DataFrame, text_column: str) -> DataFrame:
-    """All columns of docs in `row`, with `rid`, `norm` and `suspect`: whether the text may be repeated."""
-    repeated = bloom(docs, normalised(name(text_column)), docs.count(), least=2)
-    rows = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"))
-    return probed(rows.withColumn("norm", normalised(F.col("row")[text_column])), F.col("norm"), repeated, "suspect")
+def _digests(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """rid, id and sha of the rows of docs that cannot be repeated, and of those that may be."""
+    sha = F.unhex(F.sha2(normalised(place(docs, text_column)).cast("binary"), 256))
+    slim = numbered(docs).select(F.monotonically_increasing_id().alias("rid"), place(docs, id_column).alias("id"), sha.alias("sha"))
+    slim, rows = counted(slim, "digests")
+    flagged = probed(slim, F.col("sha"), bloom(slim, F.col("sha"), rows, least=2), "suspect")
+    return flagged.where("not suspect").drop("suspect"), written(flagged.where("suspect").drop("suspect"), "suspects")
 
 
-def _decided(slim: DataFrame) -> DataFrame:
-    """The suspects of slim (rid, id, sha, suspect) with keep (struct of the row that stays) and n."""
-    suspects = slim.where("suspect")
+def _decided(suspects: DataFrame) -> DataFrame:
+    """The suspects (rid, id, sha) with keep (struct of the row that stays) and n."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid")))
     groups = checkpointed(suspects.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), first.alias("keep")).where("n > 1"))
     return attach(suspects, groups, "sha", "n", F.col("rid"))
@@ -46,27 +49,21 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     Of equal texts (white space runs as one blank, null as empty) the row with the smallest id stays. A row without an id
     comes after all with one. Rows that repeat text and id alike: the first as read stays, so exactly one row of a group
-    is kept. Extra columns are not read. An empty table gives no rows. docs must be a stable scan (files, or a checkpoint).
+    is kept. Extra columns of any name are not read. An empty table gives no rows. docs must be a stable scan (files, or a checkpoint).
     """
-    docs = docs.select(name(id_column).alias("id"), name(text_column).alias("text"))
-    slim = _probed(docs, "text").select("rid", F.col("row.id").alias("id"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "suspect")
-    slim = written(slim, "dedup")
+    once, suspects = _digests(docs, id_column, text_column)
     hexed = F.lower(F.hex("sha")).alias("text_sha256")
-    once = slim.where("not suspect").select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
-    many = _decided(slim)
+    once = once.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
+    many = _decided(suspects)
     many = many.select(F.col("id").alias("doc_id"), F.when(F.col("found").isNull(), F.col("id")).otherwise(F.col("found.keep.id")).alias("keep_id"), F.coalesce("found.n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("found.keep.rid") == F.col("rid"), F.lit(True)).alias("kept"), hexed)
     return once.unionByName(many)
 
 
 def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the repeated rows that `exact_dedup` drops, with the columns of docs.
+    """docs without the repeated rows that `exact_dedup` drops: null and empty texts are equal, one row of each group stays.
 
-    Rows that the filter clears keep flowing as they are read; suspects alone are shuffled, by their row number.
+    Columns of any name are kept as they are; texts of any length are compared whole; an empty table stays empty. docs must be a stable scan.
     """
-    probed = _probed(docs, text_column)
-    slim = probed.select("rid", F.col("row")[id_column].alias("id"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "suspect")
-    slim = written(slim.where("suspect"), "suspects")
-    lost = _decided(slim).where("found.keep.rid <> rid").select("rid")
-    once = probed.where("not suspect").select("row.*")
-    many = probed.where("suspect").join(lost, "rid", "left_anti").select("row.*")
-    return once.unionByName(many)
+    lost = checkpointed(_decided(_digests(docs, id_column, text_column)[1]).where("found.keep.rid <> rid").select("rid", F.lit(True).alias("lost")))
+    marked = left_join_sparsely(numbered(docs).withColumn("rid", F.monotonically_increasing_id()), lost, "rid")
+    return marked.where("lost is null").drop("rid", "lost").toDF(*docs.columns)

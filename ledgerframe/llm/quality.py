@@ -5,7 +5,7 @@ expectation-maximisation estimates each rule's accuracy and the share of good do
 documents agree, and a document is judged by its posterior probability of being good, instead of having to pass every rule.
 
 The votes of all documents enter as counts of vote patterns (at most 3 to the number of rules, whatever the input), so
-the estimation itself runs on the driver over a table of bounded size. Features are computed row by row in Arrow batches;
+the estimation itself runs on the driver over a table of bounded size. Features are computed row by row in Arrow batches, once, and written;
 nothing but the pattern counts is shuffled, combined on the map side.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerframe.llm.shared import SLICE, name
+from ledgerframe.llm.shared import SLICE, name, numbered, place, written
 
 #: Frequent short words of the four languages.
 STOP_WORDS = (
@@ -140,7 +140,11 @@ def _votes(rules: tuple[Rule, ...]) -> list[Column]:
 
 def fit(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> VoteModel:
     """The model of the votes on all rows of docs."""
-    counted = docs.select(_features(name(text_column).cast("string")).alias("f")).select("f.*")
+    return _fitted(docs.select(_features(name(text_column).cast("string")).alias("f")).select("f.*"), rules)
+
+
+def _fitted(counted: DataFrame, rules: tuple[Rule, ...]) -> VoteModel:
+    """The model of the votes on rows of features."""
     counts = counted.groupBy(*[v.alias(f"v{k}") for k, v in enumerate(_votes(rules))]).count()
     return estimate({tuple(r[:-1]): r[-1] for r in counts.collect()}, len(rules))
 
@@ -162,14 +166,18 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     words and fail. Texts of any length are read whole; rows that repeat are judged alike; other columns are not read; an empty
     table gives no rows.
     """
-    model = fit(docs, text_column, rules)
     rows = docs.select(name(id_column).alias("doc_id"), _features(name(text_column).cast("string")).alias("f")).select("doc_id", "f.*")
-    rows = rows.withColumns({"base_failed": F.expr(_BASE_FAILED), "p_good": _posterior(model, rules)})
+    rows = written(rows, "quality")
+    rows = rows.withColumns({"base_failed": F.expr(_BASE_FAILED), "p_good": _posterior(_fitted(rows, rules), rules)})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
 def drop_bad(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that `judge` keeps, with the columns of docs."""
-    model = fit(docs, text_column, rules)
-    whole = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("row"), _features(name(text_column).cast("string")).alias("f"))
-    return whole.select("row", "f.*").where(~F.expr(_BASE_FAILED) & (_posterior(model, rules) >= 0.5)).select("row.*")
+    """The rows of docs that `judge` keeps: null, empty and short texts go, repeated rows are judged alike.
+
+    Columns of any name are kept as they are; texts of any length are read whole; an empty table stays empty. Documents are written once
+    beside their features, so that texts are judged in one pass, before the model is known.
+    """
+    plain = numbered(docs)
+    rows = written(plain.withColumn("f", _features(place(docs, text_column).cast("string"))).select(*plain.columns, "f.*"), "judged")
+    return rows.where(~F.expr(_BASE_FAILED) & (_posterior(_fitted(rows, rules), rules) >= 0.5)).select(*plain.columns).toDF(*docs.columns)

@@ -38,7 +38,7 @@ class Template:
     text: str
 
 
-#: Whole texts of short public licenses, in words.
+#: The words of short public licenses, of their main parts, or of long notices.
 _MIT = (
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
     "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "

@@ -1,12 +1,14 @@
 import re
+import zlib
 
 import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerframe.llm import quality
+from tests.llm.test_rules import brute, brute_votes
 from tests.llm.test_scans import brute_secrets
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_similar import brute_kept
 
 
 def brute_redact(text):
@@ -20,31 +22,42 @@ def brute_redact(text):
 
 
 def test_run_equals_stages_by_brute_force(spark, documents, texts, vocab):
+    # The estimate itself is held against brute force in test_rules.
     model = quality.fit(documents)
-    judged = {r.doc_id: r.kept for r in quality.judge(documents).collect()}
-    assert 0 < sum(judged.values()) < len(judged)
-    kept = {i: t for i, t in texts.items() if judged[i]}
     assert model.share > 0.5
+    base = {i: brute(t) for i, t in texts.items()}
+    kept = {i: t for i, t in texts.items() if base[i][0] >= 50 and 100 * base[i][4] <= 50 * base[i][0] and model.posterior(brute_votes(quality.features(t))) >= 0.5}
+    assert 0 < len(kept) < len(texts)
     first = {}
     for i in sorted(kept):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[i]), i)
     kept = {i: kept[i] for i in first.values()}
-    roots = brute_components({i: brute_fingerprint(t) for i, t in kept.items()})
-    kept = {i: brute_redact(t) for i, t in kept.items() if roots[i] == i}
+    kept = {i: brute_redact(kept[i]) for i in brute_kept(kept)}
     library = Tokenizer.from_file(vocab)
     ids = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in kept.items()}
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert {r.doc_id for r in rows} == set(ids)
     pieces = {}
     for r in rows:
-        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens, r.ids_crc32))
     for i, parts in pieces.items():
         at = 0
-        for start, length, total in sorted(parts):
+        for start, length, total, crc in sorted(parts):
             assert start == at and total == len(ids[i])
+            assert crc == zlib.crc32(np.array(ids[i][start : start + length], "<u4").tobytes())
             at += length
         assert at == len(ids[i])
-    assert np.array([r.length for r in rows]).max() <= 2048
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.padded))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for k, parts in sequences.items():
+        at = 0
+        for offset, length, padded in sorted(parts):
+            assert offset == at
+            at += length
+        # Every sequence but the last is full; that one is padded unless its length is a power of two.
+        assert at == 2048 if k + 1 < len(sequences) else padded == (at if at & (at - 1) == 0 else 2048)
 
 
 def test_stages_keep_columns_and_survive_nothing(spark, edge, empty):

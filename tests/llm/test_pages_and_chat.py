@@ -1,6 +1,8 @@
 import base64
 import gzip
 import hashlib
+import io
+import random
 
 import pytest
 
@@ -15,7 +17,7 @@ def test_archive_of_edges(spark):
     rows = [(1, "http://a\r\nX: y", "<p>é漢</p>"), (2, None, None), (3, "u", ""), (5, "u", "<p>é漢</p>"), (4, "u", "<p>é漢</p>"), (6, "u", "one\r\n\r\nWARC/1.1\r\n\r\nmore"), (6, "u", "one\r\n\r\nWARC/1.1\r\n\r\nmore"), (None, "u", "<p>é漢</p>"), (7, "u", "x" * 300_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], PAGES).coalesce(1)
     path = shared_path(spark, "test-warc")
-    warc.write_archives(pages, path, file_records=4)
+    warc.write_archives(pages, path, files=((100, 4), (1 << 20, 1), (None, 1)))
     back = warc.read_archives(spark, path).collect()
     assert len(back) == len(rows)
     by = {}
@@ -46,7 +48,7 @@ def test_empty_and_damaged_archives(spark):
     warc.write_archives(spark.createDataFrame([], PAGES), path)
     assert warc.read_archives(spark, path).count() == 0
     with pytest.raises(ValueError):
-        list(warc.parse_archive(b"nothing\r\n\r\n"))
+        list(warc.parse_archive(io.BytesIO(b"nothing\r\n\r\n")))
 
 
 def test_archives_are_plain_warc(spark, tmp_path):
@@ -83,22 +85,22 @@ TALK = [
 
 
 def test_quotations():
-    clean, quotes, own = chat.quotations("a\n> b\n>> c\n>> d\n> \n> e\nf")
+    clean, quotes = chat.quotations("a\n> b\n>> c\n>> d\n> \n> e\nf")
     assert clean == "a\nf"
     assert [level for level, _ in quotes] == [1, 2, 1]
     assert chat.quotations("plain > text\n x")[1] == []
     assert chat.quotations("")[0] == ""
-    assert own
+    assert len(chat.passages("One. Two!\nthree\n\nfour")) == 8
 
 
 def test_links(spark):
     rows = chat.link_replies(spark.createDataFrame([(*t, 1) for t in TALK], "conv_id long, turn int, role string, text string, reply_to int").coalesce(1)).collect()
     assert len(rows) == len(TALK)
-    found = {(r.conv_id, r.turn): (r.text, r.reply_to, r.n_quotes, r.n_linked, r.deepest, r.anchor) for r in rows}
-    assert found[1, 2] == ("Good to hear", 1, 2, 2, 2, 1)
-    assert found[1, 3] == ("okay", 1, 1, 1, 1, 1)
-    assert found[1, 4] == ("what", None, 1, 0, 1, 4)
-    assert found[1, 5] == ("", None, 0, 0, 0, 5)
+    found = {(r.conv_id, r.turn): (r.text, r.reply_to, r.n_quotes, r.n_linked, r.deepest, r.path) for r in rows}
+    assert found[1, 2] == ("Good to hear", 1, 2, 2, 2, [1, 2])
+    assert found[1, 3] == ("okay", 1, 1, 1, 1, [1, 3])
+    assert found[1, 4] == ("what", None, 1, 0, 1, [4])
+    assert found[1, 5] == ("", None, 0, 0, 0, [5])
     assert found[2, 0][1] is None and found[None, 1][1] == 0 and found[3, None][1] is None
     assert sum((r.conv_id, r.turn) == (1, 3) for r in rows) == 2
 
@@ -135,3 +137,92 @@ def test_quotes_of_some_lines_of_a_paragraph(spark):
     rows = chat.ordered_conversations(spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").coalesce(1)).collect()
     assert {r.turn: (r.reply_to, r.n_quotes, r.n_linked) for r in rows if r.turn > 2} == {3: (1, 1, 1), 4: (1, 1, 1), 5: (1, 1, 1), 6: (None, 1, 0)}
     assert [r.turn for r in rows] == [0, 1, 3, 4, 5, 2, 6]
+
+
+CHAT = "conv_id long, turn int, role string, text string"
+
+
+def test_whole_reply_trees(spark):
+    talk = [(1, 0, "user", "first"), (1, 1, "user", "new topic"), (1, 2, "user", "> first\nreply one"), (1, 3, "user", "> reply one\nreply two"), (1, 4, "user", "> first\nlate"), (1, 5, "user", "> reply two\ndeep")]
+    rows = chat.ordered_conversations(spark.createDataFrame(talk, CHAT).coalesce(1)).collect()
+    assert [r.turn for r in rows] == [0, 2, 3, 5, 4, 1]
+
+
+def test_a_long_thread(spark):
+    talk = [(7, 0, "user", "say 0"), *((7, i, "user", f"> say {i - 1}\nsay {i}") for i in range(1, 70)), (7, 70, "user", "other")]
+    rows = chat.ordered_conversations(spark.createDataFrame(talk, CHAT)).collect()
+    assert [r.turn for r in rows] == list(range(71)) and rows[69].path == list(range(70)) and rows[70].path == [70]
+
+
+def quoted_talk(seed, conversations, turns):
+    """Conversations whose replies quote the whole, some lines or a sentence of a known earlier message, now and then with its own quotes."""
+    random.seed(seed)
+    rows, parents = [], {}
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(random.randrange(3, 9)))
+    for conv in range(conversations):
+        said, raw = [], []
+        for turn in range(turns):
+            own = "\n".join(" ".join(" ".join(word() for _ in range(random.randrange(4, 9))).capitalize() + random.choice(".!?") for _ in range(random.randrange(1, 4))) for _ in range(random.randrange(1, 5)))
+            parent = random.randrange(turn) if turn and random.random() < 0.7 else None
+            head = ""
+            if parent is not None:
+                lines, how = said[parent].split("\n"), random.randrange(5)
+                first = random.randrange(len(lines))
+                part = [said[parent], "\n".join(lines[first : first + 2]), random.choice(lines[first].replace("! ", "!|").replace(". ", ".|").replace("? ", "?|").split("|")), raw[parent], said[parent].upper()][how]
+                head = "".join(f"> {x}\n" for x in part.split("\n"))
+                head = random.choice(["", "On Monday Bob wrote:\n"]) + head
+                parents[conv, turn] = parent
+            said.append(own)
+            raw.append(head + own)
+            rows.append((conv, turn, random.choice(["user", "assistant"]), head + own))
+    return rows, parents
+
+
+def brute_links(rows):
+    """reply_to of each message, by comparing its quoted passages with all earlier own texts."""
+    even = lambda t: " ".join(t.split()).casefold()
+    sentences = lambda t: [s for s in chat._ENDS.split(t) if s.strip()]
+    parts, out = {}, {}
+    for conv, turn, _, text in rows:
+        own, quotes, level = [], [], 0
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
+            depth, rest = 0, line
+            while rest.lstrip(" ").startswith(">"):
+                depth, rest = depth + 1, rest.lstrip(" ")[1:]
+            if not depth:
+                if not (line.endswith("wrote:") and i + 1 < len(lines) and lines[i + 1].startswith(">")):
+                    own.append(line)
+            elif depth == level and quotes and rest.strip():
+                quotes[-1][1].append(rest)
+            else:
+                quotes.append((depth, [rest]))
+            level = depth
+        pairs = lambda ls: [f"{a} {b}" for a, b in zip(ls, ls[1:], strict=False)]
+        heard = {even(x) for x in ["\n".join(own), *own, *pairs(own), *sentences(even("\n".join(own)))]}
+        heard |= {even(s) for s in sentences(" ".join("\n".join(own).split()))}
+        found = []
+        for depth, ls in quotes:
+            for kind in ([" ".join(ls)], pairs(ls), ls if len(ls) > 1 else [], sentences(" ".join(ls))):
+                firsts = [min((t for (c, t), h in parts.items() if c == conv and t < turn and even(x) in h), default=None) for x in kind]
+                if firsts and None not in firsts:
+                    found.append((depth, -max(firsts)))
+                    break
+        parts[conv, turn] = heard
+        out[conv, turn] = -min(found)[1] if found else None
+    return out
+
+
+def test_links_of_a_quoting_corpus_by_brute_force_and_recall(spark):
+    rows, parents = quoted_talk(11, 12, 25)
+    got = {(r.conv_id, r.turn): r for r in chat.link_replies(spark.createDataFrame(rows, CHAT)).collect()}
+    want = brute_links(rows)
+    assert {k: r.reply_to for k, r in got.items()} == want
+    assert sum(got[k].reply_to == p for k, p in parents.items()) >= 0.9 * len(parents)
+    assert all(got[k].reply_to is None for k in want if k not in parents)
+    order = [(r.conv_id, r.turn) for r in chat.ordered_conversations(spark.createDataFrame(rows, CHAT)).collect()]
+
+    def tree(conv, turn):
+        return [(conv, turn), *(x for t in sorted(t for (c, t), p in want.items() if c == conv and p == turn) for x in tree(conv, t))]
+
+    assert order == [x for conv in range(12) for t in range(25) if want[conv, t] is None for x in tree(conv, t)]

@@ -26,6 +26,8 @@ NA_MODES = ("include", "exclude", "only")
 DISPLAYS = ("count", "row_pct", "col_pct", "total_pct")
 NA_LABEL, OTHER_LABEL = "<NA>", "(Other)"
 MANY_VALUES = 50
+#: Largest top-N cutoff whose rows one task puts in order.
+FEW = 10_000
 #: Rows of a table that are shown at most.
 SHOWN = 500
 #: Rank of special rows: after all values, <NA> before (Other).
@@ -121,7 +123,12 @@ def tab_df(df: DataFrame, variable: str, wt: str | None = None, sort: str = "val
     rows = _with_cutoff(_frequencies(_by_na(df, [variable], na), variable, wt), cutoff)
     rows = with_total(rows, "freq", "total")
     rows = rows.withColumn("percent", F.when(F.col("total") != 0, F.round(F.lit(100.0) * F.col("freq") / F.col("total"), 1)).otherwise(0.0))
-    rows = running_sums(rows, _display_order(sort), {"running": F.col("percent")})
+    if cutoff is not None and 1 <= cutoff <= FEW:
+        # Of at most so many rows and (Other), one task keeps the order.
+        order = Window.orderBy(*_display_order(sort))
+        rows = rows.withColumns({"position": F.row_number().over(order), "running": F.sum("percent").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    else:
+        rows = running_sums(rows, _display_order(sort), {"running": F.col("percent")})
     running = F.least(F.round("running", 1), F.lit(100.0))
     return rows.select(F.col("position").cast("int").alias("position"), _label().alias("value"), "freq", "percent", running.alias("cum_percent"), "n_other", "special")
 

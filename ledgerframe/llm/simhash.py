@@ -11,6 +11,8 @@ neighbours of the key are there) and a flag for the key itself: a fixed-size sum
 within two bits of each other, and each key links its least member to the others, at most 64 links.
 
 Equal texts share a fingerprint and are one vertex; a group of copies collapses on the map side.
+
+`wide_links` does the same with more and narrower segments for a wider radius; `llm/similar.py` verifies what it fetches on the texts' shingles.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SHINGLE = 3
 RADIUS = 2
 BITS = 64
 SEGMENT = 32
+#: Fingerprints at a segment value, on the average, up to which `segments_for` takes narrower segments.
+LOAD = 16
 #: Fingerprints at one segment value that are still fetched from there; more are split by the other segment.
 CROWD = 64
 #: Hashes whose bits are counted together.
@@ -49,6 +53,15 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(lanes[:, k], minlength=256) @ _BIT for k in range(8)])
 
 
+def _majority(counts: np.ndarray, count: int) -> int:
+    return int(np.packbits(counts * 2 > count, bitorder="little").view("<u8")[0])
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingle hashes; zero for the empty set."""
+    return _majority(_bit_counts(hashes), len(hashes)) if len(hashes) else 0
+
+
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """The 64-bit SimHash of a text: a bit is set if over half the shingles' hashes have it; zero without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -59,7 +72,7 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
         part = words[first : min(first + BLOCK, count) + size - 1]
         columns = [part[k:] for k in range(min(size, len(part)))]
         counts += _bit_counts(np.array([hashed(b" ".join(s), SEED) for s in zip(*columns, strict=False)], np.uint64))
-    return int(np.packbits(counts * 2 > count, bitorder="little").view("<u8")[0])
+    return _majority(counts, count)
 
 
 def fingerprints(docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
@@ -109,6 +122,40 @@ def _split_links(distinct: DataFrame) -> DataFrame:
     return pairs.where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS))
 
 
+def segments_for(rows: int) -> int:
+    """How many segments so many fingerprints are keyed by: four, three or two, so that few stand at one segment value by chance."""
+    return next((n for n in (4, 3) if rows <= LOAD << (BITS // n)), 2)
+
+
+def radius_of(segments: int) -> int:
+    """The distance within which one of so many segments differs in one bit at most."""
+    return 2 * segments - 1
+
+
+def wide_links(distinct: DataFrame, segments: int, crowd: int = CROWD) -> DataFrame:
+    """Edges (u, v) among distinct fingerprints (column fp, written or checkpointed) within `radius_of(segments)` bits of each other.
+
+    All such pairs are found but those that meet only at a crowded key (more than `crowd` fingerprints) or one bit beside it: there, all that
+    look in meet the key's least fingerprint alone, so that no crowd makes pairs with the square of its size. Callers find the others exactly.
+    """
+    places = [BITS * i // segments for i in range(segments + 1)]
+    widths = [b - a for a, b in zip(places, places[1:], strict=False)]
+    keys = lambda fp: [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)).bitwiseOR(F.lit(i << SEGMENT)) for i, (a, w) in enumerate(zip(places, widths, strict=False))]
+    ball = lambda key, width: F.concat(F.array(key), F.transform(F.sequence(F.lit(0), width - F.lit(1)), lambda i: key.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    table = written(distinct.select("fp", F.explode(F.array(*keys(F.col("fp")))).alias("key")), "segments")
+    crowds = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    width = F.get(F.array(*map(F.lit, widths)), F.shiftright("key", SEGMENT).cast("int"))
+    beside = written(crowds.select(F.explode(ball(F.col("key"), width)).alias("key"), F.lit(True).alias("crowded")).distinct(), "beside")
+    inside = left_join_sparsely(table, beside, "key")
+    pivots = written(inside.where("crowded").groupBy("key").agg(F.min("fp").alias("pivot")), "pivots")
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    balls = spread.select(F.col("fp").alias("u"), F.explode(F.concat(*(ball(k, F.lit(w)) for k, w in zip(keys(F.col("fp")), widths, strict=False)))).alias("key"))
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius_of(segments)
+    stand = inside.where("crowded is null").select("key", F.col("fp").alias("v"), F.lit(False).alias("alone")).union(pivots.select("key", "pivot", F.lit(True)))
+    met = balls.join(stand, "key").where(near & (F.col("u") != F.col("v")) & (F.col("alone") | (F.col("u") < F.col("v"))))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id.
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from ledgerframe.llm import simhash as op
@@ -85,3 +86,27 @@ def test_drop_near_copies(spark, empty):
     kept = {r.doc_id for r in op.drop_near_copies(docs).collect()}
     assert kept == ({3, 9, None, 4} if close else {3, 5, 9, None, 4})
     assert op.drop_near_copies(empty).count() == op.simhash_groups(empty).count() == 0
+
+
+def test_wide_links_equal_brute_force(spark):
+    random.seed(11)
+    values = {random.getrandbits(63) for _ in range(60)}
+    for v in sorted(values):
+        for bits in (1, 3, 5, 6, 7, 8, 12):
+            values.add(v ^ sum(1 << b for b in random.sample(range(63), bits)))
+    values |= {-v for v in list(values)[:50]}
+    distinct = spark.createDataFrame([(v,) for v in sorted(values)], "fp long").localCheckpoint()
+    masks = sorted((v, v & (1 << 64) - 1) for v in values)
+    for segments in (2, 3, 4):
+        near = {(a, b) for i, (a, x) in enumerate(masks) for b, y in masks[i + 1 :] if (x ^ y).bit_count() <= op.radius_of(segments)}
+        assert {tuple(r) for r in op.wide_links(distinct, segments).collect()} == near and near
+        # With crowded keys no link is wrong, and some are left.
+        few = {tuple(r) for r in op.wide_links(distinct, segments, 2).collect()}
+        assert few <= near and few
+    assert [op.segments_for(n) for n in (0, 16 << 16, (16 << 16) + 1, 16 << 21, (16 << 21) + 1)] == [4, 4, 3, 3, 2]
+
+
+def test_fingerprint_of_a_set():
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in (b"a b c", b"b c d", b"c d e")]
+    assert op.fingerprint_of(np.array(hashes, np.uint64)) == op.fingerprint("a b c d e") == brute_fingerprint("a b c d e")
+    assert op.fingerprint_of(np.zeros(0, np.uint64)) == 0

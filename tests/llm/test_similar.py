@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline
 from ledgerframe.llm import similar as op
+from ledgerframe.llm import simhash
 from ledgerframe.llm.shared import shared_root
 
 
@@ -89,3 +90,23 @@ def test_rows_without_words_or_ids(spark, edge, empty):
     kept = [r.doc_id for r in op.drop_similar(edge).collect()]
     assert sorted(i for i in kept if i is not None) == [1, 3, 8, 9, 10] and kept.count(None) == 2
     assert op.drop_similar(empty).count() == 0
+
+
+def test_hamming_balls_find_near_copies_without_suspects(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    texts = {1: words, 2: [*words[:-1], "x"], 3: ["y", *words[1:]], 4: [f"v{k}" for k in range(400)], 5: words[:200]}
+    prints = {i: simhash.fingerprint_of(op.shingles(" ".join(w))) for i, w in texts.items()}
+    assert all(0 < (prints[1] ^ prints[i]).bit_count() <= simhash.radius_of(4) for i in (2, 3))
+    monkeypatch.setattr(op, "_suspects", lambda distinct: distinct.select("vertex", "rid").limit(0))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()} == {1, 4, 5}
+
+
+def test_pairs_of_equal_or_near_fingerprints_are_verified(spark):
+    vertices = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 1 << 20 | 1 << 40), (5, -1)], "vertex long, fp long").localCheckpoint()
+    assert {tuple(sorted(r)) for r in op._fetched(vertices).collect()} == {(1, 2), (1, 3), (1, 4), (3, 4)}
+    # Of these, 1 and 2 have nothing in common, and 1 and 3 all; 6 is like 4 but in no pair of fingerprints.
+    sets = [(1, list(range(9))), (2, list(range(20, 29))), (3, list(range(9))), (4, list(range(40, 49))), (6, list(range(40, 50)))]
+    sets = spark.createDataFrame(sets, "vertex long, hashes array<long>").localCheckpoint()
+    roots = {r.vertex: r.root for r in op.near_roots(sets, op._fetched(vertices.where("vertex < 5"))).collect()}
+    assert roots[1] == roots[3] != roots[4] == roots[6] and roots.get(2, 2) not in (roots[1], roots[4])

@@ -16,6 +16,7 @@ from ledgerframe.llm.quality import judge
 from ledgerframe.llm.secrets import find_secrets
 from ledgerframe.llm.shared import shared_path
 from ledgerframe.llm.simhash import simhash_groups
+from ledgerframe.llm.spelling import spelling_variants
 from ledgerframe.llm.toxicity import learn, score_toxicity
 from ledgerframe.llm.warc import read_archives, write_archives
 
@@ -78,6 +79,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {

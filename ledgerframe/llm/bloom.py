@@ -83,7 +83,7 @@ def left_join_sparsely(rows: DataFrame, table: DataFrame, key: str) -> DataFrame
 
     `table` has been written or checkpointed and has one row for each key. Rows whose key the table's filter excludes are passed on as
     they are read; only the others are shuffled. A table of so many keys that no filter of MAX_BITS tells them apart is joined
-    by a shuffle of all rows. rows are read twice and must be a stable scan, without columns of the names used here: __block, __words, __maybe and found."""
+    by a shuffle of all rows. rows are read twice, and both readings must give the same keys to the same rows (see `identified`), without columns of the names used here: __block, __words, __maybe and found."""
     keys = table.count()
     if keys * LEAST_BITS_PER_KEY > MAX_BITS:
         return rows.join(table, key, "left")

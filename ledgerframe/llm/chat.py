@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.bloom import left_join_sparsely
-from ledgerframe.llm.shared import numbered, place, sliced, written
+from ledgerframe.llm.shared import RID, identified, place, sliced, written
 
 _MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 #: A line that announces a quotation, in the four languages.
@@ -136,8 +136,9 @@ def link_replies(messages: DataFrame, conversation_column: str = "conv_id", turn
     answers, after the replies to earlier replies. A passage is one said whole (a text, paragraph, line or sentence), else one whose
     pairs of lines, else one whose lines, else one whose sentences have all been said; the turn is then the one by which they were. Passages are
     compared with white space and case evened out. Null texts are empty; null turns link to nothing; a null conversation
-    is one of its own; repeated messages come out each, in the order in which they are read (rid); other columns are not read, whatever they are
-    called; texts of any length are parsed whole; an empty table gives no rows. messages must be a stable scan.
+    is one of its own; repeated messages come out each, file by file in the order in which they stand there (rid); other columns are not read, whatever they are
+    called; texts of any length are parsed whole; an empty table gives no rows. Passes over the messages know
+    them by `identified`, so they may be split into tasks in different ways.
     """
     kinds = [messages.schema[c].dataType.simpleString() for c in (conversation_column, turn_column)]
     quote = pa.struct([("level", pa.int32()), ("parts", pa.list_(pa.list_(pa.int64())))])
@@ -149,10 +150,10 @@ def link_replies(messages: DataFrame, conversation_column: str = "conv_id", turn
             parsed = pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], *columns], names=["rid", "conv", "turn", "clean", "quotes"])
             yield parsed.filter(pa.array([bool(q) for _, q in found], pa.bool_()))
 
-    plain, at = numbered(messages), lambda c: place(messages, c)
-    rows = plain.select(F.monotonically_increasing_id().alias("rid"), at(conversation_column).alias("conv"), at(turn_column).alias("turn"), at(role_column).cast("string").alias("role"), at(text_column).cast("string").alias("text"))
+    at = lambda c: place(messages, c)
+    rows = identified(messages, "messages").select("rid", at(conversation_column).alias("conv"), at(turn_column).alias("turn"), at(role_column).cast("string").alias("role"), at(text_column).cast("string").alias("text"))
     # Only what quotes is written; all other messages pass from the source to the sort.
-    quoted = rows.select("rid", "conv", "turn", "text").mapInArrow(run, "rid long, conv {0}, turn {1}, clean string, quotes array<struct<level:int,parts:array<array<long>>>>".format(*kinds))
+    quoted = rows.select("rid", "conv", "turn", "text").mapInArrow(run, f"rid {RID}, conv {kinds[0]}, turn {kinds[1]}, clean string, quotes array<struct<level:int,parts:array<array<long>>>>")
     quoted = written(quoted, "quoted")
     quoting = quoted.where("turn is not null")
     asking = written(quoting.groupBy(F.xxhash64("conv").alias("talk")).agg(F.count(F.lit(1)).alias("quotes")), "asking")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.bloom import bloom, left_join_sparsely, probed
-from ledgerframe.llm.shared import attach, checkpointed, counted, numbered, place, written
+from ledgerframe.llm.shared import attach, checkpointed, counted, identified, numbered, place, written
 
 #: Any run of white space but a lone blank, which needs no change.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -28,11 +28,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _RUNS, " ")
 
 
-def _digests(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """rid, id and sha of the rows of docs that cannot be repeated, and of those that may be."""
-    sha = F.unhex(F.sha2(normalised(place(docs, text_column)).cast("binary"), 256))
-    slim = numbered(docs).select(F.monotonically_increasing_id().alias("rid"), place(docs, id_column).alias("id"), sha.alias("sha"))
-    slim, rows = counted(slim, "digests")
+def _digests(plain: DataFrame, rid: Column, id_: Column, text: Column) -> tuple[DataFrame, int]:
+    """rid, id and sha of each row, written, and the number of rows."""
+    sha = F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+    return counted(plain.select(rid.alias("rid"), id_.alias("id"), sha.alias("sha")), "digests")
+
+
+def _suspected(slim: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of slim (rid, id, sha; written) that cannot be repeated, and those that may be."""
     flagged = probed(slim, F.col("sha"), bloom(slim, F.col("sha"), rows, least=2), "suspect")
     return flagged.where("not suspect").drop("suspect"), written(flagged.where("suspect").drop("suspect"), "suspects")
 
@@ -44,14 +47,20 @@ def _decided(suspects: DataFrame) -> DataFrame:
     return attach(suspects, groups, "sha", "n", F.col("rid"))
 
 
+def repeated(slim: DataFrame, rows: int) -> DataFrame:
+    """rid and lost (true) of the rows of slim (rid, id, sha; written; about so many rows) that repeat the row that stays."""
+    return checkpointed(_decided(_suspected(slim, rows)[1]).where("found.keep.rid <> rid").select("rid", F.lit(True).alias("lost")))
+
+
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts (white space runs as one blank, null as empty) the row with the smallest id stays. A row without an id
     comes after all with one. Rows that repeat text and id alike: the first as read stays, so exactly one row of a group
-    is kept. Extra columns of any name are not read. An empty table gives no rows. docs must be a stable scan (files, or a checkpoint).
+    is kept. Extra columns of any name are not read. An empty table gives no rows. Texts are read once, and numbered in the same pass.
     """
-    once, suspects = _digests(docs, id_column, text_column)
+    slim, rows = _digests(numbered(docs), F.monotonically_increasing_id(), place(docs, id_column), place(docs, text_column))
+    once, suspects = _suspected(slim, rows)
     hexed = F.lower(F.hex("sha")).alias("text_sha256")
     once = once.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
     many = _decided(suspects)
@@ -62,8 +71,10 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs without the repeated rows that `exact_dedup` drops: null and empty texts are equal, one row of each group stays.
 
-    Columns of any name are kept as they are; texts of any length are compared whole; an empty table stays empty. docs must be a stable scan.
+    Columns of any name are kept as they are; texts of any length are compared whole; an empty table stays empty. The second reading knows the rows
+    by `identified`, so it may be split into tasks in another way than the first; the rows of docs themselves must be the same in both.
     """
-    lost = checkpointed(_decided(_digests(docs, id_column, text_column)[1]).where("found.keep.rid <> rid").select("rid", F.lit(True).alias("lost")))
-    marked = left_join_sparsely(numbered(docs).withColumn("rid", F.monotonically_increasing_id()), lost, "rid")
+    plain = identified(docs, "documents")
+    lost = repeated(*_digests(plain, F.col("rid"), place(docs, id_column), place(docs, text_column)))
+    marked = left_join_sparsely(plain, lost, "rid")
     return marked.where("lost is null").drop("rid", "lost").toDF(*docs.columns)

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +101,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What `identified` calls a row by.
+RID = "struct<file:bigint,row:bigint>"
+
+
+#: Plans that pass the rows of their one child on, each once at most.
+_PLAIN = ("Project", "Filter", "SubqueryAlias")
+
+
+def _is_plain_scan(docs: DataFrame) -> bool:
+    """Whether docs are rows of files, each of them once at most, by a plan that makes the same of them in every scan."""
+    node = docs._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
+    while node.nodeName() in _PLAIN:
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and len(node.relation().location().inputFiles()) == len(docs._jdf.inputFiles())
+
+
+def identified(docs: DataFrame, label: str) -> DataFrame:
+    """`numbered(docs)` with rid: what tells each row apart, and stays the same in every scan, however its rows are dealt to tasks.
+
+    A row of Parquet files is called by its file (a hash of the path) and its place there, which no split of the files changes; the files are
+    read again. Rows of any other frame are numbered and written once, and read back with their numbers."""
+    names = [*(f"c{i}" for i in range(len(docs.columns))), "rid"]
+    try:
+        if _is_plain_scan(docs):
+            hidden = docs.metadataColumn("_metadata")
+            return docs.select("*", F.struct(F.xxhash64(hidden["file_path"]).alias("file"), hidden["row_index"].alias("row")).alias("rid")).toDF(*names)
+    except AnalysisException:
+        pass
+    return written(numbered(docs).withColumn("rid", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), label)
+
+
 def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, salt: Column) -> DataFrame:
     """rows, left-joined with `table`, which has one row for each key and has been written or checkpointed.
 

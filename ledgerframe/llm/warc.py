@@ -1,8 +1,8 @@
 """WARC archives with revisit resolution.
 
-Headers alone (row number, id, payload digest, length) are shuffled by digest; of records with equal payloads the one with the
+Headers alone (row, id, payload digest) are shuffled by digest; of records with equal payloads the one with the
 largest id is the response and every other becomes a revisit of it. The revisits, again headers alone, are joined to the
-pages by row number: pages that a Bloom filter of these clears are written as they are read, so that of the payloads only those
+pages by row: pages that a Bloom filter of these clears are written as they are read, so that of the payloads only those
 that go are shuffled. Deduplicated archives are written with fresh headers. The archives are text files of whole records,
 written by Spark's own committer to any file system, so a lost task leaves no half record behind. A file has a number of records that
 its class of sizes bounds, so that its bytes are bounded too; it is read back as a stream, record by record.
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.bloom import left_join_sparsely
-from ledgerframe.llm.shared import attach, checkpointed, name, written
+from ledgerframe.llm.shared import attach, checkpointed, identified, place, written
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -48,8 +48,9 @@ def payload_digest(payload: Column) -> Column:
 
 
 def _headers(pages: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:
-    html = F.coalesce(name(html_column).cast("string"), F.lit(""))
-    rows = pages.select(name(id_column).alias("id"), F.coalesce(name(url_column).cast("string"), F.lit("")).alias("url"), html.alias("html"), F.monotonically_increasing_id().alias("rid"))
+    at = lambda c: place(pages, c)
+    html = F.coalesce(at(html_column).cast("string"), F.lit(""))
+    rows = identified(pages, "pages").select(at(id_column).alias("id"), F.coalesce(at(url_column).cast("string"), F.lit("")).alias("url"), html.alias("html"), "rid")
     return rows.withColumns({"digest": payload_digest(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
 
 
@@ -67,7 +68,7 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
     Of equal payloads (null as empty) of at least min_bytes bytes the row with the largest id is the response; of rows that
     repeat that id, one. A row without an id sorts before all others; its record has an empty id. Line breaks in a URL are
     escaped. Other columns are not read, whatever they are called; payloads of any length are written whole; an empty table gives an archive
-    without records. pages must be a stable scan.
+    without records. Headers and records are read in passes of their own, in which `identified` knows the rows.
     """
     rows = _headers(pages, id_column, url_column, html_column)
     of_class = F.coalesce(*[F.when(F.lit(True) if most is None else F.col("bytes") <= most, F.lit(k)) for k, (most, _) in enumerate(files)])

@@ -19,6 +19,7 @@ from ledgerframe.llm.simhash import simhash_groups
 from ledgerframe.llm.spelling import spelling_variants
 from ledgerframe.llm.toxicity import learn, score_toxicity
 from ledgerframe.llm.warc import read_archives, write_archives
+from ledgerframe.llm.whitening import by_component, whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,6 +80,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(whiten(_table(spark, sf_dir, "embeddings")))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
+    "op12_whitening": op12_whitening,
     "op13_spelling": op13_spelling,
 }
 

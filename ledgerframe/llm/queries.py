@@ -12,6 +12,7 @@ from ledgerframe.llm.chat import ordered_conversations
 from ledgerframe.llm.exact_dedup import exact_dedup
 from ledgerframe.llm.licenses import scan_licenses
 from ledgerframe.llm.packing import pack
+from ledgerframe.llm.personal import find_personal, personal_digests
 from ledgerframe.llm.quality import judge
 from ledgerframe.llm.secrets import find_secrets
 from ledgerframe.llm.shared import shared_path
@@ -80,6 +81,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digests(find_personal(_table(spark, sf_dir, "documents")))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_component(whiten(_table(spark, sf_dir, "embeddings")))
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
+    "op11_personal": op11_personal,
     "op12_whitening": op12_whitening,
     "op13_spelling": op13_spelling,
 }

@@ -35,15 +35,13 @@ LEAST_VALUE = 6
 WINDOW = 16
 #: Character classes from the narrowest on, with the entropy in bits that a window must reach.
 CLASSES = ((r"^[0-9a-f]+$", 2.75), (r"^[0-9A-F]+$", 2.75), (r"^[A-Z0-9]+$", 3.1), (r"^[a-z0-9_-]+$", 3.3), (r"^[A-Za-z0-9+/_-]+=*$", 3.4))
-#: Candidates that are no secrets: UUIDs, dates and times, placeholders, alphabets and digits in order, words with a number at their end,
-#: words and names in camel case.
+#: Candidates that are no secrets: UUIDs, dates and times, placeholders, alphabets and digits in order, words with a number at their end. No pattern
+#: here repeats a group: the regular expressions of the JVM do that by recursion, which a long candidate would exhaust.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T|_|$)",
     r"(?i)(example|placeholder|changeme|xxxx|0000000|1234567|abcdefg)",
-    r"^([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",
     r"^[A-Za-z]+[0-9]{1,4}$",
-    r"^([A-Z]?[a-z]{2,}|[A-Z]{2,})([A-Z][a-z]{2,})*$",
 )
 MASK = "[SECRET]"
 #: Bits of a count, and counts in a long.
@@ -128,13 +126,26 @@ def top_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.when(F.length(value) >= window, _let(F.struct(chars.alias("chars"), F.array_distinct(chars).alias("kinds")), placed))
 
 
+def _marked_words(value: Column) -> Column:
+    """Whether the value is words with single `/`, `_` or `-` between them or at their end, and up to four digits."""
+    return value.rlike(r"^[A-Za-z][A-Za-z/_-]*[0-9]{0,4}$") & value.rlike("[/_-]") & ~value.rlike("[/_-][/_-]")
+
+
+def _camel_case(value: Column) -> Column:
+    """Whether the value is words in camel case: each capital with two small letters after it at least, but for a word of capitals alone at
+    the beginning; small letters at the beginning are two at least."""
+    # The last capital of those at the beginning belongs to the next word.
+    rest = F.regexp_replace(value, "^[A-Z]{2,}(?=[A-Z])", "")
+    return value.rlike("^[A-Za-z]+$") & (value.rlike("^[A-Z]{2,}$") | ~rest.rlike("[A-Z](?![a-z][a-z])|^[a-z](?![a-z])"))
+
+
 def looks_random(value: Column) -> Column:
     """Whether a candidate string counts as a secret."""
     bare = F.regexp_replace(value, "=+$", "")
     least = F.when(bare.rlike(CLASSES[0][0]), F.lit(CLASSES[0][1]))
     for pattern, bits in CLASSES[1:]:
         least = least.when(bare.rlike(pattern), F.lit(bits))
-    allowed = F.lit(False)
+    allowed = _marked_words(bare) | _camel_case(bare)
     for pattern in ALLOWED:
         allowed = allowed | bare.rlike(pattern)
     return F.coalesce(~allowed & (top_entropy(bare) >= least), F.lit(False))

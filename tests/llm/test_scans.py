@@ -19,10 +19,14 @@ def entropy(window):
     return math.log2(len(window)) - sum(n * math.log2(n) for n in counts.values()) / len(window)
 
 
+#: What the operator decides without repeated groups.
+MARKED, CAMEL = r"^([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$", r"^([A-Z]?[a-z]{2,}|[A-Z]{2,})([A-Z][a-z]{2,})*$"
+
+
 def random_looking(value):
     value = value.rstrip("=")
     least = next((bits for pattern, bits in secrets.CLASSES if re.search(pattern, value)), None)
-    if least is None or len(value) < 16 or any(re.search(p, value) for p in secrets.ALLOWED):
+    if least is None or len(value) < 16 or any(re.search(p, value) for p in (*secrets.ALLOWED, MARKED, CAMEL)):
         return False
     return max(entropy(value[i : i + 16]) for i in range(len(value) - 15)) >= least - 1e-9
 

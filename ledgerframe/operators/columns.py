@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerframe.functions.render import table_text
-from ledgerframe.functions.types import check_columns, check_frame, class_name, is_missing, name, present, to_rows
+from ledgerframe.functions.types import check_columns, check_frame, class_name, is_missing, is_numeric, name, present, to_rows
 from ledgerframe.plans.profile import quantile_columns
-
-#: Columns whose summaries one aggregate computes: each distinct count widens the rows that are shuffled.
-BATCH = 8
-
+from ledgerframe.plans.values import text_of, value_figures
 
 def missing_df(df: DataFrame) -> DataFrame:
     """position, variable, n_na, pct_na (rounded to one decimal), n_valid: one row for each column, lazily, from one pass."""
@@ -59,7 +56,7 @@ _SCHEMA = ", ".join(f"{f} {'bigint' if f in ('n_unique', 'missing') else 'double
 def _examples(value: Column, kind: str, k: int) -> list[Column]:
     """Three values that are there: the least, the greatest and any one. Each is an aggregate of one value, where the first ones in
     reading order would not be reproducible."""
-    text = F.to_json(F.struct(value)) if kind == "list" else value.cast("string")
+    text = text_of(value, kind)
     least, greatest = (F.min(text), F.max(text)) if kind == "list" else (F.min(value).cast("string"), F.max(value).cast("string"))
     return [least.alias(f"e1_{k}"), greatest.alias(f"e2_{k}"), F.max_by(text, F.xxhash64(text)).alias(f"e3_{k}")]
 
@@ -68,12 +65,9 @@ def _summaries(df: DataFrame, field: T.StructField, k: int, approximate: bool, r
     """Aggregates of one column, and the struct that is made of them. ranked: the aggregate of its quantiles, of numbers."""
     kind, value = class_name(field), present(name(field.name), field)
     number = value.cast("double") if kind in ("integer", "numeric", "logical") else None
-    distinct = F.approx_count_distinct(value) if approximate else F.count_distinct(value)
-    plain = kind not in ("list",)
-    aggregates = [F.count(F.lit(1)).alias(f"n{k}"), F.count_if(is_missing(name(field.name), field)).alias(f"na{k}"), (distinct if plain else F.count_distinct(F.to_json(F.struct(value)))).alias(f"u{k}")]
-    if kind not in ("integer", "numeric"):
-        # Ties go to the least value, of types without an order to the least text.
-        aggregates.append(F.mode(value if kind in ("character", "factor", "logical", "Date", "POSIXct") else F.to_json(F.struct(value)) if kind == "list" else value.cast("string"), True).cast("string").alias(f"t{k}"))
+    aggregates = [F.count(F.lit(1)).alias(f"n{k}"), F.count_if(is_missing(name(field.name), field)).alias(f"na{k}")]
+    if approximate:
+        aggregates.append(F.approx_count_distinct(text_of(value, kind) if kind == "list" else value).alias(f"u{k}"))
     if number is not None:
         aggregates += [F.avg(number).alias(f"m{k}"), F.stddev_samp(number).alias(f"s{k}")]
     if kind in ("integer", "numeric"):
@@ -85,10 +79,10 @@ def _summaries(df: DataFrame, field: T.StructField, k: int, approximate: bool, r
     q = (lambda j: F.get(F.col(f"q{k}"), F.lit(j))) if kind in ("integer", "numeric") else (lambda j: none)
     values = {
         "type": F.lit("numeric" if kind == "integer" else kind),
-        "n_unique": F.col(f"u{k}"),
+        "n_unique": F.col(f"u{k}") if approximate else none,
         "missing": F.col(f"na{k}"),
         "missing_share": F.when(F.col(f"n{k}") > 0, F.col(f"na{k}") / F.col(f"n{k}")),
-        "most_frequent": F.col(f"t{k}") if kind not in ("integer", "numeric") else none,
+        "most_frequent": none,
         "mean": F.col(f"m{k}") if number is not None else none,
         "sd": F.col(f"s{k}") if number is not None else none,
         "min": F.col(f"lo{k}") if kind in ("integer", "numeric", "character", "factor", "Date") else none,
@@ -104,23 +98,30 @@ def _summaries(df: DataFrame, field: T.StructField, k: int, approximate: bool, r
 
 
 def summary_df(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False, quantiles: str = "auto") -> DataFrame:
-    """position, variable and the summary of each column, lazily (but for sorted quantiles). Numbers stay numbers; what has no meaning for a
+    """position, variable and the summary of each column, lazily (but for quantiles of large inputs). Numbers stay numbers; what has no meaning for a
     class is null.
 
-    Columns are summarised BATCH at a time, one pass for each batch. approximate: distinct counts and quantiles by sketches."""
+    One pass has the aggregates of all columns, one counts all their values (`value_figures`), and one reads the most frequent ones. Values of more than a
+    long are told apart by 128 bits. approximate: distinct counts and quantiles by sketches."""
     columns = df.columns if cols is None else list(cols)
     check_columns(df, columns, "cols")
-    out = None
-    for start in range(0, len(columns), BATCH):
-        fields = [df.schema[c] for c in columns[start : start + BATCH]]
-        numbers = [f for f in fields if class_name(f) in ("integer", "numeric")]
-        ranked = dict(zip([f.name for f in numbers], quantile_columns(df, [present(name(f.name), f).cast("double") for f in numbers], "approximate" if approximate else quantiles), strict=True))
-        parts = [_summaries(df, f, start + i, approximate, ranked.get(f.name)) for i, f in enumerate(fields)]
-        rows = to_rows(df.agg(*[a for aggregates, _ in parts for a in aggregates]), [struct for _, struct in parts])
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    if not columns:
         return df.sparkSession.createDataFrame([], f"position int, variable string, {_SCHEMA}")
-    return out
+    fields = [df.schema[c] for c in columns]
+    numbers = [f for f in fields if is_numeric(f)]
+    ranked = dict(zip([f.name for f in numbers], quantile_columns(df, [present(name(f.name), f).cast("double") for f in numbers], "approximate" if approximate else quantiles), strict=True))
+    parts = [_summaries(df, f, k, approximate, ranked.get(f.name)) for k, f in enumerate(fields)]
+    rows = to_rows(df.agg(*[a for aggregates, _ in parts for a in aggregates]), [struct for _, struct in parts])
+    modes = [k for k, f in enumerate(fields) if not is_numeric(f)]
+    counted = modes if approximate else range(len(fields))
+    if not counted:
+        return rows
+    figures = value_figures(df, [(k, fields[k]) for k in counted], modes).withColumnRenamed("k", "position")
+    rows = rows.join(F.broadcast(figures), "position", "left")
+    # Of values that are all as frequent the least is taken: the first example.
+    mode = F.when(F.col("level"), F.col("example1")).otherwise(F.col("mode"))
+    own = {"n_unique": F.col("n_unique") if approximate else F.coalesce("distinct", F.lit(0)).cast("long"), "most_frequent": F.when(F.col("position").isin(*modes), mode)}
+    return rows.select("position", "variable", *[own.get(f, F.col(f)).alias(f) for f in SUMMARY_FIELDS])
 
 
 def summarize_column(df: DataFrame, column: str, approximate: bool = False, quantiles: str = "auto") -> dict:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerframe.functions.types import check_columns, check_frame, free_name, numbered
 from ledgerframe.operators.trail import AuditTrail, Snapshot, build_snapshot, check_trail, controls_of, scope_of, with_changes
+from ledgerframe.plans.ranges import range_join
 from ledgerframe.operators.validate import By, JoinValidation, common_columns, key_pairs, validate_join
 
 #: Spark's name of each join.
@@ -25,7 +26,8 @@ def join_frames(x: DataFrame, y: DataFrame, by: By | Column | None = None, how:
     """Joins x and y.
 
     by: equal keys (a missing key equals a missing key); None: all common columns; a Column over both frames, or `on`, SQL over the
-    aliases x and y, for any other condition. Equal keys come out once, by x's name; other columns in both get the suffixes, as often
+    aliases x and y, for any other condition: with an equality of both sides Spark joins by that, and comparisons alone are joined by
+    buckets of one side's values (`plans/ranges.py`). Equal keys come out once, by x's name; other columns in both get the suffixes, as often
     as it takes to make their names differ from all others.
     unmatched="error" fails if a row of x has no match; multiple="error" if one has several, and "any" takes one of them.
     """
@@ -73,9 +75,11 @@ def _suffixed(names_x: list[str], names_y: list[str], keys: list[str], suffix: t
 
 def _theta(x: DataFrame, y: DataFrame, match: Column, kind: str, suffix: tuple[str, str]) -> DataFrame:
     left, right = x.alias("x"), y.alias("y")
-    joined = left.join(right, match, kind)
+    joined = range_join(left, right, match, kind)
+    if joined is None:
+        joined = left.join(right, match, kind)
     if kind in ("left_semi", "left_anti"):
-        return joined
+        return joined.select("x.*")
     quoted = lambda side, c: F.col(f"{side}.`{c}`")
     names = _suffixed(x.columns, y.columns, [], suffix)
     return joined.select(*[c.alias(n) for c, n in zip([*[quoted("x", c) for c in x.columns], *[quoted("y", c) for c in y.columns]], names, strict=True)])

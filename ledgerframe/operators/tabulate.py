@@ -149,15 +149,22 @@ def crosstab_df(df: DataFrame, row: str, column: str, wt: str | None = None, cut
         swallowed = F.col("a").isNotNull() & F.col("kept").isNull()
         cells = cells.select(F.when(~swallowed, F.col("a")).alias("a"), "b", "n", F.when(swallowed, _OTHER).otherwise(F.col("row_special")).alias("row_special"), "col_special")
         cells = cells.groupBy("a", "b", "row_special", "col_special").agg(F.sum("n").alias("n"))
-    cells = with_total(cells, "n", "total")
+    # Cells and margins from one grouping of the cells, which the raw rows have become before. A margin is joined back by its value: many cells of one
+    # value are the large side of that join, which adaptive execution splits.
+    down, across = ["a", "row_special"], ["b", "col_special"]
+    sets = cells.groupingSets([[F.col(c) for c in g] for g in ([*down, *across], down, across, [])], *map(F.col, [*down, *across])).agg(F.grouping_id().alias("level"), F.sum("n").alias("n"))
+    level = lambda k: sets.where(F.col("level") == k)
+    cells = level(0).select(*down, *across, "n").withColumn("total", level(15).select("n").scalar())
+    for by, k, label in ((down, 3, "row_total"), (across, 12, "col_total")):
+        margin = level(k).select(F.col(by[0]).alias("value"), F.col(by[1]).alias("special"), F.col("n").alias(label))
+        cells = cells.join(margin, F.col(by[0]).eqNullSafe(F.col("value")) & (F.col(by[1]) == F.col("special")), "left").drop("value", "special")
     share = lambda whole: F.when(whole != 0, F.lit(100.0) * F.col("n") / whole).otherwise(0.0)
-    within = lambda *by: F.sum("n").over(Window.partitionBy(*by))
     return cells.select(
         _label("a", "row_special").alias("row_value"),
         _label("b", "col_special").alias("col_value"),
         "n",
-        share(within("a", "row_special")).alias("row_pct"),
-        share(within("b", "col_special")).alias("col_pct"),
+        share(F.col("row_total")).alias("row_pct"),
+        share(F.col("col_total")).alias("col_pct"),
         share(F.col("total")).alias("total_pct"),
         "row_special",
         "col_special",

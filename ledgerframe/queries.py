@@ -206,6 +206,23 @@ def _(read):
     return join_frames(read("supplier").select("s_suppkey", "s_nationkey"), read("nation"), how="inner_join", on="x.s_nationkey % 5 = y.n_regionkey AND x.s_nationkey >= y.n_nationkey").drop("n_regionkey")
 
 
+@query("range_join", "SELECT c.c_custkey, c.c_acctbal, s.s_suppkey, s.s_acctbal FROM customer c JOIN supplier s ON c.c_acctbal BETWEEN s.s_acctbal - 50 AND s.s_acctbal + 50")
+def _(read):
+    x, y = read("customer").select("c_custkey", "c_acctbal"), read("supplier").select("s_suppkey", "s_acctbal")
+    return join_frames(x, y, how="inner_join", on="x.c_acctbal BETWEEN y.s_acctbal - 50 AND y.s_acctbal + 50")
+
+
+@query("range_join_unmatched", "SELECT o_orderkey, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM part WHERE o_totalprice > p_retailprice * 100 AND o_totalprice <= p_retailprice * 100 + p_size)")
+def _(read):
+    return join_frames(read("orders").select("o_orderkey", "o_totalprice"), read("part"), how="anti_join", on="x.o_totalprice > y.p_retailprice * 100 AND x.o_totalprice <= y.p_retailprice * 100 + y.p_size")
+
+
+@query("overlap_join", "SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON c.c_acctbal - 20 <= s.s_acctbal + 5 AND s.s_acctbal - 5 <= c.c_acctbal + 20 AND c.c_nationkey <> s.s_nationkey")
+def _(read):
+    x, y = read("customer").selectExpr("c_custkey", "c_nationkey", "c_acctbal - 20 AS low", "c_acctbal + 20 AS high"), read("supplier").selectExpr("s_suppkey", "s_nationkey", "s_acctbal - 5 AS since", "s_acctbal + 5 AS until")
+    return join_frames(x, y, how="inner_join", on="x.low <= y.until AND y.since <= x.high AND x.c_nationkey <> y.s_nationkey").select("c_custkey", "s_suppkey")
+
+
 @query("join_suffix", "SELECT a.conv_id, a.turn, a.role AS role_x, a.text AS text_x, b.role AS role_y, b.text AS text_y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn")
 def _(read):
     return join_frames(read("conversations"), read("conversations"), ["conv_id", "turn"], "inner_join")

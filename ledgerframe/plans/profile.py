@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerframe.functions.types import class_name, is_missing, is_numeric, name, present, to_rows
-from ledgerframe.plans.quantiles import sorted_quantiles
+from ledgerframe.plans.quantiles import narrowed_quantiles, sorted_quantiles
 
 #: Numeric columns whose exact quantiles one aggregate computes at most; wider frames are read once for each so many.
 QUANTILE_COLUMNS = 100
 STATS = ("min", "q25", "median", "mean", "q75", "max")
-#: Ways to quantiles: "exact" in the same pass as all else, with memory for the distinct values of a column; "sorted", exact by a
-#: distributed sort, for columns of any size; "auto", the first for inputs of up to AUTO_BYTES and else the second, which give the same;
-#: "approximate" by a sketch of bounded size.
-WAYS = ("auto", "exact", "sorted", "approximate")
+#: Ways to quantiles: "exact" in the same pass as all else, with memory for the distinct values of a column; "narrowed", exact by histograms in a few
+#: passes, and "sorted", exact by a distributed sort in one, for columns of any size; "auto", the first for inputs of up to AUTO_BYTES and else the
+#: second, which give the same; "approximate" by a sketch of bounded size.
+WAYS = ("auto", "exact", "narrowed", "sorted", "approximate")
 #: Estimated bytes of all tables below a plan, up to which a column's distinct values are sure to fit into an executor. What is made of an
-#: RDD or a checkpoint tells no size (Spark gives UNKNOWN_BYTES or more) and counts as small: name the way for such a frame if it is not.
+#: RDD or a checkpoint tells no size (Spark gives UNKNOWN_BYTES or more) and counts as large.
 AUTO_BYTES, UNKNOWN_BYTES = 1 << 30, 1 << 60
 _SHARES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -46,29 +46,31 @@ def checked_way(way: str) -> str:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The estimated size of what a plan reads, as far as it is known."""
+    """The estimated size of what a plan reads; UNKNOWN_BYTES or more where some of it tells none."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except Exception:  # noqa: BLE001  a session without a JVM at hand has no plan to ask
-        return 0
-    return sum(s for s in sizes if s < UNKNOWN_BYTES)
+        return UNKNOWN_BYTES
+    return sum(sizes)
 
 
 def resolved_way(df: DataFrame, way: str) -> str:
     """`way`, with "auto" decided by the size of what df reads."""
     if checked_way(way) != "auto":
         return way
-    return "sorted" if input_bytes(df) > AUTO_BYTES else "exact"
+    return "narrowed" if input_bytes(df) > AUTO_BYTES else "exact"
 
 
 def quantile_columns(df: DataFrame, values: Sequence[Column], way: str, shares: tuple[float, ...] = _SHARES) -> list[Column]:
-    """For each value an aggregate over df: the array of its quantiles. Sorted ones are calculated here and now, and are literals."""
+    """For each value an aggregate over df: the array of its quantiles. Narrowed and sorted ones are calculated here and now, and are literals."""
     way = resolved_way(df, way)
-    if way != "sorted":
+    if way not in ("narrowed", "sorted"):
         return [quantiles(v, way == "approximate", shares) for v in values]
-    none = F.lit(None).cast("array<double>")
-    return [none if q is None else F.array(*map(F.lit, q)) for q in sorted_quantiles(df, values, shares)]
+    none, found = F.lit(None).cast("array<double>"), []
+    for start in range(0, len(values), QUANTILE_COLUMNS):
+        found += (narrowed_quantiles if way == "narrowed" else sorted_quantiles)(df, values[start : start + QUANTILE_COLUMNS], shares)
+    return [none if q is None else F.array(*map(F.lit, q)) for q in found]
 
 
 def quantiles(value: Column, approximate: bool = False, shares: tuple[float, ...] = _SHARES) -> Column:

@@ -1,17 +1,116 @@
-"""Exact quantiles of columns of any size, by a distributed sort.
+"""Exact quantiles of columns of any size: by narrowing ranges, or by a distributed sort.
 
-Spark's `percentile` keeps every distinct value of a column in one buffer, which suits summaries of moderate columns in the same pass as
-all else. Here instead the values of all columns are counted with map-side combination, ordered over many partitions, and ranked by a
-prefix sum over the partitions' sizes; only the rows at the wanted ranks reach the driver."""
+Spark's `percentile` keeps every distinct value of a column in one buffer, which suits summaries of moderate columns in the same pass as all else.
+
+`narrowed_quantiles` reads the columns a few times and shuffles histograms alone. The first pass counts values by sign and power of two, which no outlier can
+stretch; each further pass cuts the cells that hold a wanted rank in CELLS equal parts, between the least and the greatest value that was seen in them; a
+cell of at most FEW rows is counted value by value. A cell is settled when its least and greatest value are the same. A billion rows take about four passes; what
+is shuffled and what reaches the driver is bounded by columns, ranks and cells.
+
+`sorted_quantiles` reads them once: values are counted with map-side combination, ordered over many partitions, and ranked by a
+prefix sum over the partitions' sizes; only the rows at the wanted ranks reach the driver. That is for frames whose plan is costly to run again."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+#: Parts that a pass cuts a cell in, and rows of a cell whose values are counted one by one.
+CELLS = 256
+FEW = 512
+
+
+@dataclass(frozen=True)
+class _Cell:
+    """Values of a column between two of its values, and how many of the column's values come before them."""
+
+    low: float
+    high: float
+    rows: int
+    before: int
+
+
+def _interpolated(total: int, share: float, at_rank: dict[int, float]) -> float:
+    """The quantile between the two ranks that it lies between, as `percentile` calculates it."""
+    at = (total - 1) * float(share)
+    low, high = math.floor(at), math.ceil(at)
+    return at_rank[low] if low == high or at_rank[low] == at_rank[high] else (high - at) * at_rank[low] + (at - low) * at_rank[high]
+
+
+def _magnitude(value: Column) -> Column:
+    """A whole number that does not fall as the value rises: its sign and power of two."""
+    power = lambda v: F.lit(2000) + F.greatest(F.lit(-1100.0), F.least(F.lit(1100.0), F.floor(F.log2(v)).cast("double"))).cast("int")
+    infinite = F.lit(float("inf"))
+    return F.when(value == infinite, 4000).when(value == -infinite, -4000).when(value > 0, power(value)).when(value < 0, -power(-value)).otherwise(0)
+
+
+def _histogram(df: DataFrame, keys: dict[int, tuple[Column, Column]]) -> dict[int, list[Row]]:
+    """For each column its rows by a key (cell, part or value): part, rows, low and high, in order of values. One pass for all columns."""
+    structs = [F.when(value.isNotNull() & part.isNotNull(), F.struct(F.lit(c).alias("c"), part.alias("part"), value.alias("v"))) for c, (part, value) in keys.items()]
+    counts = df.select(F.inline(F.array_compact(F.array(*structs)))).groupBy("c", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
+    out: dict[int, list[Row]] = {c: [] for c in keys}
+    for r in counts.collect():
+        out[r.c].append(r)
+    return {c: sorted(rows, key=lambda r: r.low) for c, rows in out.items()}
+
+
+def _parted(value: Column, cells: Sequence[_Cell]) -> Column:
+    """The cell of a value and its part of it: a number, or where the cell has few rows the value itself; null outside of all."""
+    out = None
+    for k, cell in enumerate(cells):
+        part = F.least(F.floor((value - cell.low) / F.lit(cell.high - cell.low) * F.lit(float(CELLS))), F.lit(CELLS - 1)).cast("double")
+        key = F.struct(F.lit(k).alias("cell"), (value if cell.rows <= FEW else part).alias("at"))
+        inside = (value >= F.lit(cell.low)) & (value <= F.lit(cell.high))
+        out = F.when(inside, key) if out is None else out.when(inside, key)
+    return out
+
+
+def narrowed_quantiles(df: DataFrame, values: Sequence[Column], shares: Sequence[float]) -> list[list[float] | None]:
+    """For each numeric Column its quantiles with linear interpolation; None where it has no values. df is read some times over."""
+    numbers = [v.cast("double") for v in values]
+    if not numbers:
+        return []
+    totals: dict[int, int] = {}
+    ranks: dict[int, dict[int, float | None]] = {}
+    open_: dict[int, list[_Cell]] = {}
+    first = _histogram(df, {c: (F.struct(F.lit(0).alias("cell"), _magnitude(v).cast("double").alias("at")), v) for c, v in enumerate(numbers)})
+    for c, rows in first.items():
+        totals[c] = sum(r.rows for r in rows)
+        if totals[c]:
+            ranks[c] = {k: None for p in shares for at in [(totals[c] - 1) * float(p)] for k in (math.floor(at), math.ceil(at))}
+            open_[c] = _settled(ranks[c], _placed(rows, 0))
+    while any(open_.values()):
+        found = _histogram(df, {c: (_parted(numbers[c], cells), numbers[c]) for c, cells in open_.items() if cells})
+        for c, rows in found.items():
+            parts = [cell for k, whole in enumerate(open_[c]) for cell in _placed([r for r in rows if r.part.cell == k], whole.before)]
+            open_[c] = _settled(ranks[c], parts)
+    return [None if not totals[c] else [_interpolated(totals[c], p, ranks[c]) for p in shares] for c in range(len(numbers))]
+
+
+def _placed(rows: Sequence[Row], before: int) -> list[_Cell]:
+    """Rows of a histogram in order as cells, of which the first has so many values before it."""
+    out = []
+    for r in rows:
+        out.append(_Cell(r.low, r.high, r.rows, before))
+        before += r.rows
+    return out
+
+
+def _settled(ranks: dict[int, float | None], cells: Sequence[_Cell]) -> list[_Cell]:
+    """Sets the ranks whose cell has one value; the cells of the other open ranks."""
+    left = []
+    for cell in cells:
+        own = [k for k, v in ranks.items() if v is None and cell.before <= k < cell.before + cell.rows]
+        if own and cell.low == cell.high:
+            ranks.update(dict.fromkeys(own, cell.low))
+        elif own:
+            left.append(cell)
+    return left
+
 
 def sorted_quantiles(df: DataFrame, values: Sequence[Column], shares: Sequence[float]) -> list[list[float] | None]:
     """For each numeric Column its quantiles with linear interpolation; None where it has no values."""
@@ -44,10 +143,7 @@ def sorted_quantiles(df: DataFrame, values: Sequence[Column], shares: Sequence[f
             out.append(None)
             continue
         at_rank = lambda k, own=own: next(r.v for r in own if r.first <= k < r.end)
-        found = []
-        for p in shares:
-            at = (own[0].total - 1) * float(p)
-            low, high = at_rank(math.floor(at)), at_rank(math.ceil(at))
-            found.append(low if low == high else low + (high - low) * (at - math.floor(at)))
-        out.append(found)
+        spots = {k for p in shares for at in [(own[0].total - 1) * float(p)] for k in (math.floor(at), math.ceil(at))}
+        values_at = {k: at_rank(k) for k in spots}
+        out.append([_interpolated(own[0].total, p, values_at) for p in shares])
     return out

@@ -24,7 +24,7 @@ STATS = ("min", "q25", "median", "mean", "q75", "max")
 #: second, which give the same; "approximate" by a sketch of bounded size.
 WAYS = ("auto", "exact", "narrowed", "sorted", "approximate")
 #: Estimated bytes of all tables below a plan, up to which a column's distinct values are sure to fit into an executor. What is made of an
-#: RDD or a checkpoint tells no size (Spark gives UNKNOWN_BYTES or more) and counts as large.
+#: RDD or a checkpoint tells no size (Spark gives UNKNOWN_BYTES or more) and counts as large, but for rows that the driver held itself.
 AUTO_BYTES, UNKNOWN_BYTES = 1 << 30, 1 << 60
 _SHARES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -45,11 +45,27 @@ def checked_way(way: str) -> str:
     return way
 
 
+def _held_by_driver(leaf) -> bool:  # noqa: ANN001
+    """Whether the rows of a plan's leaf are of an RDD that was made of collections on the driver, and of no other plan. What code makes of such
+    rows before they become a frame is not known, and taken to be of their size."""
+    if leaf.nodeName() != "LogicalRDD":
+        return False
+    open_ = [leaf.rdd()]
+    while open_:
+        rdd = open_.pop()
+        above = rdd.dependencies()
+        kind = rdd.getClass().getSimpleName()
+        if kind == "SQLExecutionRDD" or (above.isEmpty() and kind != "ParallelCollectionRDD"):
+            return False
+        open_ += [above.apply(i).rdd() for i in range(above.size())]
+    return True
+
+
 def input_bytes(df: DataFrame) -> int:
     """The estimated size of what a plan reads; UNKNOWN_BYTES or more where some of it tells none."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        sizes = [0 if _held_by_driver(leaves.apply(i)) else int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except Exception:  # noqa: BLE001  a session without a JVM at hand has no plan to ask
         return UNKNOWN_BYTES
     return sum(sizes)

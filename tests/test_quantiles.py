@@ -70,11 +70,12 @@ def test_every_way_gives_the_same_summaries(spark):
 
 
 def test_frames_of_unknown_size_count_as_large(spark, passes):
-    df = spark.createDataFrame([(float(k),) for k in range(9)], "x double")
-    checkpoint = spark.range(5).select(F.col("id").cast("double").alias("x")).rdd.toDF()
-    for frame in (df, checkpoint):
-        assert profile.resolved_way(frame, "auto") == "narrowed"
-    assert profile.resolved_way(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), "auto") == "exact"
+    held = spark.createDataFrame([(float(k),) for k in range(9)], "x double")
+    unknown = spark.range(9).select(F.col("id").cast("double").alias("x")).rdd.toDF()
+    files = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert [profile.resolved_way(f, "auto") for f in (held, files, unknown, held.join(unknown, "x"))] == ["exact", "exact", "narrowed", "narrowed"]
     trail = lf.audit_trail("t")
-    lf.audit_tap(df, trail, "tap")
-    assert trail.snapshots[0].numeric_summary[0]["median"] == 4.0 and len(passes) == 2
+    lf.audit_tap(held, trail, "held")
+    assert passes == []
+    lf.audit_tap(unknown, trail, "unknown")
+    assert len(passes) == 2 and [s.numeric_summary[0]["median"] for s in trail.snapshots] == [4.0, 4.0]

@@ -18,6 +18,8 @@ from ledgerframe.functions.render import table_text
 from ledgerframe.functions.types import check_columns, check_frame, class_name, free_name, is_missing, is_numeric, name, numbered, present, to_rows
 from ledgerframe.operators.validate import stacked_counts
 from ledgerframe.plans.profile import checked_way, quantile_columns
+from ledgerframe.plans.rowids import file_numbered
+from ledgerframe.plans.running import first_of_each
 
 EPSILON = sys.float_info.epsilon
 _INDEX = "row_index"
@@ -29,8 +31,12 @@ _FIVE = ("min", "q25", "median", "q75", "max")
 def row_indexed(df: DataFrame, order_by: Sequence[Column | str] | None, index: str = _INDEX) -> DataFrame:
     """df with its rows' numbers from 1 in `index`, in the given order or else as read.
 
-    Rows are numbered inside their partitions and shifted by a prefix sum over the partitions' sizes, so the order is distributed; the
-    numbered frame is persisted, because both passes must see the same partitions."""
+    Rows of Parquet files, in no other order, are numbered by file and place (`plans/rowids.py`), and nothing is kept. All others are numbered
+    inside their partitions and shifted by a prefix sum over the partitions' sizes, so the order is distributed; that numbered frame is
+    persisted, because both passes must see the same partitions."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    if not order_by and (known := file_numbered(df, names, "n")) is not None:
+        return known.toDF(*df.columns, index)
     ordered = df.orderBy(*order_by) if order_by else df
     rows = numbered(ordered, "c").withColumn("m", F.monotonically_increasing_id()).persist()
     part, place = F.shiftright("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
@@ -207,8 +213,7 @@ def _differing(p: Plan, cells: list[_Cell], kind: str) -> DataFrame:
     rows = matched_rows(p).select(*keys, F.explode(F.filter(F.array(*structs) if structs else F.array().cast(none), lambda c: c.isNotNull())).alias("c"))
     if math.isinf(p.top_n):
         return rows
-    rank = F.row_number().over(Window.partitionBy("c.column").orderBy(F.col("c.abs_diff").desc_nulls_last(), *keys))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= int(p.top_n)).drop("rank")
+    return first_of_each(rows, F.col("c.column"), [F.col("c.abs_diff").desc_nulls_last(), *map(F.col, keys)], int(p.top_n))
 
 
 def _named(p: Plan, rows: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -221,7 +226,7 @@ def _named(p: Plan, rows: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def discrepancies_df(p: Plan, numeric: bool) -> DataFrame:
     """One row for each differing cell: keys, column, value_x, value_y, for numbers also abs_diff and pct_diff; at most top_n a column,
-    the largest differences first, missing ones last, then by key."""
+    the largest differences first, missing ones last, then by key. Rows that a large top_n puts in order are persisted."""
     rows = _differing(p, [c for c in _cells(p) if c.numeric == numeric], "double" if numeric else "string")
     return _named(p, rows, [f for f in _CELL if f != "type" and (numeric or not f.endswith("_diff"))])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.functions.render import table_text
@@ -33,13 +33,19 @@ def string_counts_df(df: DataFrame, column: str) -> DataFrame:
 
 
 def case_variants_df(df: DataFrame, column: str) -> DataFrame:
-    """lower, n_variants and examples of each group of content values that differ by case alone.
+    """lower, n_variants and examples (the least EXAMPLES) of each group of content values that differ by case alone.
 
-    Distinct values come first, so repeated ones are combined before they are grouped by their lower case."""
+    Distinct values come first, so repeated ones are combined before they are grouped by their lower case. Groups of one are told by their
+    least and greatest value. Examples are ranked with a limit, which Spark keeps before the shuffle too: a task sends EXAMPLES values of a
+    group at most, and no group's spellings are ever held together."""
     s = name(column).cast("string")
-    content = df.select(s.alias("s")).where((F.col("s") != "") & ~F.col("s").rlike(f"^{SPACE}+$")).distinct()
-    groups = content.groupBy(F.lower("s").alias("lower")).agg(F.count(F.lit(1)).alias("n_variants"), F.array_sort(F.collect_list("s")).alias("all"))
-    return groups.where("n_variants > 1").select("lower", "n_variants", F.concat_ws(", ", F.slice("all", 1, EXAMPLES)).alias("examples"))
+    content = df.select(s.alias("s")).where((F.col("s") != "") & ~F.col("s").rlike(f"^{SPACE}+$")).distinct().select("s", F.lower("s").alias("lower"))
+    groups = content.groupBy("lower").agg(F.count(F.lit(1)).alias("n_variants"), F.min("s").alias("low"), F.max("s").alias("high"))
+    groups = groups.where("low <> high").select("lower", "n_variants")
+    rank = F.row_number().over(Window.partitionBy("lower").orderBy("s"))
+    least = content.withColumn("rank", rank).where(F.col("rank") <= EXAMPLES)
+    least = least.groupBy("lower").agg(F.concat_ws(", ", F.array_sort(F.collect_list("s"))).alias("examples"))
+    return groups.join(least, "lower")
 
 
 @dataclass(frozen=True)

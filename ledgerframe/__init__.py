@@ -13,6 +13,7 @@ from ledgerframe.operators.trail import AuditTrail, Snapshot, audit_tap, audit_t
 from ledgerframe.operators.transform import audit_transform
 from ledgerframe.operators.validate import validate_join, validate_primary_keys, validate_var_relationship
 from ledgerframe.sources.html import audit_export
+from ledgerframe.sources.log import open_trail
 from ledgerframe.sources.serialize import read_trail, trail_to_df, trail_to_list, write_trail
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("functions", "operators", "plans", "sources", "streaming")]

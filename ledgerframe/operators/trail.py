@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 
 from ledgerframe.functions.types import check_columns, check_frame, class_name, is_numeric
+from ledgerframe.operators.pipeline import pipeline_of
 from ledgerframe.plans.profile import Scope, checked_way, collected
 
 
@@ -163,18 +164,6 @@ def controls_of(numeric_summary: bool, cols_include: Sequence[str] | None, cols_
     return {"numeric_summary": numeric_summary, "cols_include": None if cols_include is None else list(cols_include), "cols_exclude": None if cols_exclude is None else list(cols_exclude)}
 
 
-def pipeline_of(df: DataFrame, last: int = 5) -> list[str] | None:
-    """The names of the latest steps of the frame's logical plan, oldest first; "..." stands for earlier ones."""
-    try:
-        plan, steps = df._jdf.queryExecution().analyzed(), []
-        while plan is not None and len(steps) <= last:
-            steps.append(plan.nodeName())
-            plan = plan.children().head() if plan.children().nonEmpty() else None
-    except Exception:  # noqa: BLE001  a session without a JVM at hand has no plan to show
-        return None
-    return (["..."] if len(steps) > last else []) + steps[:last][::-1]
-
-
 def audit_tap(
     df: DataFrame,
     trail: AuditTrail,

@@ -101,7 +101,7 @@ draw();
 def audit_export(trail: AuditTrail, file: str | None = None) -> str:
     """Writes the page (to a new temporary file without a name) and returns its path."""
     check_trail(trail)
-    data = json.dumps(trail_to_list(trail), ensure_ascii=False, allow_nan=False, default=str) if _finite(trail) else json.dumps(_without_nan(trail_to_list(trail)), ensure_ascii=False)
+    data = json.dumps(_without_nan(trail_to_list(trail)), ensure_ascii=False, default=str)
     page = _PAGE.replace("@@TRAIL@@", data.replace("</", "<\\/"))
     if file is None:
         handle, file = tempfile.mkstemp(suffix=".html", prefix="audit_trail_")
@@ -111,14 +111,6 @@ def audit_export(trail: AuditTrail, file: str | None = None) -> str:
     return file
 
 
-def _finite(trail: AuditTrail) -> bool:
-    try:
-        json.dumps(trail_to_list(trail), allow_nan=False)
-    except ValueError:
-        return False
-    return True
-
-
 def _without_nan(value):  # noqa: ANN001, ANN202
     """NaN and infinities as text, which JSON has no numbers for."""
     if isinstance(value, dict):

@@ -1,7 +1,7 @@
 """Trails as dictionaries, frames and files.
 
 "spark" is the native form: Parquet rows with nested types, on any file system that Spark knows. "json" is one file in full
-precision, where lists stay lists. Both come back as equal trails."""
+precision, where lists stay lists. "log" appends to a folder of snapshots what it doesn't have (`sources/log.py`). All come back as equal trails."""
 
 from __future__ import annotations
 
@@ -23,57 +23,73 @@ SNAPSHOT_SCHEMA = (
     "custom string, controls struct<numeric_summary:boolean,cols_include:array<string>,cols_exclude:array<string>>, trail_name string, created_at timestamp"
 )
 FIELDS = [f.name for f in dataclasses.fields(Snapshot)]
-_FORMATS = {".json": "json", ".parquet": "spark", ".trail": "spark"}
+_FORMATS = {".json": "json", ".parquet": "spark", ".trail": "spark", ".log": "log"}
 
+#: Rows of a frame among a snapshot's customs that are written with it.
+FRAME_ROWS = 10_000
 
-def _iso(t: datetime) -> str:
+
+def iso(t: datetime) -> str:
     return t.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _parsed(text: str) -> datetime:
+def parsed_time(text: str) -> datetime:
     return datetime.strptime(text, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)
 
 
-def _plain(value: Any) -> Any:
+def plain(value: Any) -> Any:
     """A value as JSON can hold it."""
     if dataclasses.is_dataclass(value) and not isinstance(value, type):
-        return {f.name: _plain(getattr(value, f.name)) for f in dataclasses.fields(value) if not isinstance(getattr(value, f.name), DataFrame)}
+        return {f.name: plain(getattr(value, f.name)) for f in dataclasses.fields(value) if not isinstance(getattr(value, f.name), DataFrame)}
     if isinstance(value, dict):
-        return {str(k): _plain(v) for k, v in value.items()}
+        return {str(k): plain(v) for k, v in value.items()}
     if isinstance(value, Row):
-        return _plain(value.asDict())
+        return plain(value.asDict())
     if isinstance(value, (list, tuple, set)):
-        return [_plain(v) for v in value]
+        return [plain(v) for v in value]
     if isinstance(value, DataFrame):
-        return {"columns": value.columns}
+        return _frame(value)
     if isinstance(value, datetime):
-        return _iso(value)
+        return iso(value)
     return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
 
 
+def _frame(df: DataFrame) -> dict:
+    """columns, n_rows and rows of a frame; with more than FRAME_ROWS rows, rows is None (a log keeps such frames whole)."""
+    rows = df.limit(FRAME_ROWS + 1).collect()
+    if len(rows) > FRAME_ROWS:
+        return {"columns": df.columns, "n_rows": df.count(), "rows": None}
+    return {"columns": df.columns, "n_rows": len(rows), "rows": [[plain(v) for v in r] for r in rows]}
+
+
 def trail_to_list(trail: AuditTrail) -> dict:
     """name, created_at, n_snapshots and the snapshots by label, as plain values in order."""
     check_trail(trail)
-    return {"name": trail.name, "created_at": _iso(trail.created_at), "n_snapshots": len(trail), "snapshots": {s.label: _plain(s) for s in trail.snapshots}}
+    return {"name": trail.name, "created_at": iso(trail.created_at), "n_snapshots": len(trail), "snapshots": {s.label: plain(s) for s in trail.snapshots}}
+
+
+def snapshot_of(entry: dict) -> Snapshot:
+    """The snapshot that `plain` has made a dictionary."""
+    values = {f: entry.get(f) for f in FIELDS}
+    values["timestamp"] = parsed_time(values["timestamp"])
+    values["changes"] = Changes(**values["changes"]) if values["changes"] else None
+    return Snapshot(**values)
 
 
 def list_to_trail(data: dict) -> AuditTrail:
     """The trail that trail_to_list has made plain."""
     trail = AuditTrail(data["name"])
-    trail.created_at = _parsed(data["created_at"])
+    trail.created_at = parsed_time(data["created_at"])
     for entry in data["snapshots"].values():
-        values = {f: entry.get(f) for f in FIELDS}
-        values["timestamp"] = _parsed(values["timestamp"])
-        values["changes"] = Changes(**values["changes"]) if values["changes"] else None
-        trail.append(Snapshot(**values))
+        trail.append(snapshot_of(entry))
     return trail
 
 
 def _row(trail: AuditTrail, s: Snapshot) -> dict:
     data = {f: getattr(s, f) for f in FIELDS}
-    data["changes"] = _plain(s.changes)
+    data["changes"] = plain(s.changes)
     for f in ("diagnostics", "custom"):
-        data[f] = None if data[f] is None else json.dumps(_plain(data[f]))
+        data[f] = None if data[f] is None else json.dumps(plain(data[f]))
     return data | {"trail_name": trail.name, "created_at": trail.created_at}
 
 
@@ -101,15 +117,21 @@ def df_to_trail(df: DataFrame, name: str | None = None) -> AuditTrail:
 
 def detect_format(file: str, format: str | None) -> str:
     found = format or _FORMATS.get(os.path.splitext(file.rstrip("/"))[1].lower())
-    if found not in ("json", "spark"):
-        raise ValueError("format must be 'json' or 'spark', or the file's extension .json, .parquet or .trail")
+    if found not in ("json", "spark", "log"):
+        raise ValueError("format must be 'json', 'spark' or 'log', or the file's extension .json, .parquet, .trail or .log")
     return found
 
 
 def write_trail(trail: AuditTrail, file: str, format: str | None = None, spark: SparkSession | None = None) -> AuditTrail:
     """Writes a trail, in the format given or that of the file's extension, and returns it."""
     check_trail(trail)
-    if detect_format(file, format) == "json":
+    kind = detect_format(file, format)
+    if kind == "log":
+        from ledgerframe.sources.log import append_trail
+
+        append_trail(trail, file, spark)
+        return trail
+    if kind == "json":
         with open(file, "w", encoding="utf-8") as out:
             json.dump(trail_to_list(trail), out, indent=2, ensure_ascii=False)
         return trail
@@ -124,7 +146,12 @@ def write_trail(trail: AuditTrail, file: str, format: str | None = None, spark:
 
 def read_trail(file: str, format: str | None = None, spark: SparkSession | None = None) -> AuditTrail:
     """Reads what write_trail has written."""
-    if detect_format(file, format) == "json":
+    kind = detect_format(file, format)
+    if kind == "log":
+        from ledgerframe.sources.log import TrailLog
+
+        return TrailLog(file, spark).trail()
+    if kind == "json":
         if not os.path.exists(file):
             raise FileNotFoundError(f"no such file: {file}")
         with open(file, encoding="utf-8") as source:

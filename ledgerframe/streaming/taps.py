@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -10,18 +11,22 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ledgerframe.functions.types import is_missing, name
 from ledgerframe.operators.trail import AuditTrail, audit_tap
+from ledgerframe.sources.log import LabelTaken
 
 
 def stream_tap(stream: DataFrame, trail: AuditTrail, label: str = "batch", sink: Callable[[DataFrame, int], None] | None = None, **tap: object) -> DataStreamWriter:
     """A writer of the stream that records a snapshot of each micro-batch, labelled label_<batch id>, and hands it on to `sink`.
 
-    A batch that is repeated after a failure is recorded once."""
+    A batch that is repeated after a failure is recorded once. With a trail from `open_trail` that holds for a driver that is started again as
+    well, and for one that is still at work beside it: the log takes a label once. The sink is called for a repeated batch, so it must itself be
+    one that writes a batch once, by its number."""
 
     def each(batch: DataFrame, number: int) -> None:
         held = batch.persist()
         try:
             if f"{label}_{number}" not in trail.labels:
-                audit_tap(held, trail, f"{label}_{number}", **tap)
+                with contextlib.suppress(LabelTaken):
+                    audit_tap(held, trail, f"{label}_{number}", **tap)
             if sink is not None:
                 sink(held, number)
         finally:

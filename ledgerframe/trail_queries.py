@@ -5,8 +5,8 @@ They go through the public functions: taps are taken, trails written and read, c
 from __future__ import annotations
 
 import json
-import os
 import tempfile
+import uuid
 import warnings
 from collections.abc import Callable
 
@@ -19,6 +19,7 @@ from ledgerframe.operators.filters import filter_keep, filter_tap
 from ledgerframe.operators.tabulate import tab, tab_tap
 from ledgerframe.operators.trail import audit_tap, audit_trail
 from ledgerframe.queries import _HOLES, _NEW, _OLD, _ON, _STATUS, _TOL, _X, _Y, Query, _good_customers, _holes, _status, _trail, _validation_sql, _x, _y, query, rounded
+from ledgerframe.sources.log import TrailLog
 from ledgerframe.sources.serialize import list_to_trail, read_trail, trail_to_df, trail_to_list, write_trail
 
 Read = Callable[[str], DataFrame]
@@ -112,7 +113,17 @@ def _(read):
     return rows.select("index", "label", "type", "nrow", "ncol", "total_nas", *more)
 
 
-_FORMS = ("list", "json", "parquet", "trail")
+_FORMS = ("list", "json", "parquet", "trail", "log")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; of this machine on a local master alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/trails-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp()
 
 
 @query("trail_round_trips", f"""WITH {_STEPS} SELECT form, s.*, true AS same FROM s, (VALUES {", ".join(f"('{f}')" for f in _FORMS)}) t(form)""")
@@ -123,8 +134,7 @@ def _(read):
             back = list_to_trail(json.loads(json.dumps(trail_to_list(trail))))
         else:
             # JSON is a file of the driver's; Spark's own form goes to the folder that executors share, where the cluster names one.
-            shared = spark.conf.get("spark.checkpoint.dir", None) if form != "json" else None
-            path = f"{shared or tempfile.mkdtemp()}/trail-{os.getpid()}.{form}"
+            path = f"{tempfile.mkdtemp() if form == 'json' else _folder(spark)}/trail.{form}"
             write_trail(trail, path, spark=spark)
             back = read_trail(path, spark=spark)
         same = F.lit(trail_to_list(back) == trail_to_list(trail))
@@ -133,6 +143,33 @@ def _(read):
     return out
 
 
+@query("trail_custom_frame", "SELECT form, o_orderstatus AS status, count(*) AS n FROM orders, (VALUES ('json'), ('parquet'), ('log')) t(form) GROUP BY ALL")
+def _(read):
+    spark, trail, out = _session(read), audit_trail("frames"), None
+    audit_tap(read("orders"), trail, fns={"by status": lambda df: df.groupBy("o_orderstatus").count()}, numeric_summary=False)
+    for form in ("json", "parquet", "log"):
+        path = f"{tempfile.mkdtemp() if form == 'json' else _folder(spark)}/trail.{form}"
+        write_trail(trail, path, spark=spark)
+        found = read_trail(path, spark=spark).snapshots[0].custom["by status"]
+        rows = TrailLog(path, spark).frame(found) if form == "log" else spark.createDataFrame(found["rows"], "status string, n long")
+        rows = rows.toDF("status", "n").select(F.lit(form).alias("form"), "status", "n")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(
+    "tap_pipeline",
+    """WITH n AS (SELECT count(*) AS nrow FROM (SELECT * FROM orders WHERE o_totalprice > 100000) o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey),
+       s(position, step) AS (VALUES (1, 'read orders'), (2, 'read customer'), (3, 'filter o_totalprice > 100000'), (4, 'filter c_acctbal > 0'), (5, 'left join on o_custkey = c_custkey')) SELECT position, step, nrow FROM s, n""",
+)
+def _(read):
+    trail = audit_trail("pipeline")
+    large, good = read("orders").where("o_totalprice > 100000"), read("customer").where("c_acctbal > 0")
+    audit_tap(large.join(good, F.col("o_custkey") == F.col("c_custkey"), "left"), trail, numeric_summary=False)
+    s = trail.snapshots[0]
+    return _session(read).createDataFrame([(i, step, s.nrow) for i, step in enumerate(s.pipeline, 1)], "position int, step string, nrow long")
+
+
 @query("diff_any_two", f"""WITH {_STEPS} SELECT 'rows' AS kind, CAST(b.nrow - a.nrow AS DOUBLE) AS delta FROM s a, s b WHERE a."index" = 1 AND b.label = 'rest' UNION ALL SELECT 'columns', CAST(b.ncol - a.ncol AS DOUBLE) FROM s a, s b WHERE a."index" = 1 AND b.label = 'rest'
         UNION ALL SELECT 'missing values', CAST(b.total_nas - a.total_nas AS DOUBLE) FROM s a, s b WHERE a."index" = 1 AND b.label = 'rest'""")
 def _(read):

@@ -6,7 +6,8 @@ the message replied to. Conversations are then ordered as reply trees, without t
 of turns from the first message of its thread down to it, found by pointer doubling in as many rounds as the logarithm of the depth.
 
 Scale. A conversation is never gathered: passages are joined by (conversation, hash), where the originals have one row for each key
-after a map-side minimum, and the order is a sort key. A conversation with a third of all messages spreads by its hashes. What may
+after a map-side minimum, and the order is a sort key. A conversation with a third of all messages spreads by its hashes, and a passage that is quoted, or
+a turn that is replied to, by as many messages is attached to them where they are (`attach`), so they never meet in a task. What may
 be quoted is hashed only in conversations that quote anything. Texts are shuffled once, to be sorted, and once more only where they
 reply. A path has one number for each level, so a thread of replies to replies costs the square of its depth.
 """
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.bloom import left_join_sparsely
-from ledgerframe.llm.shared import RID, identified, place, sliced, written
+from ledgerframe.llm.shared import RID, attach, identified, place, sliced, written
 
 _MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 #: A line that announces a quotation, in the four languages.
@@ -103,6 +104,17 @@ def _said(rows: DataFrame, asking: DataFrame) -> DataFrame:
     return said.select("conv", "turn", F.explode("own").alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("first"))
 
 
+def _key(conv: str, at: str) -> Column:
+    """A place in a conversation; that of the null conversation equals itself."""
+    return F.struct(F.col(conv).alias("conv"), F.col(at).alias("at"))
+
+
+def _met(rows: DataFrame, table: DataFrame, salt: Column) -> DataFrame:
+    """rows (with a `key`) that have a match in `table` (one row for each key), with its other columns in `found`; hot keys don't meet in a task."""
+    asks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("asks"))
+    return attach(rows, written(table.join(asks, "key"), "met"), "key", "asks", salt).where("found is not null")
+
+
 def _paths(links: DataFrame) -> DataFrame:
     """conv, turn and path of every turn that replies or is replied to: the turns from the first of its thread down to it.
 
@@ -118,8 +130,9 @@ def _paths(links: DataFrame) -> DataFrame:
         above = above.union(top.select("conv", "turn", F.lit(None), F.array("turn")))
         for ready in done[1:]:
             above = above.union(ready.select("conv", "turn", F.lit(None), "path"))
-        step = open_.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("t")))
-        step = written(step.select("conv", "turn", F.col("further").alias("up"), F.concat("more", "path").alias("path")), "paths")
+        above = above.select(_key("c", "t").alias("key"), "further", "more")
+        step = _met(open_.withColumn("key", _key("conv", "up")), above, F.struct("conv", "turn"))
+        step = written(step.select("conv", "turn", F.col("found.further").alias("up"), F.concat("found.more", "path").alias("path")), "paths")
         done.append(step.where("up is null").select("conv", "turn", "path"))
         open_ = step.where("up is not null")
     out = done[0]
@@ -160,7 +173,8 @@ def link_replies(messages: DataFrame, conversation_column: str = "conv_id", turn
     asked = quoting.select("rid", F.col("conv").alias("c"), "turn", F.posexplode("quotes").alias("at", "q"))
     asked = asked.select("rid", "c", "turn", "at", F.col("q.level").alias("level"), F.posexplode("q.parts").alias("kind", "hashes"))
     asked = asked.select("rid", "c", "turn", "at", "level", "kind", F.size("hashes").alias("parts"), F.explode("hashes").alias("asked"))
-    met = asked.join(_said(rows, asking), F.col("c").eqNullSafe(F.col("conv")) & (F.col("asked") == F.col("hash")) & (F.col("first") < F.col("turn")))
+    said = _said(rows, asking).select(_key("conv", "hash").alias("key"), "first")
+    met = _met(asked.withColumn("key", _key("c", "asked")), said, F.col("rid")).withColumn("first", F.col("found.first")).where("first < turn")
     # All parts of a kind must have been said; the message is the one that first completes them.
     met = met.groupBy("rid", "c", "turn", "at", "level", "kind", "parts").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("first")).where("n = parts")
     met = met.groupBy("rid", "c", "turn", "at", "level").agg(F.min(F.struct("kind", "first"))["first"].alias("first"))
@@ -168,8 +182,8 @@ def link_replies(messages: DataFrame, conversation_column: str = "conv_id", turn
     links = met.groupBy("rid", "c", "turn").agg(nearest.alias("near"), F.count(F.lit(1)).alias("n_linked"))
     links = written(links.select("rid", F.col("c").alias("conv"), "turn", (-F.col("near.back")).cast(kinds[1]).alias("reply_to"), "n_linked"), "links")
     paths = _paths(links.select("conv", "turn", "reply_to")).toDF("c", "t", "above")
-    placed = links.join(paths, F.col("conv").eqNullSafe(F.col("c")) & (F.col("reply_to") == F.col("t")))
-    placed = placed.select("rid", "reply_to", "n_linked", F.concat("above", F.array("turn")).alias("path"))
+    placed = _met(links.withColumn("key", _key("conv", "reply_to")), paths.select(_key("c", "t").alias("key"), "above"), F.col("rid"))
+    placed = placed.select("rid", "reply_to", "n_linked", F.concat("found.above", F.array("turn")).alias("path"))
     deepest = F.array_max(F.transform("quotes", lambda q: q["level"])).alias("deepest")
     answers = written(quoted.select("rid", "clean", F.size("quotes").cast("long").alias("n_quotes"), deepest).join(placed, "rid", "left"), "answers")
     out = left_join_sparsely(rows, answers, "rid")

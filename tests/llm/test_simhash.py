@@ -7,6 +7,7 @@ import xxhash
 from ledgerframe.llm import simhash as op
 from ledgerframe.llm.components import components
 from ledgerframe.llm.queries import QUERIES
+from ledgerframe.llm.shared import checkpointed
 from tests.llm.conftest import EDGE_TEXTS
 
 
@@ -95,7 +96,7 @@ def test_wide_links_equal_brute_force(spark):
         for bits in (1, 3, 5, 6, 7, 8, 12):
             values.add(v ^ sum(1 << b for b in random.sample(range(63), bits)))
     values |= {-v for v in list(values)[:50]}
-    distinct = spark.createDataFrame([(v,) for v in sorted(values)], "fp long").localCheckpoint()
+    distinct = checkpointed(spark.createDataFrame([(v,) for v in sorted(values)], "fp long"))
     masks = sorted((v, v & (1 << 64) - 1) for v in values)
     for segments in (2, 3, 4):
         near = {(a, b) for i, (a, x) in enumerate(masks) for b, y in masks[i + 1 :] if (x ^ y).bit_count() <= op.radius_of(segments)}

@@ -4,7 +4,7 @@ import re
 import corpus_pipeline
 from ledgerframe.llm import similar as op
 from ledgerframe.llm import simhash
-from ledgerframe.llm.shared import shared_root
+from ledgerframe.llm.shared import checkpointed, shared_root
 
 
 def brute_similar(texts):
@@ -103,10 +103,10 @@ def test_hamming_balls_find_near_copies_without_suspects(spark, monkeypatch):
 
 
 def test_pairs_of_equal_or_near_fingerprints_are_verified(spark):
-    vertices = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 1 << 20 | 1 << 40), (5, -1)], "vertex long, fp long").localCheckpoint()
+    vertices = checkpointed(spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 1 << 20 | 1 << 40), (5, -1)], "vertex long, fp long"))
     assert {tuple(sorted(r)) for r in op._fetched(vertices).collect()} == {(1, 2), (1, 3), (1, 4), (3, 4)}
     # Of these, 1 and 2 have nothing in common, and 1 and 3 all; 6 is like 4 but in no pair of fingerprints.
     sets = [(1, list(range(9))), (2, list(range(20, 29))), (3, list(range(9))), (4, list(range(40, 49))), (6, list(range(40, 50)))]
-    sets = spark.createDataFrame(sets, "vertex long, hashes array<long>").localCheckpoint()
+    sets = checkpointed(spark.createDataFrame(sets, "vertex long, hashes array<long>"))
     roots = {r.vertex: r.root for r in op.near_roots(sets, op._fetched(vertices.where("vertex < 5"))).collect()}
     assert roots[1] == roots[3] != roots[4] == roots[6] and roots.get(2, 2) not in (roots[1], roots[4])

@@ -107,21 +107,23 @@ def brute_base(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
-def brute_labels(text, postings):
-    """Every place of every template, without an index."""
+def brute_labels(text, frequencies, total):
+    """Every template at every place of its key phrase, by trying all offsets around it, without postings."""
     words, found = words_of(text), {}
     here = set(words)
-    for t, template in enumerate(licenses.TEMPLATES):
+    for template in licenses.TEMPLATES:
         parts, key = template.text.split(), template.key.split()
-        own = [(w, p) for w, at in postings.items() for u, p in at if u == t]
-        if not any(w in here for w, _ in own):
+        if not here.issuperset(key):
             continue
         key_at = next(k for k in range(len(parts)) if parts[k : k + len(key)] == key)
-        for at in range(-len(parts), len(words)):
-            there = lambda k, at=at: words[at + k] if 0 <= at + k < len(words) else None
-            if sum(there(p) == w for w, p in own) < math.ceil(len(own) * licenses.AGREEING) or any(there(key_at + k) != p for k, p in enumerate(key)):
+        own = {*[w for w in licenses.ranked(template, frequencies, total) if w in here][: licenses.index_words(template)]}
+        stands = lambda k, d: 0 <= k + d < len(words) and words[k + d] == parts[k]
+        for q in (i for i in range(len(words)) if words[i : i + len(key)] == key):
+            borne = {d: {p for k, p in enumerate(parts) if p in own and stands(k, d)} for d in range(q - key_at - licenses.SLACK, q - key_at + licenses.SLACK + 1)}
+            if len(set().union(*borne.values())) < licenses.AGREEING:
                 continue
-            if (score := sum(there(k) == p for k, p in enumerate(parts)) / len(parts)) >= licenses.IN_PLACE:
+            offsets = [q - key_at, *(d for d, by in borne.items() if len(by) > 1)]
+            if (score := sum(any(stands(k, d) for d in offsets) for k in range(len(parts))) / len(parts)) >= licenses.IN_PLACE:
                 found[template.label] = max(score, found.get(template.label, 0))
     return found
 
@@ -143,13 +145,12 @@ def test_op10_equals_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{MORE}/documents.parquet").collect()}
     vocabulary = {w for t in licenses.TEMPLATES for w in t.text.split()}
     frequencies = Counter(w for t in texts.values() for w in vocabulary & set(re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())))
-    postings = licenses.rare_index({w: frequencies[w] for w in vocabulary}, len(texts))
     rows = QUERIES["op10_licenses"](spark, MORE).collect()
     assert len(rows) == len(texts)
     for r in rows:
         base = brute_base(texts[r.doc_id])
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base
-        more = brute_labels(texts[r.doc_id], postings)
+        more = brute_labels(texts[r.doc_id], frequencies, len(texts))
         assert r.labels == ",".join(sorted({*filter(None, base[4].split(",")), *more}))
         assert r.score == pytest.approx(1.0 if base[1] else max(more.values(), default=0.0))
 
@@ -172,14 +173,52 @@ def test_license_cases(spark):
     vocabulary = sorted({w for t in licenses.TEMPLATES for w in t.text.split()})
     frequencies, total = licenses.document_frequencies(docs, "text", vocabulary)
     assert total == len(LICENSES)
-    postings = licenses.rare_index(frequencies, total)
     for r in licenses.scan_licenses(docs).collect():
-        base, more = brute_base(LICENSES[r.doc_id]), brute_labels(LICENSES[r.doc_id], postings)
+        base, more = brute_base(LICENSES[r.doc_id]), brute_labels(LICENSES[r.doc_id], frequencies, total)
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base
         assert r.labels == ",".join(sorted({*filter(None, base[4].split(",")), *more}))
         assert r.score == pytest.approx(1.0 if base[1] else max(more.values(), default=0.0))
 
 
+def _altered(text):
+    """The text with a holder's name put in, with a line left out, with numbered lines, twice in a row, and in the middle of others."""
+    words = text.split()
+    lines = [" ".join(words[i : i + 12]) for i in range(0, len(words), 12)]
+    half = len(words) // 2
+    yield "named", " ".join([*words[:half], "Jane", "Doe", "and", "others", *words[half:]])
+    yield "cut", " ".join([*words[:half], *words[half + 8 :]])
+    yield "numbered", "\n".join(f"{i}7: {line}" for i, line in enumerate(lines))
+    yield "twice", f"{text} and once more {text}"
+    yield "inside", " ".join([*["filler"] * 300, *words[: half - 9], "the", "holder", *words[half - 9 :], *["software"] * 300])
+
+
+def test_licenses_with_words_put_in_or_left_out(spark):
+    whole = [t for t in licenses.TEMPLATES if len(t.text.split()) > 60]
+    assert {t.label for t in whole} >= {"mit", "isc", "bsd", "bsd-3", "zlib", "gpl-2", "gpl-3"}
+    cases = [(how, t.label, text) for t in whole for how, text in _altered(t.text) if t.key in text]
+    docs = spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(cases)], "doc_id long, text string")
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in t.text.split()})
+    frequencies, total = licenses.document_frequencies(docs, "text", vocabulary)
+    got = licenses.scan_licenses(docs).collect()
+    assert len(got) == len(cases) > 25
+    for r in got:
+        how, label, text = cases[r.doc_id]
+        base, more = brute_base(text), brute_labels(text, frequencies, total)
+        assert r.labels == ",".join(sorted({*filter(None, base[4].split(",")), *more}))
+        assert r.score == pytest.approx(1.0 if base[1] else max(more.values(), default=0.0))
+        assert label in r.labels.split(",") and more[label] > (0.7 if how == "numbered" else 0.9), (how, label, more)
+
+
+def test_words_of_a_license_in_other_order_are_none(spark):
+    template = max(licenses.TEMPLATES, key=lambda t: len(t.text))
+    words = template.text.split()
+    mixed = [*words[1::2], *template.key.split(), *words[::2]]
+    text = " ".join(mixed)
+    assert template.key in text
+    row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert template.label not in row.labels.split(",")
+
+
 def test_license_edges(edge, empty):
     rows = licenses.scan_licenses(edge).collect()
     assert len(rows) == len(EDGE_TEXTS)

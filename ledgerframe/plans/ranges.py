@@ -6,6 +6,10 @@ the two sides are joined by the bucket, a plain equi-join that Spark spreads and
 that meets, so cut points decide the work and never the result. A range that covers a bucket meets the points in it, which are its matches as far as the
 bounds say, so the copies of ranges are fewer than the pairs that come out, but for two for each range.
 
+Pairs may be as many as the product of the two tables, which are small beside them, so Spark would broadcast one side or join in a few tasks, by the
+bytes that it reads. Both sides are therefore dealt out to partitions by the number of pairs that will meet, PAIRS each. Points of a value that fills several
+buckets are dealt to as many ways, and ranges copied to each, so that no single value makes a long task.
+
 Two ranges overlap if the start of one lies in the other: if the condition is `x.low <= y.high AND y.low <= x.high`, starts of x are sought in ranges of y, and
 starts of y, other than those, in ranges of x.
 """
@@ -13,7 +17,9 @@ starts of y, other than those, in ranges of x.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -23,6 +29,9 @@ from pyspark.sql import types as T
 #: Rows with points that share a bucket, about, and the most buckets that there are.
 ROWS = 256
 MOST_CUTS = 1 << 14
+#: Pairs that a task compares, about, and the most tasks that a join is dealt to.
+PAIRS = 1 << 22
+MOST_PARTITIONS = 1 << 14
 #: Share of the rows by which a cut point may be misplaced.
 PRECISION = 1e-4
 
@@ -92,21 +101,33 @@ def _number(frame: DataFrame, sql: str) -> Column | None:
     return None
 
 
-def _cuts(points: DataFrame) -> list[float]:
-    """Cut points (column p) between buckets of about ROWS rows."""
+@dataclass(frozen=True)
+class _Buckets:
+    """Cut points between buckets, the ways that each bucket's points are dealt to, and how many points each way has, about."""
+
+    cuts: list[float]
+    ways: list[int]
+    rows: int
+
+
+def _buckets(points: DataFrame) -> _Buckets:
+    """Buckets of about ROWS rows, by the values of column p."""
     rows = points.agg(F.count("p")).first()[0]
     buckets = min(MOST_CUTS, rows // ROWS)
     if buckets < 2:
-        return []
-    return sorted({q for q in points.where(~F.isnan("p")).approxQuantile("p", [k / buckets for k in range(1, buckets)], PRECISION) if math.isfinite(q)})
+        return _Buckets([], [1], rows)
+    found = points.where(~F.isnan("p")).approxQuantile("p", [k / buckets for k in range(1, buckets)], PRECISION)
+    often = Counter(q for q in found if math.isfinite(q))
+    cuts = sorted(often)
+    return _Buckets(cuts, [1, *(often[q] for q in cuts)], rows // buckets)
 
 
-def _bucket(value: Column, cuts: list[float]) -> Column:
+def _bucket(value: Column, buckets: _Buckets) -> Column:
     """How many cut points are at most the value, by halving."""
-    if not cuts:
+    if not buckets.cuts:
         return F.lit(0)
-    table = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
-    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    table = F.split(F.lit(",".join(map(repr, buckets.cuts))), ",").cast("array<double>")
+    steps = [1 << k for k in range(len(buckets.cuts).bit_length() - 1, -1, -1)]
 
     def step(at: Column, size: Column) -> Column:
         return F.when(F.get(table, at + size - F.lit(1)) <= value, at + size).otherwise(at)
@@ -114,20 +135,62 @@ def _bucket(value: Column, cuts: list[float]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
+def _ways(bucket: Column, buckets: _Buckets) -> Column:
+    """The number of ways of a bucket."""
+    if max(buckets.ways) == 1:
+        return F.lit(1)
+    return F.get(F.split(F.lit(",".join(map(str, buckets.ways))), ",").cast("array<int>"), bucket)
+
+
+def _told(rows: DataFrame) -> Column:
+    """A long of all that a row holds in plain columns, the same in every reading."""
+    held = [F.col("`" + f.name.replace("`", "``") + "`") for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    return F.xxhash64(*held) if held else F.lit(0).cast("long")
+
+
+def _way(rows: DataFrame, bucket: Column, buckets: _Buckets) -> Column:
+    """The way of a row among those of its bucket, by all that the row holds."""
+    return F.pmod(_told(rows), _ways(bucket, buckets)) if max(buckets.ways) > 1 else F.lit(0)
+
+
+def _key(bucket: Column, way: Column) -> Column:
+    """A bucket and one of its ways as one long."""
+    return bucket.cast("long") * F.lit(2 * MOST_CUTS) + way.cast("long")
+
+
+def _partitions(pairs: float | None) -> int:
+    """Over how many partitions so many pairs are spread."""
+    return int(min(MOST_PARTITIONS, max(1, (pairs or 0) // PAIRS + 1)))
+
+
+def _copied(bucket_from: Column, bucket_to: Column, buckets: _Buckets) -> Column:
+    """The number of copies of a range that touches these buckets."""
+    if max(buckets.ways) == 1:
+        return bucket_to - bucket_from + F.lit(1)
+    before = F.split(F.lit(",".join(map(str, accumulate(buckets.ways, initial=0)))), ",").cast("array<long>")
+    return F.get(before, bucket_to + F.lit(1)) - F.get(before, bucket_from)
+
+
 def _within(points: DataFrame, point: Column, ranges: DataFrame, lows: list[Column], highs: list[Column], match: Column, kind: str, points_left: bool) -> DataFrame:
     """points and ranges joined by `match`, where the point is at least all lows and at most all highs in every match."""
-    cuts = _cuts(points.select(point.alias("p")))
-    # NaN comes after all numbers, in the last bucket as in the order; null matches nothing, and its row meets no other.
-    dealt = points.withColumn("__at", F.when(point.isNotNull(), _bucket(point, cuts)))
+    found = _buckets(points.select(point.alias("p")))
+    # NaN comes after all numbers, in the last bucket as in the order; null matches nothing, and its row meets no other: such rows are spread.
+    at = _bucket(point, found)
+    dealt = points.withColumn("__at", F.when(point.isNotNull(), _key(at, _way(points, at, found))).otherwise(F.lit(-1) - F.pmod(_told(points), F.lit(1 << 40))))
     low = F.greatest(*lows) if len(lows) > 1 else lows[0] if lows else None
     high = F.least(*highs) if len(highs) > 1 else highs[0] if highs else None
-    first = F.lit(0) if low is None else _bucket(low, cuts)
-    last = F.lit(len(cuts)) if high is None else _bucket(high, cuts)
+    first = F.lit(0) if low is None else _bucket(low, found)
+    last = F.lit(len(found.cuts)) if high is None else _bucket(high, found)
     there = F.lit(True)
     for bound in (*lows, *highs):
         there = there & bound.isNotNull()
-    copies = ranges.where(there).withColumns({"__first": first, "__last": last}).where("__first <= __last")
-    copies = copies.withColumn("__on", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
+    placed = ranges.where(there).withColumns({"__first": first, "__last": last}).where("__first <= __last")
+    copies = placed.agg(F.sum(_copied(F.col("__first"), F.col("__last"), found))).first()[0]
+    parts = _partitions((copies or 0) * found.rows)
+    copies = placed.withColumn("__on", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
+    copies = copies.withColumn("__on", F.explode(F.transform(F.sequence(F.lit(0), _ways(F.col("__on"), found) - F.lit(1)), lambda way: _key(F.col("__on"), way))))
+    if parts > 1:
+        dealt, copies = dealt.repartition(parts, "__at").hint("merge"), copies.repartition(parts, "__on").hint("merge")
     on = (F.col("__at") == F.col("__on")) & match
     return dealt.join(copies, on, kind) if points_left else copies.join(dealt, on, kind)
 
@@ -137,19 +200,35 @@ def _overlaps(left: DataFrame, right: DataFrame, x: tuple[Column, Column], y: tu
 
     Each row is in the table once by its start, and in each bucket of the other side's starts that its range touches. Two rows meet by the start that
     comes later, x's where they are equal, so no pair meets twice."""
-    cuts = {"x": _cuts(left.select(x[0].alias("p"))), "y": _cuts(right.select(y[0].alias("p")))}
-
-    def keyed(rows: DataFrame, own: str, other: str, start: Column, end: Column) -> DataFrame:
-        key = lambda side, at: F.struct(F.lit(side).alias("of"), at.alias("at"))
-        touched = F.transform(F.sequence("__first", "__last"), lambda at: key(other, at))
-        keys = F.when(F.col("__first") <= F.col("__last"), F.array_append(touched, key(own, F.col("__own")))).otherwise(F.array(key(own, F.col("__own"))))
-        placed = rows.where(start.isNotNull() & end.isNotNull())
-        placed = placed.withColumns({"__own": _bucket(start, cuts[own]), "__first": _bucket(start, cuts[other]), "__last": _bucket(end, cuts[other])})
-        return placed.withColumn(f"__{own}", F.explode(keys)).drop("__own", "__first", "__last")
-
-    by_x = F.col("__x.of") == F.lit("x")
-    on = (F.col("__x.of") == F.col("__y.of")) & (F.col("__x.at") == F.col("__y.at")) & match & (by_x == (y[0] <= x[0]))
-    return keyed(left, "x", "y", *x).join(keyed(right, "y", "x", *y), on, "inner")
+    found = {"x": _buckets(left.select(x[0].alias("p"))), "y": _buckets(right.select(y[0].alias("p")))}
+
+    def placed(rows: DataFrame, own: str, other: str, start: Column, end: Column) -> DataFrame:
+        there = rows.where(start.isNotNull() & end.isNotNull())
+        there = there.withColumns({"__own": _bucket(start, found[own]), "__first": _bucket(start, found[other]), "__last": _bucket(end, found[other])})
+        return there.withColumn("__way", _way(rows, F.col("__own"), found[own]))
+
+    def met(rows: DataFrame, other: str) -> int:
+        """Pairs of the rows with starts of the other side, about."""
+        copies = F.when(F.col("__first") <= F.col("__last"), _copied(F.col("__first"), F.col("__last"), found[other]))
+        return (rows.agg(F.sum(copies)).first()[0] or 0) * found[other].rows
+
+    def keyed(rows: DataFrame, own: str, other: str) -> DataFrame:
+        # Even keys are of x's starts, odd ones of y's.
+        key = lambda side, at, way: _key(at, way) * F.lit(2) + F.lit("xy".index(side))
+        all_ways = lambda at: F.transform(F.sequence(F.lit(0), _ways(at, found[other]) - F.lit(1)), lambda way: key(other, at, way))
+        touched = F.flatten(F.transform(F.sequence("__first", "__last"), all_ways))
+        itself = key(own, F.col("__own"), F.col("__way"))
+        keys = F.when(F.col("__first") <= F.col("__last"), F.array_append(touched, itself)).otherwise(F.array(itself))
+        return rows.withColumn(f"__{own}", F.explode(keys)).drop("__own", "__first", "__last", "__way")
+
+    by_x = F.col("__x") % 2 == 0
+    on = (F.col("__x") == F.col("__y")) & match & (by_x == (y[0] <= x[0]))
+    sides = placed(left, "x", "y", *x), placed(right, "y", "x", *y)
+    parts = _partitions(met(sides[0], "y") + met(sides[1], "x"))
+    xs, ys = keyed(sides[0], "x", "y"), keyed(sides[1], "y", "x")
+    if parts > 1:
+        xs, ys = xs.repartition(parts, "__x").hint("merge"), ys.repartition(parts, "__y").hint("merge")
+    return xs.join(ys, on, "inner")
 
 
 def range_join(left: DataFrame, right: DataFrame, match: Column, kind: str) -> DataFrame | None:

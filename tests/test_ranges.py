@@ -111,3 +111,22 @@ def test_hundreds_of_thousands_of_rows_a_side(spark):
     # The same by an equality on the offset.
     offsets = y.select("yid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), "low")
     assert joined.count() == x.join(offsets, F.col("at") == F.col("low") + F.col("k")).count() > n
+
+
+@pytest.fixture
+def few_pairs_a_task(monkeypatch, few_rows_a_bucket):
+    monkeypatch.setattr(ranges, "PAIRS", 64)
+
+
+@pytest.mark.parametrize("how", ["inner_join", "left_join", "semi_join", "anti_join"])
+def test_pairs_are_dealt_to_many_tasks(tables, few_pairs_a_task, how):
+    x, y = tables
+    on = "x.p BETWEEN y.low AND y.high"
+    joined = join_frames(x, y, how=how, on=on)
+    kind = {"inner_join": "inner", "left_join": "left", "semi_join": "left_semi", "anti_join": "left_anti"}[how]
+    ids = [c for c in ("xid", "yid") if c in joined.columns]
+    assert Counter(joined.select(ids).collect()) == Counter(x.alias("x").join(y.alias("y"), F.expr(on), kind).select(ids).collect())
+    sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 16
+    # A third of the points have one value and meet a fortieth of the ranges and more: no task has more than a part of the pairs.
+    assert how == "anti_join" or max(sizes) < sum(sizes) / 4

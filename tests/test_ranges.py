@@ -130,3 +130,13 @@ def test_pairs_are_dealt_to_many_tasks(tables, few_pairs_a_task, how):
     assert len(sizes) > 16
     # A third of the points have one value and meet a fortieth of the ranges and more: no task has more than a part of the pairs.
     assert how == "anti_join" or max(sizes) < sum(sizes) / 4
+
+
+def test_overlaps_are_dealt_to_many_tasks(tables, few_pairs_a_task):
+    x, y = tables
+    on = "x.a <= y.high AND y.low <= x.b"
+    joined = join_frames(x, y, how="inner_join", on=on)
+    expected = x.alias("x").join(y.alias("y"), F.expr(on)).select("xid", "yid")
+    assert Counter(joined.select("xid", "yid").collect()) == Counter(expected.collect())
+    sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 16 and max(sizes) < sum(sizes) / 4

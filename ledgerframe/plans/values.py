@@ -72,5 +72,7 @@ def value_figures(df: DataFrame, fields: Sequence[tuple[int, T.StructField]], mo
     # One row for each column, so a broadcast of it is bounded by the schema.
     tops = counts.where(F.col("k").isin(*modes)).join(F.broadcast(figures.where("not level").select("k", "most")), "k").where("n = most").select("k", "a", "b")
     found = _cells(df, wanted, True).join(tops, ["k", "a", "b"], "left_semi")
-    found = found.groupBy("k").agg(F.min(F.struct("rank", "text"))["text"].alias("mode"))
+    # Equal cells become one by a hash before the least is sought: that has to sort, and a frequent value is most of its column's cells.
+    # Their number is asked for since the least needs none, and without a use of it Spark would leave the grouping out.
+    found = found.groupBy("k", "rank", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 0").groupBy("k").agg(F.min(F.struct("rank", "text"))["text"].alias("mode"))
     return figures.join(found, "k", "left").select("k", "distinct", "level", "mode")

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -85,3 +86,13 @@ def test_long_distinct_texts_do_not_fill_a_task(spark):
     df = spark.range(0, 1_000_000, 1, 8).select(F.concat(F.col("id"), F.repeat(F.lit("x"), 1000)).alias("text"))
     row = lf.get_summary_table(df.union(df.where("id = 77"))).first()
     assert row.n_unique == 1_000_000 and row.most_frequent == "77" + "x" * 1000
+
+
+def test_most_frequent_values_are_sought_without_sorting_cells(spark):
+    """Equal cells become one by a hash before the least is sought."""
+    from ledgerframe.plans.values import value_figures
+
+    df = spark.createDataFrame([(i % 3 != 0, f"t{i // 2 if i < 40 else 1000 + i}", "b" if i % 2 else "a") for i in range(100)], "large boolean, rare string, tied string")
+    found = value_figures(df, list(enumerate(df.schema.fields)), [0, 1, 2])
+    assert {r.k: (r.distinct, r.level, r.mode) for r in found.collect()} == {0: (2, False, "true"), 1: (80, False, "t0"), 2: (2, True, None)}
+    assert re.search(r"Aggregate \[k#\d+, rank#\d+L?, text#\d+\], \[", found._jdf.queryExecution().optimizedPlan().toString())

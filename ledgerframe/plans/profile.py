@@ -23,9 +23,9 @@ STATS = ("min", "q25", "median", "mean", "q75", "max")
 #: passes, and "sorted", exact by a distributed sort in one, for columns of any size; "auto", the first for inputs of up to AUTO_BYTES and else the
 #: second, which give the same; "approximate" by a sketch of bounded size.
 WAYS = ("auto", "exact", "narrowed", "sorted", "approximate")
-#: Estimated bytes of all tables below a plan, up to which a column's distinct values are sure to fit into an executor. What is made of an
-#: RDD or a checkpoint tells no size (Spark gives UNKNOWN_BYTES or more) and counts as large, but for rows that the driver held itself.
-AUTO_BYTES, UNKNOWN_BYTES = 1 << 30, 1 << 60
+#: Estimated bytes of all tables below a plan, up to which a column's distinct values are kept: each task's go to one task, which merges them
+#: all, so that larger inputs would have it read and rank them alone. What is made of an RDD or a checkpoint tells no size (Spark gives UNKNOWN_BYTES or more) and counts as large, but for rows that the driver held itself.
+AUTO_BYTES, UNKNOWN_BYTES = 1 << 23, 1 << 60
 _SHARES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 

@@ -48,25 +48,27 @@ def _magnitude(value: Column) -> Column:
     return F.when(value == infinite, 4000).when(value == -infinite, -4000).when(value > 0, power(value)).when(value < 0, -power(-value)).otherwise(0)
 
 
-def _histogram(df: DataFrame, keys: dict[int, tuple[Column, Column]]) -> dict[int, list[Row]]:
-    """For each column its rows by a key (cell, part or value): part, rows, low and high, in order of values. One pass for all columns."""
-    structs = [F.when(value.isNotNull() & part.isNotNull(), F.struct(F.lit(c).alias("c"), part.alias("part"), value.alias("v"))) for c, (part, value) in keys.items()]
-    counts = df.select(F.inline(F.array_compact(F.array(*structs)))).groupBy("c", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
+def _histogram(df: DataFrame, keys: dict[int, tuple[Column, Column, Column]]) -> dict[int, list[Row]]:
+    """For each column its rows by a key (cell, part or value in it; value): cell, rows, low and high, in order of values. One pass for all columns.
+
+    Keys are plain numbers and missing ones are filtered as rows, so that no cell becomes an object on its way."""
+    structs = [F.struct(F.lit(c).alias("c"), cell.cast("int").alias("cell"), at.cast("double").alias("at"), value.alias("v")) for c, (cell, at, value) in keys.items()]
+    rows = df.select(F.inline(F.array(*structs))).where("v is not null and cell is not null")
+    counts = rows.groupBy("c", "cell", "at").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
     out: dict[int, list[Row]] = {c: [] for c in keys}
     for r in counts.collect():
         out[r.c].append(r)
     return {c: sorted(rows, key=lambda r: r.low) for c, rows in out.items()}
 
 
-def _parted(value: Column, cells: Sequence[_Cell]) -> Column:
+def _parted(value: Column, cells: Sequence[_Cell]) -> tuple[Column, Column]:
     """The cell of a value and its part of it: a number, or where the cell has few rows the value itself; null outside of all."""
-    out = None
+    number, at = F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), F.lit(0.0))
     for k, cell in enumerate(cells):
         part = F.least(F.floor((value - cell.low) / F.lit(cell.high - cell.low) * F.lit(float(CELLS))), F.lit(CELLS - 1)).cast("double")
-        key = F.struct(F.lit(k).alias("cell"), (value if cell.rows <= FEW else part).alias("at"))
         inside = (value >= F.lit(cell.low)) & (value <= F.lit(cell.high))
-        out = F.when(inside, key) if out is None else out.when(inside, key)
-    return out
+        number, at = number.when(inside, F.lit(k)), at.when(inside, value if cell.rows <= FEW else part)
+    return number, at
 
 
 def narrowed_quantiles(df: DataFrame, values: Sequence[Column], shares: Sequence[float]) -> list[list[float] | None]:
@@ -77,16 +79,16 @@ def narrowed_quantiles(df: DataFrame, values: Sequence[Column], shares: Sequence
     totals: dict[int, int] = {}
     ranks: dict[int, dict[int, float | None]] = {}
     open_: dict[int, list[_Cell]] = {}
-    first = _histogram(df, {c: (F.struct(F.lit(0).alias("cell"), _magnitude(v).cast("double").alias("at")), v) for c, v in enumerate(numbers)})
+    first = _histogram(df, {c: (F.lit(0), _magnitude(v), v) for c, v in enumerate(numbers)})
     for c, rows in first.items():
         totals[c] = sum(r.rows for r in rows)
         if totals[c]:
             ranks[c] = {k: None for p in shares for at in [(totals[c] - 1) * float(p)] for k in (math.floor(at), math.ceil(at))}
             open_[c] = _settled(ranks[c], _placed(rows, 0))
     while any(open_.values()):
-        found = _histogram(df, {c: (_parted(numbers[c], cells), numbers[c]) for c, cells in open_.items() if cells})
+        found = _histogram(df, {c: (*_parted(numbers[c], cells), numbers[c]) for c, cells in open_.items() if cells})
         for c, rows in found.items():
-            parts = [cell for k, whole in enumerate(open_[c]) for cell in _placed([r for r in rows if r.part.cell == k], whole.before)]
+            parts = [cell for k, whole in enumerate(open_[c]) for cell in _placed([r for r in rows if r.cell == k], whole.before)]
             open_[c] = _settled(ranks[c], parts)
     return [None if not totals[c] else [_interpolated(totals[c], p, ranks[c]) for p in shares] for c in range(len(numbers))]
 

@@ -79,3 +79,15 @@ def test_frames_of_unknown_size_count_as_large(spark, passes):
     assert passes == []
     lf.audit_tap(unknown, trail, "unknown")
     assert len(passes) == 2 and [s.numeric_summary[0]["median"] for s in trail.snapshots] == [4.0, 4.0]
+
+
+def test_values_of_larger_inputs_are_not_merged_in_one_task(spark, monkeypatch):
+    """Inputs of over some megabytes are narrowed: their distinct values would all be read and ranked by one task."""
+    from ledgerframe.plans import profile, quantiles
+
+    df = spark.range(1_200_000).select((F.col("id") * 7 % 1_000_003).alias("v"))
+    assert profile.resolved_way(df, "auto") == "narrowed"
+    passes, histogram = [], quantiles._histogram
+    monkeypatch.setattr(quantiles, "_histogram", lambda df, keys: passes.append(keys) or histogram(df, keys))
+    found, exact = profile.snapshot_df(df).first(), profile.snapshot_df(df, quantiles="exact").first()
+    assert found == exact and 1 < len(passes) < 8

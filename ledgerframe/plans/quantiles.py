@@ -13,7 +13,7 @@ prefix sum over the partitions' sizes; only the rows at the wanted ranks reach t
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -48,27 +48,40 @@ def _magnitude(value: Column) -> Column:
     return F.when(value == infinite, 4000).when(value == -infinite, -4000).when(value > 0, power(value)).when(value < 0, -power(-value)).otherwise(0)
 
 
-def _histogram(df: DataFrame, keys: dict[int, tuple[Column, Column, Column]]) -> dict[int, list[Row]]:
-    """For each column its rows by a key (cell, part or value in it; value): cell, rows, low and high, in order of values. One pass for all columns.
+def _histogram(df: DataFrame, keys: dict[int, tuple[Column, list[_Cell] | None]]) -> dict[int, list[Row]]:
+    """For each column its rows by a key (cell, part or value in it; value): cell, rows, low and high, in order of values. One pass for all columns:
+    by powers of two, or by the parts of given cells, as all columns of a pass are.
 
-    Keys are plain numbers and missing ones are filtered as rows, so that no cell becomes an object on its way."""
-    structs = [F.struct(F.lit(c).alias("c"), cell.cast("int").alias("cell"), at.cast("double").alias("at"), value.alias("v")) for c, (cell, at, value) in keys.items()]
-    rows = df.select(F.inline(F.array(*structs))).where("v is not null and cell is not null")
+    Values become rows before anything is made of them, so that the code that Spark writes is as short for many columns and cells as for one: methods that are too
+    large for the JVM to compile take ten times as long. Missing values are filtered as rows."""
+    rows, cells = df.select(F.posexplode(F.array(*[v for v, _ in keys.values()])).alias("c", "v")).where("v is not null"), [own for _, own in keys.values() if own]
+    rows = _parted(rows, cells) if cells else rows.select("c", "v", F.lit(0).alias("cell"), _magnitude(F.col("v")).cast("double").alias("at"))
     counts = rows.groupBy("c", "cell", "at").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
-    out: dict[int, list[Row]] = {c: [] for c in keys}
-    for r in counts.collect():
-        out[r.c].append(r)
-    return {c: sorted(rows, key=lambda r: r.low) for c, rows in out.items()}
+    found, out = counts.collect(), {}
+    for i, c in enumerate(keys):
+        out[c] = sorted((r for r in found if r.c == i), key=lambda r: r.low)
+    return out
+
+
+def _parted(rows: DataFrame, cells: Sequence[Sequence[_Cell]]) -> DataFrame:
+    """c, v, cell and at of the values v (of column c) that are in a cell: its number, and the part of it, or where the cell has few rows the value itself."""
+    most = max(map(len, cells))
+
+    def told(of: Callable[[_Cell], float], k: int) -> Column:
+        """Of a column's cell k, null where it has none."""
+        return F.get(F.array(*[F.lit(float(of(own[k])) if k < len(own) else None).cast("double") for own in cells]), F.col("c"))
 
+    def told_all(of: Callable[[_Cell], float]) -> Column:
+        """Of the cell `cell` of a column."""
+        flat = F.array(*[F.lit(float(of(own[k])) if k < len(own) else None).cast("double") for own in cells for k in range(most)])
+        return F.get(flat, F.col("c") * F.lit(most) + F.col("cell"))
 
-def _parted(value: Column, cells: Sequence[_Cell]) -> tuple[Column, Column]:
-    """The cell of a value and its part of it: a number, or where the cell has few rows the value itself; null outside of all."""
-    number, at = F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), F.lit(0.0))
-    for k, cell in enumerate(cells):
-        part = F.least(F.floor((value - cell.low) / F.lit(cell.high - cell.low) * F.lit(float(CELLS))), F.lit(CELLS - 1)).cast("double")
-        inside = (value >= F.lit(cell.low)) & (value <= F.lit(cell.high))
-        number, at = number.when(inside, F.lit(k)), at.when(inside, value if cell.rows <= FEW else part)
-    return number, at
+    number = F.lit(-1)
+    for k in range(most):
+        number = number + F.when(F.col("v") >= told(lambda cell: cell.low, k), 1).otherwise(0)
+    inside = rows.withColumn("cell", number).where("cell >= 0").where(F.col("v") <= told_all(lambda cell: cell.high))
+    part = F.least(F.floor((F.col("v") - told_all(lambda cell: cell.low)) / told_all(lambda cell: cell.high - cell.low) * F.lit(float(CELLS))), F.lit(CELLS - 1)).cast("double")
+    return inside.select("c", "v", "cell", F.when(told_all(lambda cell: cell.rows) <= FEW, F.col("v")).otherwise(part).alias("at"))
 
 
 def narrowed_quantiles(df: DataFrame, values: Sequence[Column], shares: Sequence[float]) -> list[list[float] | None]:
@@ -79,14 +92,14 @@ def narrowed_quantiles(df: DataFrame, values: Sequence[Column], shares: Sequence
     totals: dict[int, int] = {}
     ranks: dict[int, dict[int, float | None]] = {}
     open_: dict[int, list[_Cell]] = {}
-    first = _histogram(df, {c: (F.lit(0), _magnitude(v), v) for c, v in enumerate(numbers)})
+    first = _histogram(df, {c: (v, None) for c, v in enumerate(numbers)})
     for c, rows in first.items():
         totals[c] = sum(r.rows for r in rows)
         if totals[c]:
             ranks[c] = {k: None for p in shares for at in [(totals[c] - 1) * float(p)] for k in (math.floor(at), math.ceil(at))}
             open_[c] = _settled(ranks[c], _placed(rows, 0))
     while any(open_.values()):
-        found = _histogram(df, {c: (*_parted(numbers[c], cells), numbers[c]) for c, cells in open_.items() if cells})
+        found = _histogram(df, {c: (numbers[c], cells) for c, cells in open_.items() if cells})
         for c, rows in found.items():
             parts = [cell for k, whole in enumerate(open_[c]) for cell in _placed([r for r in rows if r.cell == k], whole.before)]
             open_[c] = _settled(ranks[c], parts)
@@ -103,13 +116,14 @@ def _placed(rows: Sequence[Row], before: int) -> list[_Cell]:
 
 
 def _settled(ranks: dict[int, float | None], cells: Sequence[_Cell]) -> list[_Cell]:
-    """Sets the ranks whose cell has one value; the cells of the other open ranks."""
+    """Sets the ranks whose cell has one value or begins or ends with them; the cells of the other open ranks."""
     left = []
     for cell in cells:
         own = [k for k, v in ranks.items() if v is None and cell.before <= k < cell.before + cell.rows]
-        if own and cell.low == cell.high:
-            ranks.update(dict.fromkeys(own, cell.low))
-        elif own:
+        # A cell's first and last rank are its ends.
+        ends = {cell.before: cell.low, cell.before + cell.rows - 1: cell.high}
+        ranks.update({k: cell.low if cell.low == cell.high else ends[k] for k in own if cell.low == cell.high or k in ends})
+        if any(ranks[k] is None for k in own):
             left.append(cell)
     return left
 

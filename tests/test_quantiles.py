@@ -91,3 +91,24 @@ def test_values_of_larger_inputs_are_not_merged_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "_histogram", lambda df, keys: passes.append(keys) or histogram(df, keys))
     found, exact = profile.snapshot_df(df).first(), profile.snapshot_df(df, quantiles="exact").first()
     assert found == exact and 1 < len(passes) < 8
+
+
+def test_no_method_of_a_pass_is_too_large_to_compile(spark, monkeypatch):
+    """The JVM interprets methods of over 8,000 bytes of code, which made passes over five columns ten times as long."""
+    seen, frame = [], type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: seen.append(df) or collect(df))
+    df = spark.range(100_000).select(*[F.when(F.col("id") % k != 0, F.exp(F.rand(k) * k)).alias(f"v{k}") for k in range(2, 10)])
+    values = [F.col(c) for c in df.columns]
+    found = quantiles.narrowed_quantiles(df, values, SHARES)
+    passes, debug = list(seen), getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$").__getattr__("MODULE$")
+    assert found == percentiles(df, values) and len(passes) > 1
+    for df in passes:
+        parts = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        assert parts.size() and max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000
+
+
+def test_the_least_and_the_greatest_value_take_one_pass(spark, passes):
+    df = spark.range(10_000).select((F.rand(1) * 1e6).alias("a"))
+    assert quantiles.narrowed_quantiles(df, [F.col("a")], (0.0, 1.0)) == percentiles(df, [F.col("a")], (0.0, 1.0))
+    assert len(passes) == 1

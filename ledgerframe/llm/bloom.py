@@ -78,19 +78,22 @@ def probed(rows: DataFrame, key: Column, found: Bloom, column: str) -> DataFrame
     return joined.withColumn(column, is_set(words, 2) & is_set(words, 3)).drop(*(["__words", "__block"] if found.broadcast else ["__block", "found"]))
 
 
-def left_join_sparsely(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def left_join_sparsely(rows: DataFrame, table: DataFrame, key: str, keys: int | None = None) -> DataFrame:
     """rows left-joined with `table` by a key that both call alike, where most rows have no match.
 
     `table` has been written or checkpointed and has one row for each key. Rows whose key the table's filter excludes are passed on as
     they are read; only the others are shuffled. A table of so many keys that no filter of MAX_BITS tells them apart is joined
-    by a shuffle of all rows. rows are read twice, and both readings must give the same keys to the same rows (see `identified`), without columns of the names used here: __block, __words, __maybe and found."""
-    keys = table.count()
+    by a shuffle of all rows. rows are read twice, and both readings must give the same keys to the same rows (see `identified`), without columns of the names used here: __block, __words, __maybe and found.
+    keys: about how many rows the table has (0 for an empty one alone), where that is known."""
+    keys = table.count() if keys is None else keys
+    kinds = dict(table.dtypes)
+    nulls = {c: F.lit(None).cast(kinds[c]) for c in table.columns if c != key}
+    if not keys:
+        return rows.withColumns(nulls)
     if keys * LEAST_BITS_PER_KEY > MAX_BITS:
         return rows.join(table, key, "left")
     per_key = max(LEAST_BITS_PER_KEY, min(BITS_PER_KEY, MAX_BITS // max(1, keys)))
     flagged = probed(rows, F.col(key), bloom(table, F.col(key), keys, 1, per_key), "__maybe")
-    more = [c for c in table.columns if c != key]
-    kinds = dict(table.dtypes)
-    once = flagged.where(~F.col("__maybe")).drop("__maybe").withColumns({c: F.lit(None).cast(kinds[c]) for c in more})
+    once = flagged.where(~F.col("__maybe")).drop("__maybe").withColumns(nulls)
     many = flagged.where("__maybe").drop("__maybe").join(table, key, "left")
     return once.unionByName(many.select(*once.columns))

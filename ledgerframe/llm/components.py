@@ -23,8 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least, own = (F.struct(F.xxhash64(c, F.lit(len(levels))).alias("p"), F.col(c).alias("at")) for c in ("v", "u"))
         near = written(both.groupBy("u").agg(F.min(least).alias("m")).select("u", F.least("m", own).alias("m")), "least")
-        around = both.join(near.toDF("v", "around"), "v").groupBy("u").agg(F.min("around").alias("around"))
-        step = written(near.join(around, "u").select(F.col("u").alias("vertex"), F.least("m", "around")["at"].alias("root")), "roots")
+        heard = both.join(near.toDF("v", "m"), "v").select("u", "m").union(near)
+        step = written(heard.groupBy("u").agg(F.min("m")["at"].alias("root")).withColumnRenamed("u", "vertex"), "roots")
         levels.append(step)
         moved = edges.join(step.toDF("u", "pu"), "u").join(step.toDF("v", "pv"), "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
         edges, left = counted(moved.where("u <> v").distinct(), "links")
@@ -34,3 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     for step in levels[1:]:
         out = out.join(step.toDF("root", "next"), "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
     return out
+
+
+def extended(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """`components` of the edges that roots (vertex, root; written) come of and of further ones (u, v): their contraction alone is searched."""
+    for c in ("u", "v"):
+        more = more.join(roots.toDF(f"at_{c}", f"root_{c}"), F.col(c) == F.col(f"at_{c}"), "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"at_{c}", f"root_{c}")
+    last = components(more).toDF("root", "last")
+    single = last.join(roots.select(F.col("root").alias("known")).distinct(), F.col("root") == F.col("known"), "left_anti")
+    joined = roots.join(last, "root", "left").select("vertex", F.coalesce("last", "root").alias("root"))
+    return joined.union(single.select(F.col("root").alias("vertex"), "last"))

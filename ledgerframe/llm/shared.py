@@ -88,11 +88,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """`written(df, label)` and its number of rows, from the same pass (about right where tasks were repeated: a figure for sizes)."""
+def observed(df: DataFrame, label: str, figure: Column) -> tuple[DataFrame, int]:
+    """`written(df, label)` and an aggregate of its rows (0 where that is null), from the same pass."""
     seen = Observation()
-    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
-    return table, int(seen.get["rows"])
+    table = written(df.observe(seen, figure.alias("figure")), label)
+    return table, int(seen.get["figure"] or 0)
+
+
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """`written(df, label)` and its number of rows (about right where tasks were repeated: a figure for sizes; 0 of an empty table alone)."""
+    return observed(df, label, F.count(F.lit(1)))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -134,15 +139,17 @@ def identified(docs: DataFrame, label: str) -> DataFrame:
     return written(numbered(docs).withColumn("rid", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), label)
 
 
-def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, salt: Column) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, salt: Column, total: int | None = None) -> DataFrame:
     """rows, left-joined with `table`, which has one row for each key and has been written or checkpointed.
 
     `weight` is the column of `table` that counts the rows of its key. Keys that hold more than 1/HEAVY_PARTS of all
     rows are fewer than HEAVY_PARTS whatever the size of the input, so that part of the table is broadcast; rows of
     those keys are spread by `salt` and never meet in one task. All other keys are joined by shuffle.
     The result has the columns of rows and a struct `found` (null where there is no match).
+    total: the number of all rows, about; where it is not given, a pass over `table` sums their weights.
     """
-    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    if total is None:
+        total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     values = F.struct(*[c for c in table.columns if c != key])
     heavy = table.where(F.col(weight) * F.lit(HEAVY_PARTS) > F.lit(total)).select(F.col(key).alias("__hk"), values.alias("__hv"))
     light = table.where(F.col(weight) * F.lit(HEAVY_PARTS) <= F.lit(total)).select(F.col(key).alias("__lk"), values.alias("__lv"), F.lit(0).cast("long").alias("__ls"))

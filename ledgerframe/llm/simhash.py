@@ -145,8 +145,8 @@ def wide_links(distinct: DataFrame, segments: int, crowd: int = CROWD) -> DataFr
     table = written(distinct.select("fp", F.explode(F.array(*keys(F.col("fp")))).alias("key")), "segments")
     crowds = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
     width = F.get(F.array(*map(F.lit, widths)), F.shiftright("key", SEGMENT).cast("int"))
-    beside = written(crowds.select(F.explode(ball(F.col("key"), width)).alias("key"), F.lit(True).alias("crowded")).distinct(), "beside")
-    inside = left_join_sparsely(table, beside, "key")
+    beside, keys_beside = counted(crowds.select(F.explode(ball(F.col("key"), width)).alias("key"), F.lit(True).alias("crowded")).distinct(), "beside")
+    inside = left_join_sparsely(table, beside, "key", keys_beside)
     pivots = written(inside.where("crowded").groupBy("key").agg(F.min("fp").alias("pivot")), "pivots")
     spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     balls = spread.select(F.col("fp").alias("u"), F.explode(F.concat(*(ball(k, F.lit(w)) for k, w in zip(keys(F.col("fp")), widths, strict=False)))).alias("key"))

@@ -4,6 +4,7 @@ import re
 import corpus_pipeline
 from ledgerframe.llm import similar as op
 from ledgerframe.llm import simhash
+from ledgerframe.llm.components import components, extended
 from ledgerframe.llm.shared import checkpointed, shared_root
 
 
@@ -110,3 +111,43 @@ def test_pairs_of_equal_or_near_fingerprints_are_verified(spark):
     sets = checkpointed(spark.createDataFrame(sets, "vertex long, hashes array<long>"))
     roots = {r.vertex: r.root for r in op.near_roots(sets, op._fetched(vertices.where("vertex < 5"))).collect()}
     assert roots[1] == roots[3] != roots[4] == roots[6] and roots.get(2, 2) not in (roots[1], roots[4])
+
+
+def jobs_of(spark, work):
+    """What work() returns, and how many jobs Spark ran for it."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("none", "")
+
+
+def test_near_stage_runs_few_jobs(spark):
+    # The driver's garbage and threads follow their number: it was 200 on these documents.
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept, jobs = jobs_of(spark, lambda: op.drop_similar(docs).count())
+    assert 0 < kept < docs.count() and jobs < 180
+
+
+def test_pairs_of_a_set_in_many_are_dealt_to_copies(spark, monkeypatch):
+    monkeypatch.setattr(op, "COPY", 3)
+    held = {0: range(20)} | {i: range(i % 5, 20 + i % 3) for i in range(1, 30)} | {30: range(50)}
+    sets = checkpointed(spark.createDataFrame([(i, list(s)) for i, s in held.items()], "vertex long, hashes array<long>"))
+    met = [(0, i) for i in range(1, 31)] + [(i, 30) for i in range(1, 9)] + [(3, 4), (4, 5)]
+    pairs = spark.createDataFrame(met, "u long, v long")
+    alike = {(i, j) for i, j in met if 5 * len(set(held[i]) & set(held[j])) >= 4 * len(set(held[i]) | set(held[j]))}
+    assert 0 < len(alike) < len(met)
+    assert sorted(tuple(r) for r in op._verified(pairs, sets).collect()) == sorted(alike)
+
+
+def test_further_edges_extend_components(spark):
+    random.seed(12)
+    edges = [(random.randrange(400), random.randrange(400)) for _ in range(260)]
+    frame = lambda some: spark.createDataFrame(some, "u long, v long")
+    whole = {r.vertex: r.root for r in components(frame(edges)).collect()}
+    for cut in (0, 130, 260):
+        rows = extended(checkpointed(components(frame(edges[:cut]))), frame(edges[cut:])).collect()
+        found = {r.vertex: r.root for r in rows}
+        assert len(rows) == len(found) and found.keys() == whole.keys()
+        assert len(set(found.values())) == len(set(whole.values())) == len({(found[v], whole[v]) for v in whole})

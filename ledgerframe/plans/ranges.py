@@ -10,6 +10,9 @@ Pairs may be as many as the product of the two tables, which are small beside th
 bytes that it reads. Both sides are therefore dealt out to partitions by the number of pairs that will meet, PAIRS each. Points of a value that fills several
 buckets are dealt to as many ways, and ranges copied to each, so that no single value makes a long task.
 
+The work before that, finding places and making copies, is much for each byte read: a file of a few MB, one task to Spark, may hold a million rows. Rows are
+spread over more tasks where one partition holds more than DEALT of them, or makes more than COPIES.
+
 Two ranges overlap if the start of one lies in the other: if the condition is `x.low <= y.high AND y.low <= x.high`, starts of x are sought in ranges of y, and
 starts of y, other than those, in ranges of x.
 """
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.errors import AnalysisException
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +36,9 @@ MOST_CUTS = 1 << 14
 #: Pairs that a task compares, about, and the most tasks that a join is dealt to.
 PAIRS = 1 << 22
 MOST_PARTITIONS = 1 << 14
+#: Rows that a task finds the places of, about, and copies that it makes.
+DEALT = 1 << 18
+COPIES = 1 << 21
 #: Share of the rows by which a cut point may be misplaced.
 PRECISION = 1e-4
 
@@ -103,36 +110,47 @@ def _number(frame: DataFrame, sql: str) -> Column | None:
 
 @dataclass(frozen=True)
 class _Buckets:
-    """Cut points between buckets, the ways that each bucket's points are dealt to, and how many points each way has, about."""
+    """Cut points between buckets, the ways that each bucket's points are dealt to, how many points each way has, about, and the partitions to spread the points over (0: as they are)."""
 
     cuts: list[float]
     ways: list[int]
     rows: int
+    tasks: int
+
+
+def _share(rows: DataFrame, work: Column, of_a_task: int) -> tuple[int, int]:
+    """The work of all rows, and over how many partitions to spread them; 0 if none has more than twice the work of a task as they are."""
+    of_each = rows.groupBy(F.spark_partition_id()).agg(F.sum(work).alias("work"))
+    total, most = (n or 0 for n in of_each.agg(F.sum("work"), F.max("work")).first())
+    return total, min(MOST_PARTITIONS, total // of_a_task + 1) if most > 2 * of_a_task else 0
+
+
+def _spread(rows: DataFrame, tasks: int) -> DataFrame:
+    """The rows over so many partitions, evenly; as they are for 0."""
+    return rows.repartition(tasks) if tasks else rows
 
 
 def _buckets(points: DataFrame) -> _Buckets:
     """Buckets of about ROWS rows, by the values of column p."""
-    rows = points.agg(F.count("p")).first()[0]
+    rows, tasks = _share(points, F.col("p").isNotNull().cast("int"), DEALT)
     buckets = min(MOST_CUTS, rows // ROWS)
     if buckets < 2:
-        return _Buckets([], [1], rows)
-    found = points.where(~F.isnan("p")).approxQuantile("p", [k / buckets for k in range(1, buckets)], PRECISION)
-    often = Counter(q for q in found if math.isfinite(q))
+        return _Buckets([], [1], rows, tasks)
+    found = _spread(points, tasks).where(~F.isnan("p")).approxQuantile("p", [k / buckets for k in range(1, buckets)], PRECISION)
+    often = Counter(q + 0.0 for q in found if math.isfinite(q))
     cuts = sorted(often)
-    return _Buckets(cuts, [1, *(often[q] for q in cuts)], rows // buckets)
-
+    return _Buckets(cuts, [1, *(often[q] for q in cuts)], rows // buckets, tasks)
 
-def _bucket(value: Column, buckets: _Buckets) -> Column:
-    """How many cut points are at most the value, by halving."""
-    if not buckets.cuts:
-        return F.lit(0)
-    table = F.split(F.lit(",".join(map(repr, buckets.cuts))), ",").cast("array<double>")
-    steps = [1 << k for k in range(len(buckets.cuts).bit_length() - 1, -1, -1)]
 
-    def step(at: Column, size: Column) -> Column:
-        return F.when(F.get(table, at + size - F.lit(1)) <= value, at + size).otherwise(at)
-
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+def _placed(rows: DataFrame, of: dict[str, tuple[Column | None, _Buckets, int]]) -> DataFrame:
+    """rows with, by each name, how many cut points of its buckets are at most the value: NaN comes after all numbers, in the last bucket as in the order. The number where there is no value."""
+    searched = {name: f"{name}_of" for name, (value, buckets, _) in of.items() if value is not None and buckets.cuts}
+    if searched:
+        # By halving, in the order of Java's doubles, where -0.0 comes before 0.0; the sum has no -0.0.
+        rows = rows.withColumns({at: of[name][0] + F.lit(0.0) for name, at in searched.items()})
+        splits = [[-math.inf, *of[name][1].cuts, math.inf] for name in searched]
+        rows = Bucketizer(splitsArray=splits, inputCols=list(searched.values()), outputCols=list(searched), handleInvalid="keep").transform(rows).drop(*searched.values())
+    return rows.withColumns({name: F.least(F.col(name).cast("int"), F.lit(len(buckets.cuts))) if name in searched else F.lit(other if value is None else 0) for name, (value, buckets, other) in of.items()})
 
 
 def _ways(bucket: Column, buckets: _Buckets) -> Column:
@@ -153,9 +171,11 @@ def _way(rows: DataFrame, bucket: Column, buckets: _Buckets) -> Column:
     return F.pmod(_told(rows), _ways(bucket, buckets)) if max(buckets.ways) > 1 else F.lit(0)
 
 
-def _key(bucket: Column, way: Column) -> Column:
-    """A bucket and one of its ways as one long."""
-    return bucket.cast("long") * F.lit(2 * MOST_CUTS) + way.cast("long")
+def _slot(bucket: Column, buckets: _Buckets) -> Column:
+    """The number of a bucket's first way, where the ways of all buckets are numbered through; for the number after the last bucket, that of all ways."""
+    if max(buckets.ways) == 1:
+        return bucket.cast("long")
+    return F.get(F.split(F.lit(",".join(map(str, accumulate(buckets.ways, initial=0)))), ",").cast("array<long>"), bucket)
 
 
 def _partitions(pairs: float | None) -> int:
@@ -164,31 +184,32 @@ def _partitions(pairs: float | None) -> int:
 
 
 def _copied(bucket_from: Column, bucket_to: Column, buckets: _Buckets) -> Column:
-    """The number of copies of a range that touches these buckets."""
-    if max(buckets.ways) == 1:
-        return bucket_to - bucket_from + F.lit(1)
-    before = F.split(F.lit(",".join(map(str, accumulate(buckets.ways, initial=0)))), ",").cast("array<long>")
-    return F.get(before, bucket_to + F.lit(1)) - F.get(before, bucket_from)
+    """The number of copies of a range that touches these buckets: one for each of their ways."""
+    return _slot(bucket_to + F.lit(1), buckets) - _slot(bucket_from, buckets)
 
 
 def _within(points: DataFrame, point: Column, ranges: DataFrame, lows: list[Column], highs: list[Column], match: Column, kind: str, points_left: bool) -> DataFrame:
     """points and ranges joined by `match`, where the point is at least all lows and at most all highs in every match."""
     found = _buckets(points.select(point.alias("p")))
-    # NaN comes after all numbers, in the last bucket as in the order; null matches nothing, and its row meets no other: such rows are spread.
-    at = _bucket(point, found)
-    dealt = points.withColumn("__at", F.when(point.isNotNull(), _key(at, _way(points, at, found))).otherwise(F.lit(-1) - F.pmod(_told(points), F.lit(1 << 40))))
+    # Null matches nothing, and its row meets no other: such rows are spread.
+    at = F.col("__at")
+    slot = F.when(point.isNotNull(), _slot(at, found) + _way(points, at, found)).otherwise(F.lit(-1) - F.pmod(_told(points), F.lit(1 << 40)))
+    dealt = _placed(points, {"__at": (point, found, 0)}).withColumn("__at", slot)
     low = F.greatest(*lows) if len(lows) > 1 else lows[0] if lows else None
     high = F.least(*highs) if len(highs) > 1 else highs[0] if highs else None
-    first = F.lit(0) if low is None else _bucket(low, found)
-    last = F.lit(len(found.cuts)) if high is None else _bucket(high, found)
     there = F.lit(True)
     for bound in (*lows, *highs):
         there = there & bound.isNotNull()
-    placed = ranges.where(there).withColumns({"__first": first, "__last": last}).where("__first <= __last")
-    copies = placed.agg(F.sum(_copied(F.col("__first"), F.col("__last"), found))).first()[0]
-    parts = _partitions((copies or 0) * found.rows)
-    copies = placed.withColumn("__on", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
-    copies = copies.withColumn("__on", F.explode(F.transform(F.sequence(F.lit(0), _ways(F.col("__on"), found) - F.lit(1)), lambda way: _key(F.col("__on"), way))))
+    ranges = ranges.where(there)
+    tasks = _share(ranges, F.lit(1), DEALT)[1]
+
+    def placed(tasks: int) -> DataFrame:
+        return _placed(_spread(ranges, tasks), {"__first": (low, found, 0), "__last": (high, found, len(found.cuts))}).where("__first <= __last")
+
+    made, more = _share(placed(tasks), _copied(F.col("__first"), F.col("__last"), found), COPIES)
+    parts = _partitions(made * found.rows)
+    slots = F.sequence(_slot(F.col("__first"), found), _slot(F.col("__last") + F.lit(1), found) - F.lit(1))
+    copies = placed(max(tasks, more)).withColumn("__on", F.explode(slots)).drop("__first", "__last")
     if parts > 1:
         dealt, copies = dealt.repartition(parts, "__at").hint("merge"), copies.repartition(parts, "__on").hint("merge")
     on = (F.col("__at") == F.col("__on")) & match
@@ -202,30 +223,31 @@ def _overlaps(left: DataFrame, right: DataFrame, x: tuple[Column, Column], y: tu
     comes later, x's where they are equal, so no pair meets twice."""
     found = {"x": _buckets(left.select(x[0].alias("p"))), "y": _buckets(right.select(y[0].alias("p")))}
 
-    def placed(rows: DataFrame, own: str, other: str, start: Column, end: Column) -> DataFrame:
-        there = rows.where(start.isNotNull() & end.isNotNull())
-        there = there.withColumns({"__own": _bucket(start, found[own]), "__first": _bucket(start, found[other]), "__last": _bucket(end, found[other])})
+    def placed(rows: DataFrame, own: str, other: str, start: Column, end: Column, tasks: int) -> DataFrame:
+        there = _spread(rows.where(start.isNotNull() & end.isNotNull()), tasks)
+        there = _placed(there, {"__own": (start, found[own], 0), "__first": (start, found[other], 0), "__last": (end, found[other], 0)})
         return there.withColumn("__way", _way(rows, F.col("__own"), found[own]))
 
-    def met(rows: DataFrame, other: str) -> int:
-        """Pairs of the rows with starts of the other side, about."""
-        copies = F.when(F.col("__first") <= F.col("__last"), _copied(F.col("__first"), F.col("__last"), found[other]))
-        return (rows.agg(F.sum(copies)).first()[0] or 0) * found[other].rows
+    def dealt(rows: DataFrame, own: str, other: str, start: Column, end: Column) -> tuple[DataFrame, int]:
+        """The rows with their places, and the pairs of them with starts of the other side, about."""
+        tasks = found[own].tasks
+        at = placed(rows, own, other, start, end, tasks)
+        copies, more = _share(at, F.when(F.col("__first") <= F.col("__last"), _copied(F.col("__first"), F.col("__last"), found[other])), COPIES)
+        return placed(rows, own, other, start, end, more) if more > tasks else at, copies * found[other].rows
 
     def keyed(rows: DataFrame, own: str, other: str) -> DataFrame:
         # Even keys are of x's starts, odd ones of y's.
-        key = lambda side, at, way: _key(at, way) * F.lit(2) + F.lit("xy".index(side))
-        all_ways = lambda at: F.transform(F.sequence(F.lit(0), _ways(at, found[other]) - F.lit(1)), lambda way: key(other, at, way))
-        touched = F.flatten(F.transform(F.sequence("__first", "__last"), all_ways))
-        itself = key(own, F.col("__own"), F.col("__way"))
+        key = lambda side, slot: slot * F.lit(2) + F.lit("xy".index(side))
+        touched = F.sequence(key(other, _slot(F.col("__first"), found[other])), key(other, _slot(F.col("__last") + F.lit(1), found[other]) - F.lit(1)), F.lit(2).cast("long"))
+        itself = key(own, _slot(F.col("__own"), found[own]) + F.col("__way"))
         keys = F.when(F.col("__first") <= F.col("__last"), F.array_append(touched, itself)).otherwise(F.array(itself))
         return rows.withColumn(f"__{own}", F.explode(keys)).drop("__own", "__first", "__last", "__way")
 
     by_x = F.col("__x") % 2 == 0
     on = (F.col("__x") == F.col("__y")) & match & (by_x == (y[0] <= x[0]))
-    sides = placed(left, "x", "y", *x), placed(right, "y", "x", *y)
-    parts = _partitions(met(sides[0], "y") + met(sides[1], "x"))
-    xs, ys = keyed(sides[0], "x", "y"), keyed(sides[1], "y", "x")
+    (xs, of_x), (ys, of_y) = dealt(left, "x", "y", *x), dealt(right, "y", "x", *y)
+    parts = _partitions(of_x + of_y)
+    xs, ys = keyed(xs, "x", "y"), keyed(ys, "y", "x")
     if parts > 1:
         xs, ys = xs.repartition(parts, "__x").hint("merge"), ys.repartition(parts, "__y").hint("merge")
     return xs.join(ys, on, "inner")

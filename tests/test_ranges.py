@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -140,3 +141,32 @@ def test_overlaps_are_dealt_to_many_tasks(tables, few_pairs_a_task):
     assert Counter(joined.select("xid", "yid").collect()) == Counter(expected.collect())
     sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) > 16 and max(sizes) < sum(sizes) / 4
+
+
+def spread_over(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # The tables' own partitions are three.
+    return [int(n) for n in re.findall(r"RoundRobinPartitioning\((\d+)\)", plan) if n != "3"]
+
+
+@pytest.mark.parametrize(("on", "sides"), [("x.a <= y.high AND y.low <= x.b", 2), ("x.p BETWEEN y.low AND y.high", 1)])
+@pytest.mark.parametrize(("limit", "few"), [("DEALT", 50), ("COPIES", 300)])
+def test_one_partition_does_not_deal_all_rows(tables, few_rows_a_bucket, monkeypatch, on, sides, limit, few):
+    # As a file of a few MB is, one task to Spark; either many rows or rows with many copies.
+    x, y = (df.coalesce(1) for df in tables)
+    monkeypatch.setattr(ranges, limit, few)
+    joined = join_frames(x, y, how="inner_join", on=on)
+    assert len(found := spread_over(joined)) == sides and min(found) > 3
+    assert counted(joined) == counted(plain(x, y, on, "inner"))
+
+
+def test_rows_in_many_partitions_stay_there(tables, few_rows_a_bucket, monkeypatch):
+    monkeypatch.setattr(ranges, "DEALT", 300)
+    assert not spread_over(join_frames(*tables, how="inner_join", on="x.a <= y.high AND y.low <= x.b"))
+
+
+@pytest.mark.parametrize("on", ["x.p BETWEEN y.low AND y.high", "x.p <= y.high AND y.low <= x.p + 1 AND x.p + 1 >= y.low"])
+def test_zero_with_either_sign(spark, few_rows_a_bucket, on):
+    x = spark.createDataFrame([(k, [-0.0, 0.0, -1.0, 1.0][k % 4]) for k in range(80)], "xid long, p double")
+    y = spark.createDataFrame([(k, *[(0.0, 0.0), (-0.0, -0.0), (0.0, -0.0), (-0.0, 2.0), (-2.0, -0.0), (1.0, float("nan"))][k % 6]) for k in range(60)], "yid long, low double, high double")
+    assert counted(join_frames(x, y, how="inner_join", on=on)) == counted(plain(x, y, on, "inner"))
